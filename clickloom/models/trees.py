@@ -82,7 +82,7 @@ def staged_probability(margins: str, rounds: int) -> Column:
 
 def iteration_log(model: GBTClassificationModel, df: DataFrame, run: str, label: str = "label") -> DataFrame:
     """AUC after every iteration as ``(run, iter, AUC)``; all iterations in one aggregation."""
-    staged = tree_margins(model, df).select(label, F.posexplode("margins").alias("iter", "score"))
+    staged = tree_margins(model, df).select(label, F.posexplode_outer("margins").alias("iter", "score"))
     by_iter = metrics.roc_auc(staged, "score", label, ("iter",))
     return by_iter.select(F.lit(run).alias("run"), "iter", F.col("auc").alias("AUC"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.functions import scalar as fn
 from clickloom.operators.lookup import DEFAULT_LIMITS, JoinLimits, lookup_join, row_bytes
@@ -14,30 +15,46 @@ from clickloom.session import materialize
 HASH_SIZE = 2**20
 
 
+# A value sits in the one field its type belongs to, and sorts by it.
+_TYPED = {"number": "double", "whole": "bigint", "text": "string"}
+
+
+def _field(dtype: T.DataType) -> str:
+    if isinstance(dtype, T.StringType):
+        return "text"
+    return "number" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "whole"
+
+
 def label_codes(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """``(column, value, n, code)``: each value's rank among its column's sorted values.
+    """``(column, number, whole, text, n, code)``: a value's rank among its column's sorted values.
 
-    The columns must share one type; numbers rank as numbers, text by its bytes. All
-    columns take one scan and one shuffle.
+    Numbers rank as numbers, text by its bytes. All columns take one scan and one shuffle.
     """
-    held = df.select(*columns).unpivot([], columns, "column", "value").where("value IS NOT NULL")
-    values = held.groupBy("column", "value").agg(F.count("*").alias("n"))
-    ranked = running_totals(values, ["value"], {"code": F.lit(1).cast("bigint")}, ("column",), buckets=buckets)
+
+    def entry(c: str) -> Column:
+        used = _field(df.schema[c].dataType)
+        parts = [(F.col(c) if f == used else F.lit(None)).cast(t).alias(f) for f, t in _TYPED.items()]
+        return F.struct(F.lit(c).alias("column"), *parts)
+
+    entries = df.select(F.explode_outer(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
+    held = entries.where(F.col("number").isNotNull() | F.col("whole").isNotNull() | F.col("text").isNotNull())
+    values = materialize(held.groupBy("column", *_TYPED).agg(F.count("*").alias("n")), "values")
+    one = {"code": F.lit(1).cast("bigint")}
+    ranked = running_totals(values, list(_TYPED), one, ("column",), buckets=buckets)
     return ranked.withColumn("code", F.col("code") - 1)
 
 
 def label_encode(df: DataFrame, columns: list[str], limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
     """Replace values by their codes over the whole frame (train and test together)."""
-    groups: dict[str, list[str]] = {}
-    for c in columns:
-        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    codes = materialize(label_codes(df, columns), "codes", ("column",))
+    per_column = codes.groupBy("column").agg(F.sum(row_bytes(codes)).alias("b"))
+    sizes = {r["column"]: r["b"] for r in per_column.collect()}
     out = df
-    for group in groups.values():
-        codes = materialize(label_codes(df, group), "codes", ("column",))
-        sizes = {r["column"]: r["b"] for r in codes.groupBy("column").agg(F.sum(row_bytes(codes)).alias("b")).collect()}
-        for c in group:
-            one = codes.where(F.col("column") == c).select(F.col("value").alias(c), "n", F.col("code").alias(f"_code_{c}"))
-            out = lookup_join(out, one, [c], "left", weight="n", limits=limits, known_bytes=sizes.get(c, 0)).drop("n")
+    for c in columns:
+        dtype = df.schema[c].dataType
+        value = F.col(_field(dtype)).cast(dtype).alias(c)
+        one = codes.where(F.col("column") == c).select(value, F.col("n").alias("_n"), F.col("code").alias(f"_code_{c}"))
+        out = lookup_join(out, one, [c], "left", weight="_n", limits=limits, known_bytes=sizes.get(c, 0)).drop("_n")
     return out.select(*[F.col(f"_code_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -74,25 +91,30 @@ def hash_features(df: DataFrame, columns: list[str], size: int = HASH_SIZE, name
     return df.withColumn(name, F.array(F.lit(0).cast("bigint"), *hash_tokens(columns, size)))
 
 
-def slot_pairs(slots: Column, n: int) -> list[tuple[Column, Column]]:
-    """Every pair of the ``n`` hashed columns of one row, smaller slot first."""
-    ordered = F.array_sort(slots)
-    return [(ordered[i], ordered[j]) for i in range(n) for j in range(i + 1, n)]
+def slot_pairs(ordered: str, n: int) -> list[tuple[Column, Column]]:
+    """Every pair of the ``n`` sorted slots of one row, smaller slot first."""
+    return [(F.col(ordered)[i], F.col(ordered)[j]) for i in range(n) for j in range(i + 1, n)]
+
+
+def with_sorted_slots(df: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Hash each column once, then sort: ``_slots`` and ``_ordered``."""
+    slots = df.withColumn("_slots", F.array(*hash_tokens(columns, size)))
+    return slots.withColumn("_ordered", F.sort_array("_slots"))
 
 
 def hash_interactions(df: DataFrame, columns: list[str], size: int = HASH_SIZE, name: str = "x") -> DataFrame:
     """Bias slot, hashed columns and a hashed slot for every column pair."""
-    tokens = hash_tokens(columns, size)
-    slots = df.withColumn("_slots", F.array(*tokens))
-    crossed = [F.pmod(fn.hash32(a, b), F.lit(size)) for a, b in slot_pairs(F.col("_slots"), len(columns))]
-    return slots.withColumn(name, F.concat(F.array(F.lit(0).cast("bigint")), "_slots", F.array(*crossed))).drop("_slots")
+    slots = with_sorted_slots(df, columns, size)
+    crossed = [F.pmod(fn.hash32(a, b), F.lit(size)) for a, b in slot_pairs("_ordered", len(columns))]
+    whole = F.concat(F.array(F.lit(0).cast("bigint")), "_slots", F.array(*crossed))
+    return slots.withColumn(name, whole).drop("_slots", "_ordered")
 
 
 def pair_interactions(df: DataFrame, columns: list[str], row_key: str = "ID", size: int = HASH_SIZE) -> DataFrame:
     """The slot pairs of every row as ``(row key, left, right)``; the count is fixed by the columns."""
-    slots = df.select(row_key, F.array(*hash_tokens(columns, size)).alias("_slots"))
-    pairs = [F.struct(a.alias("left"), b.alias("right")) for a, b in slot_pairs(F.col("_slots"), len(columns))]
-    return slots.select(row_key, F.explode(F.array(*pairs)).alias("p")).select(row_key, "p.left", "p.right")
+    slots = with_sorted_slots(df.select(row_key, *columns), columns, size)
+    pairs = [F.struct(a.alias("left"), b.alias("right")) for a, b in slot_pairs("_ordered", len(columns))]
+    return slots.select(row_key, F.explode_outer(F.array(*pairs)).alias("p")).select(row_key, "p.left", "p.right")
 
 
 def row_normalize(df: DataFrame, features: str = "features", mode: str = "squared") -> DataFrame:

@@ -46,24 +46,26 @@ def lazy_weight(z: Column, n: Column, p: Ftrl) -> Column:
     return F.when(sign * z <= p.l1, F.lit(0.0)).otherwise(moved)
 
 
-def score(rows: DataFrame, state: DataFrame, p: Ftrl, row_key: str = "ID") -> DataFrame:
+def score(rows: DataFrame, state: DataFrame, p: Ftrl) -> DataFrame:
     """Add the click probability ``p`` to rows with hashed slots ``x``.
 
-    Slots of a row are summed inside its task before the shuffle on the row key.
+    The slots of a row are summed inside its task before the shuffle. Rows that are copies
+    of each other meet in one group and are multiplied out again.
     """
     weights = state.select("idx", lazy_weight(F.col("z"), F.col("n"), p).alias("w"))
-    carried = [c for c in rows.columns if c != row_key]
-    long = rows.select("*", F.explode("x").alias("idx"))
+    long = rows.select("*", F.posexplode_outer("x").alias("pos", "idx"))
     # A weight table has at most ``size`` rows.
     bound = p.size * WEIGHT_ROW_BYTES
     known = lookup_join(
         long, weights, ["idx"], "left", known_bytes=bound if bound <= DEFAULT_LIMITS.broadcast_bytes else None
     )
-    sums = known.groupBy(row_key).agg(
+    # Every column is a grouping key, so that the aggregate stays a hash aggregate.
+    sums = known.groupBy(*rows.columns).agg(
         F.sum(F.coalesce(F.col("w"), F.lit(0.0))).alias("_wx"),
-        *[F.any_value(c).alias(c) for c in carried],
+        F.count(F.when(F.col("pos") == 0, 1)).cast("int").alias("_copies"),
     )
-    return sums.withColumn("p", fn.bounded_sigmoid(F.col("_wx"))).select(*rows.columns, "p")
+    scored = sums.withColumn("p", fn.bounded_sigmoid(F.col("_wx") / F.col("_copies")))
+    return scored.select(*rows.columns, "p", F.explode_outer(F.array_repeat(F.lit(0), F.col("_copies")))).drop("col")
 
 
 def update(state: DataFrame, scored: DataFrame, p: Ftrl) -> DataFrame:
@@ -77,7 +79,7 @@ def update(state: DataFrame, scored: DataFrame, p: Ftrl) -> DataFrame:
         scored = scored.withColumn("holdout", F.lit(0))
     loss = fn.log_loss(F.col("p"), F.col("y"))
     learnt = F.col("holdout") == 0
-    entries = scored.select("*", loss.alias("_loss"), F.posexplode("x").alias("pos", "idx"))
+    entries = scored.select("*", loss.alias("_loss"), F.posexplode_outer("x").alias("pos", "idx"))
     first = F.col("pos") == 0
     grads = entries.select(
         "idx",
@@ -107,9 +109,9 @@ def update(state: DataFrame, scored: DataFrame, p: Ftrl) -> DataFrame:
     )
 
 
-def advance(state: DataFrame, rows: DataFrame, p: Ftrl, row_key: str = "ID") -> tuple[DataFrame, dict[str, float]]:
+def advance(state: DataFrame, rows: DataFrame, p: Ftrl) -> tuple[DataFrame, dict[str, float]]:
     """One round: score, learn, write the state; returns it with the round's losses."""
-    done = materialize(update(state, score(rows, state, p, row_key), p), "ftrl")
+    done = materialize(update(state, score(rows, state, p), p), "ftrl")
     sums = done.agg(*[F.sum(c).alias(c) for c in ("loss", "rows", "held_loss", "held_rows")]).first()
     return done.select("idx", "z", "n"), {k: v or 0 for k, v in sums.asDict().items()}
 
@@ -138,17 +140,16 @@ def fit(
     epochs: int = 5,
     batches: int = 10,
     order_by: tuple[str, ...] = ("datetime", "ID"),
-    row_key: str = "ID",
 ) -> FtrlFit:
     """Train for ``epochs`` passes; keeps the state with the best holdout (or train) loss."""
-    staged = in_batches(rows, list(order_by), batches).drop(*[c for c in order_by if c != row_key])
+    staged = in_batches(rows, list(order_by), batches).drop(*order_by)
     state = best = empty_state(rows.sparkSession)
     log: list[dict[str, float]] = []
     lowest = None
     for epoch in range(epochs):
         sums = {"loss": 0.0, "rows": 0, "held_loss": 0.0, "held_rows": 0}
         for b in range(batches):
-            state, part = advance(state, staged.where(F.col("batch") == b).drop("batch"), p, row_key)
+            state, part = advance(state, staged.where(F.col("batch") == b).drop("batch"), p)
             if part["rows"] + part["held_rows"]:
                 log.append({"epoch": epoch, "batch": b, **part})
             sums = {k: sums[k] + part[k] for k in sums}

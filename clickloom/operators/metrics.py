@@ -6,22 +6,30 @@ however frequent, stays in one task.
 
 from __future__ import annotations
 
+from math import isnan, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
 from clickloom.operators.ordinal import running_totals
+from clickloom.session import materialize
+
+CORRELATIONS = "feature_a string, feature_b string, corr double"
 
 
 def score_ladder(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per distinct score: positives ``p``, negatives ``n`` and, counted from
-    the highest score down and including this one, ``tp`` and ``fp``."""
+    the highest score down and including this one, ``tp`` and ``fp``.
+
+    The scored rows, often a model's output, are computed once; the rest reads the steps.
+    """
     steps = df.groupBy(*by, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("p"),
         F.sum(1 - F.col(label).cast("bigint")).alias("n"),
     )
     return running_totals(
-        steps, [score], {"tp": F.col("p"), "fp": F.col("n")}, by, descending=True
+        materialize(steps, "steps"), [score], {"tp": F.col("p"), "fp": F.col("n")}, by, descending=True
     )
 
 
@@ -118,12 +126,43 @@ def scalar(frame: DataFrame) -> float:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair once, ``(feature_a, feature_b, corr)``.
 
-    Each pair uses the rows where both values are present. All pairs share one pass.
+    One pass sums the products of all pairs, shifted by the values of some row to keep
+    digits. Pairs with a column that misses values use the rows where both are present,
+    in a second pass. A column without spread correlates with nothing (null).
     """
+    x = {c: F.col(c).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    sums = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.nanvl(F.col(f"c{i}"), F.lit(None).cast("double")).alias("corr"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    origin = df.select(*[x[c].alias(c) for c in columns]).first()
+    if origin is None:
+        return df.sparkSession.createDataFrame([(a, b, None) for a, b in pairs], CORRELATIONS)
+    d = {c: x[c] - F.lit(origin[c] or 0.0) for c in columns}
+    shifted = df.select(*[d[c].alias(c) for c in columns])
+    sums = shifted.agg(
+        F.count("*").alias("n"),
+        *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.sum(c).alias(f"s_{c}") for c in columns],
+        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns],
+        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)],
+    ).first()
+    n = sums["n"]
+    whole = {c for c in columns if sums[f"n_{c}"] == n}
+    holed = [i for i, (a, b) in enumerate(pairs) if not {a, b} <= whole]
+    values: dict[int, float | None] = {}
+    if holed:
+        apart = df.agg(*[F.corr(x[pairs[i][0]], x[pairs[i][1]]).alias(f"c{i}") for i in holed]).first()
+        values = {i: apart[f"c{i}"] for i in holed}
+        values = {i: None if v is None or isnan(v) else v for i, v in values.items()}
+
+    def spread(c: str) -> float:
+        """Squared deviations, or 0 if they are only rounding."""
+        total, square = sums[f"s_{c}"], sums[f"q_{c}"]
+        left = square - total * total / n
+        return left if left > 1e-12 * square else 0.0
+
+    for i, (a, b) in enumerate(pairs):
+        if i not in values:
+            shared = spread(a) * spread(b)
+            product = sums[f"p_{i}"] - sums[f"s_{a}"] * sums[f"s_{b}"] / n
+            values[i] = product / sqrt(shared) if shared > 0 else None
+    # One row per column pair.
+    return df.sparkSession.createDataFrame([(a, b, values[i]) for i, (a, b) in enumerate(pairs)], CORRELATIONS)

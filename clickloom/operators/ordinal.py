@@ -6,7 +6,7 @@ own window, and the totals of the buckets before it are added afterwards.
 
 from __future__ import annotations
 
-from math import ceil, isqrt
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,16 +31,16 @@ def _literal(row: tuple, dtype: T.DataType) -> Column:
     return F.lit(row[0]).cast(dtype)
 
 
-def key_bounds(df: DataFrame, order_by: list[str], buckets: int) -> list[Column]:
+def key_bounds(df: DataFrame, order_by: list[str], buckets: int, by: tuple[str, ...] = ()) -> list[Column]:
     """At most ``buckets - 1`` ascending keys that split ``df`` evenly.
 
-    The sample is the fixed number of keys with the smallest hashes, so it is the same
+    The sample is the fixed number of rows with the smallest key hashes, so it is the same
     on every run and its size does not grow with the data.
     """
     size = max(buckets * SAMPLES_PER_BUCKET, ONE_BUCKET_ROWS)
     present = F.greatest(*[F.col(c).isNotNull().cast("int") for c in order_by], F.lit(0))
-    keys = df.where(present == 1).select(*order_by)
-    sample = keys.orderBy(F.xxhash64(*order_by), *order_by).limit(size)
+    keys = df.where(present == 1).select(*by, *order_by)
+    sample = keys.orderBy(F.xxhash64(*by, *order_by), *order_by).limit(size).select(*order_by)
     rows = [tuple(r) for r in sample.orderBy(*order_by).collect()]
     if len(rows) < size or buckets < 2:
         return []
@@ -80,7 +80,7 @@ def running_totals(
     ``order_by`` must be unique within ``by``; collapse ties first. A hot key is then
     one row, so no bucket can hold more than its sampled share.
     """
-    bounds = key_bounds(df, order_by, buckets or _bucket_count(df))
+    bounds = key_bounds(df, order_by, buckets or _bucket_count(df), by)
     key, _ = _key(df, order_by)
     parts = [*by, "_bucket"]
     names = list(measures)
@@ -124,12 +124,3 @@ def global_ordinal(
     counted = running_totals(df, order_by, {name: F.lit(1).cast("bigint")}, by, buckets=buckets)
     return counted.withColumn(name, F.col(name) - 1)
 
-
-def take_exact(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows along ``order_by`` for an ``n`` that grows with the data."""
-    return global_ordinal(df, order_by, "_at").where(F.col("_at") < n).drop("_at")
-
-
-def share_count(rows: int, fraction: float) -> int:
-    """Rows of a test share, rounded up."""
-    return ceil(rows * fraction)

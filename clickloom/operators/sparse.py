@@ -14,6 +14,17 @@ def to_long(df: DataFrame, keep: list[str], features: str = "features") -> DataF
     return df.select(*keep, F.explode(features).alias("f")).select(*keep, "f.idx", "f.value")
 
 
+def _entries(df: DataFrame, row_key: str, features: str = "features") -> DataFrame:
+    """Entries for scoring; a row without any keeps one empty entry.
+
+    The outer form also keeps Catalyst from testing the array's size below, where it would
+    compute the array a second time.
+    """
+    return df.select(row_key, F.explode_outer(features).alias("f")).select(
+        row_key, "f.idx", F.coalesce("f.value", F.lit(0.0)).alias("value")
+    )
+
+
 def sparse_dims(df: DataFrame, features: str = "features") -> DataFrame:
     """Rows and number of features, the highest index plus one."""
     highest = F.array_max(F.transform(features, lambda f: f["idx"]))
@@ -31,7 +42,7 @@ def linear_score(
 
     The entries of a row stay in its task, so they are summed before the shuffle.
     """
-    known = lookup_join(to_long(df, [row_key]), weights.select("idx", "w"), ["idx"], "left", limits=limits)
+    known = lookup_join(_entries(df, row_key), weights.select("idx", "w"), ["idx"], "left", limits=limits)
     term = F.coalesce(F.col("w"), F.lit(0.0)) * F.col("value")
     return known.groupBy(row_key).agg((F.sum(term) + bias).alias("score"))
 
@@ -48,7 +59,7 @@ def fm_score(
 
     Per factor f the pair terms are half of (sum v x)^2 - sum (v x)^2.
     """
-    known = lookup_join(to_long(df, [row_key]), weights.select("idx", "w", "v"), ["idx"], "left", limits=limits)
+    known = lookup_join(_entries(df, row_key), weights.select("idx", "w", "v"), ["idx"], "left", limits=limits)
     x = F.col("value")
     terms = [F.coalesce(F.col("v")[f], F.lit(0.0)) * x for f in range(factors)]
     sums = known.groupBy(row_key).agg(

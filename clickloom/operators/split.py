@@ -6,11 +6,12 @@ partitioning, retry or growth of the table.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import hash32, unit_hash
-from clickloom.operators.ordinal import global_ordinal, share_count, take_exact
 
 SEED = 2017
 
@@ -23,11 +24,43 @@ def sample(df: DataFrame, fraction: float, row_key: str = "ID", seed: int | str
     return df.where(place(row_key, seed) < fraction)
 
 
+def _first_rows(df: DataFrame, wanted: int, row_key: str, seed: int | str) -> Column:
+    """Condition that holds for exactly the ``wanted`` rows placed first.
+
+    The last place that still counts is found by two histograms of fixed size, over the
+    upper and then the lower half of the hash, so no row is sorted or moved. Rows that
+    share that place are told apart by their key.
+    """
+    if wanted <= 0:
+        return F.lit(False)
+    hashed = df.select(F.col(row_key).alias("k"), hash32(F.col(row_key), F.lit(str(seed))).alias("h"))
+    upper, left = _last_bin(hashed.select(F.shiftright("h", 16).alias("b")), wanted)
+    if upper is None:
+        return F.lit(True)
+    inside = hashed.where(F.shiftright("h", 16) == upper)
+    lower, left = _last_bin(inside.select(F.col("h").bitwiseAND(0xFFFF).alias("b")), left)
+    last = upper * 65536 + lower
+    tied = inside.where(F.col("h") == last).orderBy("k").limit(left)
+    key = tied.agg(F.max("k").alias("k")).first()["k"]
+    h = hash32(F.col(row_key), F.lit(str(seed)))
+    return (h < last) | ((h == last) & (F.col(row_key) <= key))
+
+
+def _last_bin(bins: DataFrame, wanted: int) -> tuple[int | None, int]:
+    """Bin that holds the ``wanted``-th row in bin order, and how many it must give.
+
+    At most 65,536 bins are read.
+    """
+    for r in bins.groupBy("b").count().orderBy("b").collect():
+        if r["count"] >= wanted:
+            return r["b"], wanted
+        wanted -= r["count"]
+    return None, 0
+
+
 def sample_exact(df: DataFrame, fraction: float, row_key: str = "ID", seed: int | str = SEED) -> DataFrame:
-    """Exactly ``round(fraction * rows)`` rows: those placed first."""
-    wanted = round(df.count() * fraction)
-    placed = df.withColumn("_place", place(row_key, seed))
-    return take_exact(placed, ["_place", row_key], wanted).drop("_place")
+    """Exactly ``round(fraction * rows)`` rows of a table with unique keys."""
+    return df.where(_first_rows(df, round(df.count() * fraction), row_key, seed))
 
 
 def mark_validation(df: DataFrame, share: float, row_key: str = "ID", seed: int | str = SEED) -> DataFrame:
@@ -36,11 +69,9 @@ def mark_validation(df: DataFrame, share: float, row_key: str = "ID", seed: int
 
 
 def mark_validation_exact(df: DataFrame, share: float, row_key: str = "ID", seed: int | str = SEED) -> DataFrame:
-    """Flag exactly ``ceil(share * rows)`` rows as validation."""
-    wanted = share_count(df.count(), share)
-    placed = df.withColumn("_place", place(row_key, f"valid{seed}"))
-    numbered = global_ordinal(placed, ["_place", row_key], "_at")
-    return numbered.withColumn("is_valid", F.col("_at") < wanted).drop("_place", "_at")
+    """Flag exactly ``ceil(share * rows)`` rows of a table with unique keys as validation."""
+    first = _first_rows(df, ceil(df.count() * share), row_key, f"valid{seed}")
+    return df.withColumn("is_valid", first)
 
 
 def train_valid_split(

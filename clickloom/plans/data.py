@@ -9,7 +9,7 @@ from clickloom.functions import scalar as fn
 from clickloom.operators import metrics, prep, profile
 from clickloom.operators.lookup import lookup_join
 from clickloom.plans.registry import IMP, LOGS, PREP, SCORED, SPARSE, hash32_sql, query, rounded
-from clickloom.session import new_path
+from clickloom.session import materialize, new_path
 from clickloom.sources import readers, samples, writers
 
 SCALED_A = 0.98
@@ -329,7 +329,8 @@ def split_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the event's type is in the set of types its user is known for."""
     e = samples.table(spark, sf_dir, "events")
-    known = e.where("value > 20").select("user_id", "event_type").distinct().withColumn("leaked", F.lit(1))
+    known = e.where("value > 20").select("user_id", "event_type").distinct()
+    known = materialize(known.withColumn("leaked", F.lit(1)), "known")
     flagged = lookup_join(e.select("event_id", "user_id", "event_type"), known, ["user_id", "event_type"], "left")
     return flagged.select("event_id", F.coalesce("leaked", F.lit(0)).alias("leaked"))
 

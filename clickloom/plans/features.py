@@ -9,6 +9,7 @@ from clickloom.operators import counts, encode, metrics, prep, sparse, split
 from clickloom.operators.lookup import natural_join
 from clickloom.operators.ordinal import global_ordinal
 from clickloom.plans.registry import IMP, PREP, SPARSE, hash32_sql, query, rounded
+from clickloom.session import materialize
 from clickloom.sources import samples
 
 HASHED = ["siteid", "offerid", "category", "merchant", "countrycode", "devid"]
@@ -46,7 +47,7 @@ def pair_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Not imputed first, so that impressions without a site drop out."""
     imps = samples.impressions(spark, sf_dir).select("ID", "split", "siteid", "category")
-    x = counts.pair_count(imps, "siteid", "category", "site_cat_count")
+    x = materialize(counts.pair_count(imps, "siteid", "category", "site_cat_count"), "pairs")
     return natural_join(imps, x, weight="site_cat_count").select("ID", "site_cat_count")
 
 
@@ -141,7 +142,7 @@ def hashable(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = encode.hash_features(hashable(spark, sf_dir), HASHED)
-    return hashed.select("ID", F.explode("x").alias("idx"))
+    return hashed.select("ID", F.explode_outer("x").alias("idx"))
 
 
 _PAIRS_SQL = f"""pairs AS (
@@ -167,7 +168,7 @@ _CROSSED = hash32_sql("CAST(\"left\" AS VARCHAR) || '_' || CAST(\"right\" AS VAR
 )
 def hash_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     crossed = encode.hash_interactions(hashable(spark, sf_dir), HASHED)
-    return crossed.select("ID", F.explode("x").alias("idx"))
+    return crossed.select("ID", F.explode_outer("x").alias("idx"))
 
 
 @query(
@@ -180,7 +181,7 @@ def row_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples.sparse_rows(spark, sf_dir)
     both = encode.row_normalize(rows.withColumn("l2", F.col("features")), "features")
     both = encode.row_normalize(both, "l2", mode="l2")
-    zipped = both.select("vec_id", F.explode(F.arrays_zip("features", "l2")).alias("f"))
+    zipped = both.select("vec_id", F.explode_outer(F.arrays_zip("features", "l2")).alias("f"))
     long = zipped.select(
         "vec_id", "f.features.idx", F.col("f.features.value").alias("squared"), F.col("f.l2.value").alias("l2")
     )

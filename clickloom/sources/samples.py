@@ -4,15 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+_schemas: dict[str, T.StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A sample table; its schema is read from the file once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table with fewer splits than cores out to all cores.
+
+    The sample tables are one split each; larger tables pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Click log with train and test rows, from events, customers and parts."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"), "event_id")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
@@ -54,7 +71,7 @@ def sparse_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = F.transform(
         "embedding", lambda v, i: F.struct(i.cast("int").alias("idx"), v.cast("double").alias("value"))
     )
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings"), "vec_id").select(
         "vec_id", F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"), indexed.alias("features")
     )
 
@@ -82,7 +99,7 @@ def metric_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = table(spark, sf_dir, "events")
     runs = e.select(
-        F.explode(F.array(F.lit("all"), F.col("event_type"))).alias("run"),
+        F.explode_outer(F.array(F.lit("all"), F.col("event_type"))).alias("run"),
         day_number("ts").alias("iter"),
         "value",
     )

@@ -25,21 +25,21 @@ def read_state(spark: SparkSession, folder: str, version: int) -> DataFrame:
     return spark.read.parquet(_state_path(folder, version)).select("idx", "z", "n")
 
 
-def train_batch(batch: DataFrame, version: int, folder: str, p: ftrl.Ftrl, row_key: str = "ID") -> None:
+def train_batch(batch: DataFrame, version: int, folder: str, p: ftrl.Ftrl) -> None:
     """Score, learn and write the next state of one micro-batch."""
     spark = batch.sparkSession
     state = read_state(spark, folder, version - 1)
-    done = ftrl.update(state, ftrl.score(batch, state, p, row_key), p)
+    done = ftrl.update(state, ftrl.score(batch, state, p), p)
     done.write.mode("overwrite").parquet(_state_path(folder, version))
 
 
-def start(rows: DataFrame, folder: str, p: ftrl.Ftrl = ftrl.Ftrl(), row_key: str = "ID") -> StreamingQuery:
-    """Learn from a streaming ``(row key, y, x)`` frame until its present files are done.
+def start(rows: DataFrame, folder: str, p: ftrl.Ftrl = ftrl.Ftrl()) -> StreamingQuery:
+    """Learn from a streaming ``(y, x)`` frame until its present files are done.
 
     ``folder`` keeps the states and the stream's checkpoint and must be shared.
     """
     return (
-        rows.writeStream.foreachBatch(lambda batch, version: train_batch(batch, version, folder, p, row_key))
+        rows.writeStream.foreachBatch(lambda batch, version: train_batch(batch, version, folder, p))
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
