@@ -26,9 +26,13 @@ def model_frame(
     Null keys are kept by default so that every test row gets a prediction.
     """
     df = prep.prepare(imps, fill)
-    df = counts.add_pair_counts(df, counts.FEATURE_SETS[n_counts], null_keys=null_keys) if n_counts else df
+    names = counts.FEATURE_SETS[n_counts] if n_counts else []
     text = prep.columns_of_type(df, T.StringType, exclude=("ID", "split"))
-    return encode.label_encode(df, text)
+    # The same rows as after counting, without computing the counts for it.
+    kept = df.na.drop(subset=counts.key_columns(names)) if names and null_keys == "drop" else df
+    codes = encode.fit_codes(kept, text)
+    counted = counts.add_pair_counts(df, names, null_keys=null_keys) if names else df
+    return encode.apply_codes(counted, codes, text)
 
 
 def assemble(df: DataFrame, features: list[str], name: str = "features") -> DataFrame:

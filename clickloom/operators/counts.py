@@ -76,7 +76,7 @@ def add_pair_counts(
     if null_keys not in ("drop", "keep"):
         raise ValueError(f"null_keys must be 'drop' or 'keep', not {null_keys!r}")
     wanted = {f: PAIRS[f] for f in features}
-    columns = list(dict.fromkeys(c for p in wanted.values() for c in p))
+    columns = key_columns(features)
     if null_keys == "drop":
         # Counts are taken before rows go, so a pair still counts rows with nulls elsewhere.
         present = df.na.drop(subset=columns)
@@ -101,6 +101,11 @@ def add_pair_counts(
     return out.select(*df.columns, *[F.col(_column(p)).alias(f) for f, p in wanted.items()])
 
 
+def key_columns(features: list[str]) -> list[str]:
+    """Columns the named features are keyed on."""
+    return list(dict.fromkeys(c for f in features for c in PAIRS[f]))
+
+
 def _column(pair: tuple[str, str]) -> str:
     return f"_n_{pair[0]}_{pair[1]}"
 

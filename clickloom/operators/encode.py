@@ -44,9 +44,15 @@ def label_codes(df: DataFrame, columns: list[str], buckets: int | None = None) -
     return ranked.withColumn("code", F.col("code") - 1)
 
 
-def label_encode(df: DataFrame, columns: list[str], limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
-    """Replace values by their codes over the whole frame (train and test together)."""
-    codes = materialize(label_codes(df, columns), "codes", ("column",))
+def fit_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The code table of ``label_codes``, written out, one folder per column."""
+    return materialize(label_codes(df, columns), "codes", ("column",))
+
+
+def apply_codes(
+    df: DataFrame, codes: DataFrame, columns: list[str], limits: JoinLimits = DEFAULT_LIMITS
+) -> DataFrame:
+    """Replace values by their codes; an unknown value becomes null."""
     per_column = codes.groupBy("column").agg(F.sum(row_bytes(codes)).alias("b"))
     sizes = {r["column"]: r["b"] for r in per_column.collect()}
     out = df
@@ -58,6 +64,11 @@ def label_encode(df: DataFrame, columns: list[str], limits: JoinLimits = DEFAULT
     return out.select(*[F.col(f"_code_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def label_encode(df: DataFrame, columns: list[str], limits: JoinLimits = DEFAULT_LIMITS) -> DataFrame:
+    """Replace values by their codes over the whole frame (train and test together)."""
+    return apply_codes(df, fit_codes(df, columns), columns, limits)
+
+
 def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per column, from one pass."""
     stats = df.agg(

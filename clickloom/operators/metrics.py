@@ -41,26 +41,20 @@ def roc_auc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) ->
     return ladder.groupBy(*by).agg(fn.safe_ratio(pairs, both).alias("auc"))
 
 
-def totals(ladder: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return ladder.groupBy(*by).agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
-
-
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """ROC points ``(threshold, fpr, tpr)``, one per distinct score.
 
     The origin, where nothing is predicted positive, has no threshold.
     """
     ladder = score_ladder(df, score, label)
-    sums = df.agg(
-        F.sum(F.col(label).cast("bigint")).alias("P"), F.sum(1 - F.col(label).cast("bigint")).alias("N")
-    ).first()
+    sums = ladder.agg(F.sum("p").alias("P"), F.sum("n").alias("N")).first()
     p, n = (float(sums["P"]) if sums["P"] else None), (float(sums["N"]) if sums["N"] else None)
     points = ladder.select(
         F.col(score).cast("double").alias("threshold"),
         (F.col("fp") / F.lit(n).cast("double")).alias("fpr"),
         (F.col("tp") / F.lit(p).cast("double")).alias("tpr"),
     )
-    origin = df.groupBy().agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = df.sparkSession.createDataFrame([(None, 0.0, 0.0)], points.schema)
     return points.unionByName(origin)
 
 

@@ -192,11 +192,8 @@ _SWEEP = [0.0, ensemble.ALT_STACK_WEIGHT, ensemble.STACK_WEIGHT, 0.5, 1.0]
 def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of every blend weight; all weights share one aggregation."""
     mixed = ensemble.blend_sweep(scored(spark, sf_dir), "score_a", "score_b", _SWEEP, "click")
-    ranked = rounded(metrics.roc_auc(mixed, "score", "click", ("weight",)), "auc")
-    better = ranked.select(F.col("auc").alias("other"))
-    # One row per weight on both sides.
-    above = ranked.join(F.broadcast(better), F.col("other") > F.col("auc"), "left")
-    return above.groupBy("weight", "auc").agg((F.count("other") + 1).cast("int").alias("rank"))
+    aucs = rounded(metrics.roc_auc(mixed, "score", "click", ("weight",)), "auc")
+    return ensemble.rank_sweep(aucs, "auc")
 
 
 @query(

@@ -24,10 +24,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _kind(v: Any) -> Any:
-    if isinstance(v, float) and math.isnan(v):
-        return "NaN"
-    if isinstance(v, float) and v == 0:
-        return 0.0
+    if isinstance(v, float) and (math.isnan(v) or v == 0):
+        return repr(v)
     return v
 
 
