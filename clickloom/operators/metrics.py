@@ -6,7 +6,7 @@ however frequent, stays in one task.
 
 from __future__ import annotations
 
-from math import isnan, sqrt
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +19,16 @@ CORRELATIONS = "feature_a string, feature_b string, corr double"
 
 
 def score_ladder(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """One row per distinct score: positives ``p``, negatives ``n`` and, counted from
+    """One row per distinct ``score``: positives ``p``, negatives ``n`` and, counted from
     the highest score down and including this one, ``tp`` and ``fp``.
 
     The scored rows, often a model's output, are computed once; the rest reads the steps.
     """
-    steps = df.groupBy(*by, score).agg(
-        F.sum(F.col(label).cast("bigint")).alias("p"),
-        F.sum(1 - F.col(label).cast("bigint")).alias("n"),
-    )
+    hit = F.col(label).cast("bigint")
+    rows = df.select(*by, F.col(score).alias("score"), hit.alias("_hit"))
+    steps = rows.groupBy(*by, "score").agg(F.sum("_hit").alias("p"), F.sum(1 - F.col("_hit")).alias("n"))
     return running_totals(
-        materialize(steps, "steps"), [score], {"tp": F.col("p"), "fp": F.col("n")}, by, descending=True
+        materialize(steps, "steps"), ["score"], {"tp": F.col("p"), "fp": F.col("n")}, by, descending=True
     )
 
 
@@ -50,7 +49,7 @@ def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     sums = ladder.agg(F.sum("p").alias("P"), F.sum("n").alias("N")).first()
     p, n = (float(sums["P"]) if sums["P"] else None), (float(sums["N"]) if sums["N"] else None)
     points = ladder.select(
-        F.col(score).cast("double").alias("threshold"),
+        F.col("score").cast("double").alias("threshold"),
         (F.col("fp") / F.lit(n).cast("double")).alias("fpr"),
         (F.col("tp") / F.lit(p).cast("double")).alias("tpr"),
     )
@@ -143,9 +142,19 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     holed = [i for i, (a, b) in enumerate(pairs) if not {a, b} <= whole]
     values: dict[int, float | None] = {}
     if holed:
-        apart = df.agg(*[F.corr(x[pairs[i][0]], x[pairs[i][1]]).alias(f"c{i}") for i in holed]).first()
-        values = {i: apart[f"c{i}"] for i in holed}
-        values = {i: None if v is None or isnan(v) else v for i, v in values.items()}
+        parts = []
+        for i in holed:
+            a, b = (x[c] for c in pairs[i])
+            both = a.isNotNull() & b.isNotNull()
+            parts += [
+                F.covar_pop(a, b).alias(f"c{i}"),
+                F.var_pop(F.when(both, a)).alias(f"a{i}"),
+                F.var_pop(F.when(both, b)).alias(f"b{i}"),
+            ]
+        apart = df.agg(*parts).first()
+        for i in holed:
+            shared = (apart[f"a{i}"] or 0.0) * (apart[f"b{i}"] or 0.0)
+            values[i] = apart[f"c{i}"] / sqrt(shared) if shared > 0 else None
 
     def spread(c: str) -> float:
         """Squared deviations, or 0 if they are only rounding."""

@@ -71,7 +71,8 @@ def _auc(scored: DataFrame, score: str = "click_score") -> float | None:
 
 def _submit(scored: DataFrame, score: str, inputs: Inputs, run: str, auc: float | None) -> str:
     path = writers.scored_path(inputs.out, run, "auc", auc if auc is not None else float("nan"))
-    return writers.write_csv(writers.submission_frame(scored, score), path)
+    # A run repeated with the same score replaces its file.
+    return writers.write_csv(writers.submission_frame(scored, score), path, mode="overwrite")
 
 
 def _finish(name: str, inputs: Inputs, data: Prepared, score: Callable[[DataFrame], DataFrame]) -> Run:

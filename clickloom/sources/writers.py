@@ -13,9 +13,9 @@ def submission_frame(df: DataFrame, score: str | Column, row_key: str = "ID") ->
     return df.select(F.col(row_key).alias("ID"), score.cast("double").alias("click"))
 
 
-def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",") -> str:
+def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", mode: str = "error") -> str:
     """Write one file per task; readers take the folder as the table."""
-    df.write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path, header=header, sep=sep)
+    df.write.mode(mode).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path, header=header, sep=sep)
     return path
 
 

@@ -11,6 +11,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 from clickloom.session import build_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
+MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -29,13 +30,15 @@ def imps(spark):
 
 
 @pytest.fixture(scope="session")
-def learnable(imps):
+def learnable(spark):
     """Impressions whose label follows category and device, with 10% flipped."""
     from pyspark.sql import functions as F
 
     from clickloom.functions.scalar import unit_hash
     from clickloom.session import materialize
+    from clickloom.sources import samples
 
+    imps = samples.impressions(spark, MEDIUM)
     rule = (F.col("category") > 25) == F.col("devid").isin("Mobile", "Desktop")
     rule = F.coalesce(rule, F.lit(False))
     flip = unit_hash(F.col("ID"), seed="flip") < 0.1
