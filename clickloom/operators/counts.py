@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.operators.lookup import DEFAULT_LIMITS, JoinLimits, lookup_join, row_bytes
+from clickloom.operators.lookup import DEFAULT_LIMITS, JoinLimits, lookup_join, row_bytes, within_total
 from clickloom.session import materialize
 
 # The named count features and their key pairs.
@@ -135,6 +135,7 @@ def _join_pair_tables(
         r["pair"]: r["b"]
         for r in tables.groupBy("pair").agg(F.sum(row_bytes(tables)).alias("b")).collect()
     }
+    sizes = within_total(sizes, limits)
     for i, (a, b) in enumerate(pairs):
         one = tables.where(F.col("pair") == i)
         if not null_safe:

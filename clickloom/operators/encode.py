@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import scalar as fn
-from clickloom.operators.lookup import DEFAULT_LIMITS, JoinLimits, lookup_join, row_bytes
+from clickloom.operators.lookup import DEFAULT_LIMITS, JoinLimits, lookup_join, row_bytes, within_total
 from clickloom.operators.ordinal import running_totals
 from clickloom.session import materialize
 
@@ -54,7 +54,7 @@ def apply_codes(
 ) -> DataFrame:
     """Replace values by their codes; an unknown value becomes null."""
     per_column = codes.groupBy("column").agg(F.sum(row_bytes(codes)).alias("b"))
-    sizes = {r["column"]: r["b"] for r in per_column.collect()}
+    sizes = within_total({r["column"]: r["b"] for r in per_column.collect()}, limits)
     out = df
     for c in columns:
         dtype = df.schema[c].dataType

@@ -37,6 +37,15 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE_SCHEMA)
 
 
+def save_state(state: DataFrame, path: str) -> str:
+    state.select("idx", "z", "n").write.parquet(path)
+    return path
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATE_SCHEMA).parquet(path)
+
+
 def lazy_weight(z: Column, n: Column, p: Ftrl) -> Column:
     """Weight of a slot; 0 while ``|z|`` is within the L1 penalty."""
     sign = fn.sign_or_one(z)

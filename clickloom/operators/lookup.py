@@ -15,9 +15,13 @@ from pyspark.sql import types as T
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """Sizes that decide how a lookup runs."""
+    """Sizes that decide how a lookup runs.
+
+    ``broadcast_total`` bounds all tables broadcast for one frame together.
+    """
 
     broadcast_bytes: int = 64 * 1024 * 1024
+    broadcast_total: int = 256 * 1024 * 1024
     hot_rows: int = 1_000_000
     hot_share: float = 1e-4
     salts: int = 64
@@ -42,6 +46,19 @@ def row_bytes(df: DataFrame) -> Column:
     return size
 
 
+def within_total(sizes: dict, limits: JoinLimits) -> dict:
+    """Sizes of several tables to look up in one frame, smallest first kept for broadcast.
+
+    Those that would exceed the total get a size no broadcast allows.
+    """
+    spent, out = 0, {}
+    for name, size in sorted(sizes.items(), key=lambda kv: kv[1]):
+        fits = spent + size <= limits.broadcast_total
+        spent += size if fits else 0
+        out[name] = size if fits else limits.broadcast_bytes + 1
+    return out
+
+
 def table_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()["b"]
 

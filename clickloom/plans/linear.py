@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import encode, ftrl, naive_bayes, sparse, split
 from clickloom.plans.features import HASHED, SLOTS, SLOT_LIST, hashable, prepared, unit_sql
-from clickloom.plans.registry import PREP, SPARSE, query, rounded
-from clickloom.session import materialize
-from clickloom.sources import samples
+from clickloom.plans.registry import PREP, SPARSE, hash32_sql, query, rounded
+from clickloom.session import materialize, new_path
+from clickloom.sources import readers, samples, writers
 
 FACTORS = 4
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = sparse.to_long(samples.sparse_rows(spark, sf_dir), ["vec_id"])
-    return materialize(samples.fm_weights(long, FACTORS), "weights")
+    path = writers.write_weights(samples.fm_weights(long, FACTORS), new_path(spark, "weights"))
+    return readers.read_weights(spark, path)
 
 
 @query(
@@ -57,8 +58,6 @@ def field_tables(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def _field_sql() -> str:
-    from clickloom.plans.registry import hash32_sql
-
     slots = ", ".join(f"""{hash32_sql(f"'{c}_' || {c}")} % 1000 AS s{i}""" for i, c in enumerate(FIELDS))
     v = [[f"round(sin(s{i} * {i + 1} + {f}), 6)" for f in range(FACTORS)] for i in range(len(FIELDS))]
     terms = [f"round(cos(s{i}), 6)" for i in range(len(FIELDS))]

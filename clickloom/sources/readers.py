@@ -62,6 +62,10 @@ def read_numeric(spark: SparkSession, path: str, names: list[str], sep: str = ",
     return spark.read.schema(S.all_doubles(names)).csv(path, header=True, sep=sep)
 
 
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.FM_WEIGHTS).parquet(path)
+
+
 def read_metric_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.METRIC_LOG).csv(path, header=True, sep="\t")
 

@@ -36,6 +36,14 @@ TIME_LOG = T.StructType(
     ]
 )
 
+FM_WEIGHTS = T.StructType(
+    [
+        T.StructField("idx", T.IntegerType()),
+        T.StructField("w", T.DoubleType()),
+        T.StructField("v", T.ArrayType(T.DoubleType())),
+    ]
+)
+
 KEY_VALUE = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]
 )

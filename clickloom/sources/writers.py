@@ -40,6 +40,12 @@ def sparse_lines(df: DataFrame, label: str = "y", features: str = "features") ->
     return df.select(F.concat_ws(" ", F.col(label).cast("string"), F.array_join(pairs, " ")).alias("value"))
 
 
+def write_weights(weights: DataFrame, path: str) -> str:
+    """Factorisation-machine weights ``(idx, w, v)`` as a table."""
+    weights.select("idx", "w", "v").write.parquet(path)
+    return path
+
+
 def scored_path(base: str, run: str, metric: str, value: float) -> str:
     """Output folder named after the score it reached."""
     return f"{base}/{run}-{metric}-{value:.12g}"
