@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline
@@ -75,6 +76,18 @@ def rank_candidates(train: DataFrame, valid: DataFrame, models: dict[str, Estima
     return sorted(scores, key=lambda s: -s[1])
 
 
+def kfold_auc(train: DataFrame, build: Callable[[], Estimator], folds: int = 5) -> DataFrame:
+    """AUC on each hash fold of a model fitted on the others, ``(fold, auc)``."""
+    parts = []
+    with cached(add_fold(train, folds)) as rows:
+        for k in range(folds):
+            held = build().fit(rows.where(F.col("fold") != k)).transform(rows.where(F.col("fold") == k))
+            score = click_probability() if "probability" in held.columns else F.col("prediction")
+            parts.append(held.select("fold", "label", score.alias("score")))
+        scored = reduce(DataFrame.unionByName, parts)
+        return materialize(metrics.roc_auc(scored, "score", "label", ("fold",)), "folds")
+
+
 def cv_rounds(train: DataFrame, boost: Boost, folds: int = 3) -> DataFrame:
     """Mean and deviation of the validation AUC after each round, over hash folds."""
     parts = []

@@ -289,13 +289,12 @@ def scalar_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lookup_enrich",
     """SELECT e.event_id, COALESCE(c.c_mktsegment, '') AS segment, COALESCE(CAST(c.c_nationkey AS VARCHAR), '') AS nation
-    FROM events e LEFT JOIN customer c ON e.user_id + 75 * (e.event_id % 30) = c.c_custkey""",
+    FROM events e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON e.user_id = c.c_custkey""",
 )
 def lookup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer attributes per event, some of whose keys have no customer."""
-    key = F.col("user_id") + 75 * (F.col("event_id") % 30)
-    e = samples.table(spark, sf_dir, "events").select("event_id", key.alias("c_custkey"))
-    c = samples.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    """Attributes of customers in credit; events of other users keep empty ones."""
+    e = samples.table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("c_custkey"))
+    c = samples.table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment", "c_nationkey")
     joined = lookup_join(e, c, ["c_custkey"], "left")
     return joined.select(
         "event_id",
@@ -306,17 +305,11 @@ def lookup_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "split_hierarchy",
-    """SELECT p_partkey, split_part(h, '>', 1) AS level1, split_part(h, '>', 2) AS level2, split_part(h, '>', 3) AS level3
-    FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 3 = 1 THEN p_type || '>' || p_brand
-      ELSE p_type || '>' || p_brand || '>' || p_name END AS h FROM part)""",
+    """SELECT p_partkey, split_part(p_name, ' ', 1) AS level1, split_part(p_name, ' ', 2) AS level2,
+    split_part(p_name, ' ', 3) AS level3 FROM part""",
 )
 def split_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = samples.table(spark, sf_dir, "part")
-    depth = F.col("p_partkey") % 3
-    path = F.concat_ws(
-        ">", "p_type", F.when(depth >= 1, F.col("p_brand")), F.when(depth == 2, F.col("p_name"))
-    )
-    levels = prep.split_hierarchy(p.withColumn("h", path), "h")
+    levels = prep.split_hierarchy(samples.table(spark, sf_dir, "part"), "p_name", " ")
     return levels.select("p_partkey", "level1", "level2", "level3")
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def categorical(spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.
     )
 
 
-def pipeline_run(spark: SparkSession, inputs: Inputs, name: str, build: Callable[[int], Estimator]) -> Run:
+def estimator_run(spark: SparkSession, inputs: Inputs, name: str, build: Callable[[int], Estimator]) -> Run:
     """Any estimator over ``features``/``label``: perceptron, factorisation machine, naive Bayes."""
     data = prepare(spark, inputs)
     with frame.cached(data.fit) as rows:
@@ -142,11 +143,40 @@ def pipeline_run(spark: SparkSession, inputs: Inputs, name: str, build: Callable
 
 
 def perceptron(spark: SparkSession, inputs: Inputs) -> Run:
-    return pipeline_run(spark, inputs, "perceptron", others.perceptron)
+    return estimator_run(spark, inputs, "perceptron", others.perceptron)
+
+
+def perceptron_folds(spark: SparkSession, inputs: Inputs, folds: int = 5, rounds: int = 50) -> Run:
+    """Perceptron judged by its mean AUC over folds, then fitted on all train rows."""
+    data = prepare(spark, inputs)
+    train = data.fit.unionByName(data.valid)
+    width = len(data.features)
+    aucs = search.kfold_auc(train, lambda: others.perceptron(width, rounds), folds)
+    summary = metrics.fold_summary(aucs, "auc").first()
+    with frame.cached(train) as rows:
+        model = others.perceptron(width, rounds).fit(rows)
+    scored = model.transform(data.test).withColumn("click_score", frame.click_probability())
+    path = _submit(scored, "click_score", inputs, "perceptron-folds", summary["mean_auc"])
+    return Run(path, {"auc": summary["mean_auc"], "std_auc": summary["std_auc"]})
+
+
+def tuned(
+    spark: SparkSession, inputs: Inputs, boost: trees.Boost, depths: list[int], steps: list[float], folds: int = 5
+) -> Run:
+    """Boosted trees with the depth and step a grid search over folds likes best."""
+    data = prepare(spark, inputs)
+    estimator = boost.classifier()
+    grid = ParamGridBuilder().addGrid(estimator.maxDepth, depths).addGrid(estimator.stepSize, steps).build()
+    found = search.grid_search(data.fit, estimator, grid, folds)
+    best = search.grid_report(found)[0]
+    run = _finish(
+        "tuned", inputs, data, lambda df: found.bestModel.transform(df).withColumn("click_score", frame.click_probability())
+    )
+    return Run(run.path, {**run.metrics, "cv_auc": best[1], "cv_std": best[2]})
 
 
 def factorisation_machine(spark: SparkSession, inputs: Inputs) -> Run:
-    return pipeline_run(spark, inputs, "fm", lambda _: others.factorisation_machine())
+    return estimator_run(spark, inputs, "fm", lambda _: others.factorisation_machine())
 
 
 def best_candidate(spark: SparkSession, inputs: Inputs) -> Run:
@@ -218,8 +248,12 @@ def online(
     epochs: int = 5,
     batches: int = 10,
     interactions: bool = False,
+    holdout_every: int | None = None,
+    holdout_after: str | None = None,
 ) -> Run:
-    """FTRL on hashed columns. The metric is the AUC on the train rows, as labelled."""
+    """FTRL on hashed columns. The metrics are the AUC on the train rows, as labelled, and
+    the losses of the last epoch; held-out rows are measured but not learnt.
+    """
     barred = {"ID", "click"} & set(columns)
     if barred:
         raise ValueError(f"{sorted(barred)} must not be hashed as features")
@@ -228,8 +262,17 @@ def online(
     hashed = (encode.hash_interactions if interactions else encode.hash_features)(imps, columns, p.size)
     y = F.col("click").cast("double").alias("y")
     train = hashed.where("split = 'train'").select("ID", "datetime", y, "x")
+    if holdout_every or holdout_after:
+        train = prep.mark_holdout(train, ["datetime", "ID"], holdout_every, holdout_after)
     model = ftrl.fit(train, p, epochs, batches)
     seen = ftrl.score(train.select("ID", "y", "x"), model.best_state, p).withColumn("label", F.col("y"))
     auc = _auc(seen, "p")
     test = ftrl.score(hashed.where("split = 'test'").select("ID", "x"), model.best_state, p)
-    return Run(_submit(test, "p", inputs, "ftrl", auc), {"train_auc": auc})
+    last = [r for r in model.log if r["epoch"] == epochs - 1]
+    measured = {"train_auc": auc, "loss": _mean(last, "loss", "rows"), "held_loss": _mean(last, "held_loss", "held_rows")}
+    return Run(_submit(test, "p", inputs, "ftrl", auc), {k: v for k, v in measured.items() if v is not None})
+
+
+def _mean(log: list[dict[str, float]], total: str, rows: str) -> float | None:
+    n = sum(r[rows] for r in log)
+    return sum(r[total] for r in log) / n if n else None

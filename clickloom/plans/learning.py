@@ -177,14 +177,7 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mlp_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC of the perceptron on each of five folds, with mean and deviation."""
     train, _, features = assembled(spark, sf_dir)
-    scored = None
-    with frame.cached(split.add_fold(train, 5)) as rows:
-        for k in range(5):
-            model = others.perceptron(len(features), rounds=5).fit(rows.where(F.col("fold") != k))
-            held = model.transform(rows.where(F.col("fold") == k))
-            part = held.select("fold", "label", frame.click_probability().alias("score"))
-            scored = part if scored is None else scored.unionByName(part)
-        aucs = materialize(metrics.roc_auc(scored, "score", "label", ("fold",)), "folds")
+    aucs = search.kfold_auc(train, lambda: others.perceptron(len(features), rounds=5), 5)
     return metrics.fold_summary(aucs, "auc")
 
 
@@ -196,6 +189,14 @@ def fm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.score_classifier(model, test)
 
 
+@query("fm_regress")
+def fm_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, _ = assembled(spark, sf_dir)
+    with frame.cached(train) as rows:
+        model = others.factorisation_regression(rounds=30).fit(rows)
+    return regression_scores(model, test)
+
+
 @query("model_roundtrip")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a model and of its saved and reloaded copy."""

@@ -67,6 +67,24 @@ def test_scaled_and_sampled(spark, inputs, learnable):
     check(spark, flows.perceptron(spark, half), learnable, 0.0)
 
 
+def test_tuned_run(spark, inputs, learnable):
+    run = flows.tuned(spark, inputs, BOOST, depths=[1, 4], steps=[0.1], folds=2)
+    check(spark, run, learnable, 0.7)
+    assert run.metrics["cv_auc"] > 0.7
+
+
+def test_perceptron_over_folds(spark, inputs, learnable):
+    run = flows.perceptron_folds(spark, inputs, folds=2, rounds=3)
+    check(spark, run, learnable, 0.0)
+    assert run.metrics["std_auc"] >= 0
+
+
+def test_online_run_with_holdout(spark, inputs, learnable):
+    run = flows.online(spark, inputs, ["category", "devid"], epochs=1, batches=3, holdout_every=5, interactions=True)
+    check(spark, run, learnable, 0.7)
+    assert 0 < run.metrics["held_loss"] < 1
+
+
 def test_label_and_id_cannot_be_hashed(spark, inputs):
     with pytest.raises(ValueError):
         flows.online(spark, inputs, ["ID", "category"])
