@@ -16,7 +16,7 @@ from pyspark.ml.regression import (
     GBTRegressor,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
@@ -62,22 +62,31 @@ BAGGED = {"row_share": 0.95, "feature_share": "0.4"}
 LIGHT_BAGGED = {"row_share": 0.5, "feature_share": "0.6"}
 
 
+def _tree_outputs(model: GBTClassificationModel, df: DataFrame, rounds: int) -> DataFrame:
+    """Add ``_outputs``: the weighted output of each of the first ``rounds`` trees."""
+    out, outputs = df, []
+    for i, (tree, weight) in enumerate(zip(model.trees[:rounds], model.treeWeights)):
+        staged = tree.copy().setFeaturesCol(model.getFeaturesCol()).setPredictionCol(f"_t{i}")
+        out = staged.transform(out)
+        outputs.append(F.col(f"_t{i}") * float(weight))
+    return out.select(*df.columns, F.array(*outputs).alias("_outputs"))
+
+
 def tree_margins(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``margins``: the boosted margin after each tree, first to last."""
-    out, running = df, F.lit(0.0)
-    steps = []
-    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
-        name = f"_t{i}"
-        staged = tree.copy().setFeaturesCol(model.getFeaturesCol()).setPredictionCol(name)
-        out = staged.transform(out)
-        running = running + F.col(name) * float(weight)
-        steps.append(running)
-    return out.select(*df.columns, F.array(*steps).alias("margins"))
+    start = F.array().cast("array<double>")
+    so_far = F.aggregate(
+        "_outputs",
+        start,
+        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)),
+    )
+    return _tree_outputs(model, df, len(model.trees)).select(*df.columns, so_far.alias("margins"))
 
 
-def staged_probability(margins: str, rounds: int) -> Column:
-    """Click probability after ``rounds`` trees."""
-    return fn.sigmoid(2.0 * F.col(margins)[rounds - 1])
+def with_staged_probability(model: GBTClassificationModel, df: DataFrame, rounds: int, name: str) -> DataFrame:
+    """Add the click probability after the first ``rounds`` trees."""
+    staged = _tree_outputs(model, df, rounds)
+    return staged.withColumn(name, fn.sigmoid(2.0 * fn.array_sum(F.col("_outputs")))).drop("_outputs")
 
 
 def iteration_log(model: GBTClassificationModel, df: DataFrame, run: str, label: str = "label") -> DataFrame:
@@ -103,7 +112,7 @@ def fit_with_patience(
 
 def score_rounds(model: GBTClassificationModel, df: DataFrame, rounds: int) -> DataFrame:
     """``(ID, click)`` from the first ``rounds`` trees."""
-    return tree_margins(model, df).select("ID", staged_probability("margins", rounds).alias("click"))
+    return with_staged_probability(model, df.select("ID", model.getFeaturesCol()), rounds, "click").select("ID", "click")
 
 
 def fit_classifier(train: DataFrame, boost: Boost) -> GBTClassificationModel:

@@ -99,8 +99,13 @@ def lookup_join(
     )
     near = [_same(F.col(k), F.col(f"_h_{k}"), null_safe) for k in keys]
     # At most rows / hot threshold entries.
-    marked = df.join(F.broadcast(hot), near, "left")
-    salt = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(*df.columns), F.lit(limits.salts))).otherwise(F.lit(0))
+    rows = df.na.drop(subset=keys) if how == "inner" and not null_safe else df
+    marked = rows.join(F.broadcast(hot), near, "left")
+    # Rows that find nothing for lack of a key are spread as well.
+    apart = F.coalesce(F.col("_hot"), F.lit(False))
+    if not null_safe:
+        apart = apart | F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    salt = F.when(apart, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(limits.salts))).otherwise(F.lit(0))
     marked = marked.withColumn("_salt", salt.cast("int"))
     cold = side.withColumn("_k_salt", F.lit(0))
     joined = marked.join(cold, [*match, F.col("_salt") == F.col("_k_salt")], "left")

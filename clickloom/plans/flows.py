@@ -52,7 +52,7 @@ class Prepared:
 def prepare(spark: SparkSession, inputs: Inputs) -> Prepared:
     """Read, derive features, sample the train rows and split off validation rows."""
     imps = readers.read_train_test(spark, inputs.train, inputs.test)
-    table = materialize(frame.model_frame(imps, inputs.n_counts, inputs.fill), "features")
+    table = materialize(frame.model_frame(imps, inputs.n_counts, inputs.fill), "features", ("split",))
     features = prep.feature_columns(table)
     train = table.where("split = 'train'")
     if inputs.sample < 1.0:
@@ -97,7 +97,7 @@ def boosted_early_stop(
     model, rounds, log = trees.fit_with_patience(data.fit, data.valid, boost, patience)
 
     def score(df: DataFrame) -> DataFrame:
-        return trees.tree_margins(model, df).withColumn("click_score", trees.staged_probability("margins", rounds))
+        return trees.with_staged_probability(model, df, rounds, "click_score")
 
     valid = materialize(score(data.valid).select("label", "click_score"), "valid")
     at_half = metrics.threshold_metrics(valid, "click_score", "label").first()
@@ -122,9 +122,7 @@ def categorical(spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.
     rounds = logs.best_iteration(log).first()["best_iter"] + 1
     return _finish(
         "categorical", inputs, data,
-        lambda df: trees.tree_margins(model, indexer.transform(df)).withColumn(
-            "click_score", trees.staged_probability("margins", rounds)
-        ),
+        lambda df: trees.with_staged_probability(model, indexer.transform(df), rounds, "click_score"),
     )
 
 

@@ -21,7 +21,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded features of all impressions, written once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _frames:
-        _frames[key] = materialize(frame.model_frame(samples.impressions(spark, sf_dir)), "features")
+        _frames[key] = materialize(frame.model_frame(samples.impressions(spark, sf_dir)), "features", ("split",))
     return _frames[key]
 
 

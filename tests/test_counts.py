@@ -105,3 +105,23 @@ def test_hot_rows_are_spread(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 4000
     assert max(sizes) < 2000
+
+
+def test_rows_without_a_key_are_spread(spark):
+    df = spark.range(4000).withColumn("k", F.when(F.col("id") >= 3000, F.col("id")))
+    table = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = lookup_join(df, table, ["k"], "left", limits=JoinLimits(-1, 10_000, 0.0, 64))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    assert out.where("v IS NULL").count() == 3000
+
+
+def test_broadcasts_share_a_budget():
+    from clickloom.operators.lookup import within_total
+
+    limits = JoinLimits(broadcast_bytes=50, broadcast_total=100)
+    assert within_total({"a": 40, "b": 10, "c": 45, "d": 30}, limits) == {"b": 10, "d": 30, "a": 40, "c": 51}
