@@ -34,16 +34,25 @@ def _literal(row: tuple, dtype: T.DataType) -> Column:
 def key_bounds(df: DataFrame, order_by: list[str], buckets: int, by: tuple[str, ...] = ()) -> list[Column]:
     """At most ``buckets - 1`` ascending keys that split ``df`` evenly.
 
-    The sample is the fixed number of rows with the smallest key hashes, so it is the same
-    on every run and its size does not grow with the data.
+    The sample is the rows with the smallest key hashes, the same on every run. A first
+    pass counts rows by the binary order of their hash, one short histogram, from which
+    the second knows how far down to go for a sample whose size does not grow with the data.
     """
     size = max(buckets * SAMPLES_PER_BUCKET, ONE_BUCKET_ROWS)
+    unit = F.shiftrightunsigned(F.xxhash64(*by, *order_by), 11) / F.lit(2.0**53)
+    order = F.when(unit > 0, F.floor(-F.log2(unit))).otherwise(F.lit(53)).cast("int")
     present = F.greatest(*[F.col(c).isNotNull().cast("int") for c in order_by], F.lit(0))
-    keys = df.where(present == 1).select(*by, *order_by)
-    sample = keys.orderBy(F.xxhash64(*by, *order_by), *order_by).limit(size).select(*order_by)
-    rows = [tuple(r) for r in sample.orderBy(*order_by).collect()]
-    if len(rows) < size or buckets < 2:
+    keys = df.where(present == 1).select(*order_by, order.alias("_order"))
+    counts = sorted(((r["_order"], r["count"]) for r in keys.groupBy("_order").count().collect()), reverse=True)
+    if sum(n for _, n in counts) < size or buckets < 2:
         return []
+    seen, least = 0, 0
+    for least, n in counts:
+        seen += n
+        if seen >= size:
+            break
+    sample = keys.where(F.col("_order") >= least).select(*order_by).distinct()
+    rows = [tuple(r) for r in sample.orderBy(*order_by).collect()]
     picks = [rows[i * len(rows) // buckets] for i in range(1, buckets)]
     distinct = [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
     _, dtype = _key(df, order_by)
@@ -85,7 +94,9 @@ def running_totals(
     parts = [*by, "_bucket"]
     names = list(measures)
     placed = df.select("*", *[m.alias(f"_m_{n}") for n, m in measures.items()])
-    placed = placed.withColumn("_bucket", bucket_of(key, bounds).cast("int"))
+    # As a generated column the bucket is computed once: filters and inferred join
+    # conditions on it would otherwise repeat the search below, on either side.
+    placed = placed.select("*", F.explode_outer(F.array(bucket_of(key, bounds).cast("int"))).alias("_bucket"))
 
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     upto = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -55,6 +55,13 @@ def test_buckets_hold_even_shares(numbers):
     assert max(sizes) < 250
 
 
+def test_a_repeated_key_does_not_swell_the_sample(spark):
+    """Two thirds of the rows share a key; the bounds still come from distinct keys."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(7)).alias("x"))
+    bounds = ordinal.key_bounds(df, ["x"], 8)
+    assert 1 <= len(bounds) <= 7
+
+
 def test_null_keys_come_first(spark):
     df = spark.createDataFrame([(None, 5), (2.0, 1), (1.0, 10)], "x double, m int")
     assert rows(running_totals(df, ["x"], {"s": F.col("m")}), "x", "s") == [(1.0, 15), (2.0, 16), (None, 5)]
