@@ -112,26 +112,42 @@ def ftrl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round_sql(batch: str, state: str | None, out: str) -> str:
-    """One FTRL round in SQL with alpha = beta = 0.1 and no penalties."""
+    """One FTRL round in SQL with alpha = beta = 0.1 and no penalties: scores, losses, state."""
     weight = f"(SELECT idx, CASE WHEN z = 0 THEN 0 ELSE -z / ((0.1 + sqrt(n)) / 0.1) END AS w, z, n FROM {state})" if state else (
         "(SELECT CAST(0 AS BIGINT) AS idx, 0.0 AS w, CAST(0 AS DOUBLE) AS z, CAST(0 AS DOUBLE) AS n WHERE false)"
     )
-    return f"""{out}_w AS {weight},
-    {out}_p AS (SELECT ID, any_value(y) AS y, 1 / (1 + exp(-greatest(least(sum(COALESCE(w, 0)), 35.0), -35.0))) AS p
+    return f"""{out}_w AS MATERIALIZED {weight},
+    {out}_p AS MATERIALIZED (SELECT ID, any_value(y) AS y, any_value(held) AS held,
+      1 / (1 + exp(-greatest(least(sum(COALESCE(w, 0)), 35.0), -35.0))) AS p
       FROM long LEFT JOIN {out}_w USING (idx) WHERE {batch} GROUP BY ID),
-    {out}_g AS (SELECT idx, sum(p - {out}_p.y) AS g FROM long JOIN {out}_p USING (ID) GROUP BY idx),
-    {out} AS (SELECT COALESCE(s.idx, d.idx) AS idx,
+    {out}_l AS (SELECT held, CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END AS loss FROM {out}_p),
+    {out}_g AS MATERIALIZED (SELECT idx, sum(p - {out}_p.y) AS g FROM long JOIN {out}_p USING (ID) WHERE {out}_p.held = 0 GROUP BY idx),
+    {out} AS MATERIALIZED (SELECT COALESCE(s.idx, d.idx) AS idx,
       COALESCE(z, 0) + COALESCE(g, 0) - (sqrt(COALESCE(n, 0) + COALESCE(g, 0) * COALESCE(g, 0)) - sqrt(COALESCE(n, 0))) / 0.1 * COALESCE(w, 0) AS z,
       COALESCE(n, 0) + COALESCE(g, 0) * COALESCE(g, 0) AS n
       FROM {out}_w s FULL OUTER JOIN {out}_g d ON s.idx = d.idx)"""
 
 
+def _train_sql(batch: str, held: str = "0") -> str:
+    """Train rows in long form; ``t`` is a row's place in time and ``total`` their number."""
+    return f"""{SLOTS}, rows AS (SELECT ID, CAST(click AS DOUBLE) AS y, row_number() OVER (ORDER BY datetime, ID) - 1 AS t,
+      count(*) OVER () AS total, [CAST(0 AS BIGINT)] || {SLOT_LIST} AS x FROM slots WHERE split = 'train'),
+    long AS MATERIALIZED (SELECT ID, y, {batch} AS batch, {held} AS held, unnest(x) AS idx FROM rows)"""
+
+
+def _batch_sql(batches: int) -> str:
+    return f"CAST(t // ((total + {batches - 1}) // {batches}) AS INT)"
+
+
+def _rounds_sql(batches: int, epochs: int = 1) -> str:
+    """The chain of states ``s1``, ``s2``, … over all batches and epochs."""
+    order = [b for _ in range(epochs) for b in range(batches)]
+    return ", ".join(_round_sql(f"batch = {b}", f"s{i}" if i else None, f"s{i + 1}") for i, b in enumerate(order))
+
+
 @query(
     "ftrl_round",
-    f"""WITH {SLOTS}, rows AS (SELECT ID, CAST(click AS DOUBLE) AS y, {unit_sql("ID || '_2017'")} < 0.5 AS first_half,
-      [CAST(0 AS BIGINT)] || {SLOT_LIST} AS x FROM slots WHERE split = 'train'),
-    long AS (SELECT ID, y, first_half, unnest(x) AS idx FROM rows),
-    {_round_sql("first_half", None, "s1")}, {_round_sql("NOT first_half", "s1", "s2")}
+    f"""WITH {_train_sql(f"CASE WHEN {unit_sql("ID || '_2017'")} < 0.5 THEN 0 ELSE 1 END")}, {_rounds_sql(2)}
     SELECT idx, round(z, 4) AS z, round(n, 4) AS n FROM s2""",
 )
 def ftrl_round(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,17 +160,56 @@ def ftrl_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(state, "z", "n", digits=4)
 
 
-@query("ftrl_fit")
+FIT_EPOCHS, FIT_BATCHES = 2, 3
+
+
+def _fit_sql() -> str:
+    def epoch_loss(e: int) -> str:
+        parts = [f"SELECT loss FROM s{e * FIT_BATCHES + b + 1}_l" for b in range(FIT_BATCHES)]
+        return f"(SELECT avg(loss) FROM ({' UNION ALL '.join(parts)}))"
+
+    first, second = f"s{FIT_BATCHES}", f"s{2 * FIT_BATCHES}"
+    return f"""WITH {_train_sql(_batch_sql(FIT_BATCHES))}, {_rounds_sql(FIT_BATCHES, FIT_EPOCHS)},
+    losses AS MATERIALIZED (SELECT {epoch_loss(0)} AS first_loss, {epoch_loss(1)} AS second_loss),
+    best AS MATERIALIZED (SELECT idx, z, n FROM {first}, losses WHERE first_loss <= second_loss
+      UNION ALL SELECT idx, z, n FROM {second}, losses WHERE second_loss < first_loss),
+    weights AS (SELECT idx, CASE WHEN z = 0 THEN 0 ELSE -z / ((0.1 + sqrt(n)) / 0.1) END AS w FROM best),
+    test AS (SELECT ID, unnest([CAST(0 AS BIGINT)] || {SLOT_LIST}) AS idx FROM slots WHERE split = 'test')
+    SELECT ID, round(1 / (1 + exp(-greatest(least(sum(COALESCE(w, 0)), 35.0), -35.0))), 6) AS click
+    FROM test LEFT JOIN weights USING (idx) GROUP BY ID"""
+
+
+@query("ftrl_fit", _fit_sql())
 def ftrl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test scores of the state with the best training loss over the epochs."""
-    model = ftrl.fit(ftrl_rows(spark, sf_dir), epochs=2, batches=5)
+    model = ftrl.fit(ftrl_rows(spark, sf_dir), epochs=FIT_EPOCHS, batches=FIT_BATCHES)
     test = encode.hash_features(hashable(spark, sf_dir).where("split = 'test'"), HASHED).select("ID", "x")
-    return ftrl.score(test, model.best_state, ftrl.Ftrl()).select("ID", F.col("p").alias("click"))
+    scored = ftrl.score(test, model.best_state, ftrl.Ftrl()).select("ID", F.col("p").alias("click"))
+    return rounded(scored, "click")
+
+
+PROGRESS_BATCHES = 5
 
 
-@query("progressive_loss")
+def progress_sql(held: str, columns: str) -> str:
+    """Losses of every batch before it is learnt; ``l`` has ``batch``, ``held`` and ``loss``."""
+    parts = " UNION ALL ".join(f"SELECT {b} AS batch, held, loss FROM s{b + 1}_l" for b in range(PROGRESS_BATCHES))
+    return f"""WITH {_train_sql(_batch_sql(PROGRESS_BATCHES), held)}, {_rounds_sql(PROGRESS_BATCHES)}, l AS ({parts})
+    SELECT {columns} FROM l GROUP BY batch"""
+
+
+@query(
+    "progressive_loss",
+    progress_sql(
+        f"CASE WHEN {unit_sql("ID || '_holdout'")} < 0.1 THEN 1 ELSE 0 END",
+        """0 AS epoch, batch, CAST(count(*) FILTER (WHERE held = 0) AS BIGINT) AS rows,
+        round(avg(loss) FILTER (WHERE held = 0), 6) AS loss, CAST(count(*) FILTER (WHERE held = 1) AS BIGINT) AS held_rows,
+        round(avg(loss) FILTER (WHERE held = 1), 6) AS held_loss""",
+    ),
+)
 def progressive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of each batch scored before it is learnt; every 10th row is held out."""
+    """Loss of each batch scored before it is learnt; a tenth of the rows is held out."""
     rows = ftrl_rows(spark, sf_dir)
     held = rows.withColumn("holdout", (split.place(seed="holdout") < 0.1).cast("int"))
-    return ftrl.log_frame(spark, ftrl.fit(held, epochs=1, batches=5).log)
+    log = ftrl.log_frame(spark, ftrl.fit(held, epochs=1, batches=PROGRESS_BATCHES).log)
+    return rounded(log, "loss", "held_loss")

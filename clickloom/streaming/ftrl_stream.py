@@ -46,8 +46,14 @@ def start(rows: DataFrame, folder: str, p: ftrl.Ftrl = ftrl.Ftrl()) -> Streaming
     )
 
 
-def stream_rows(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_rows(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
+) -> DataFrame:
+    """Files of a folder as a stream; without a limit, all that are new form one batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def progress(spark: SparkSession, folder: str, versions: int) -> DataFrame:
