@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.models import frame, others, search, stacking, trees
-from clickloom.operators import ensemble, logs, metrics, prep, split
-from clickloom.plans.registry import query
+from clickloom.operators import counts, ensemble, logs, metrics, prep, split
+from clickloom.plans.registry import PREP, query, rounded
 from clickloom.session import materialize, new_path
 from clickloom.sources import samples
 
@@ -197,39 +197,74 @@ def fm_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression_scores(model, test)
 
 
-@query("model_roundtrip")
-def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of a model and of its saved and reloaded copy."""
-    train, test, _ = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = others.factorisation_machine(rounds=5).fit(rows)
-    path = new_path(spark, "model")
-    model.write().save(path)
-    again = PipelineModel.load(path)
-    saved = trees.score_classifier(model, test)
-    loaded = trees.score_classifier(again, test).withColumnRenamed("click", "click_loaded")
-    return saved.join(loaded, "ID")
+def _nb_sql(columns: str) -> str:
+    """Bernoulli naive Bayes with a smoothed prior, over every model feature above 0.
+
+    A code is above 0 unless its value is the smallest; a count always is.
+    """
+    coded = {"browserid", "countrycode", "devid"}
+    plain = {"category", "merchant", "offerid", "siteid", "thour", "tminute", "tweekday"}
+    names = sorted(coded | plain | set(counts.FEATURE_SETS[6]))
+
+    def above(c: str) -> str:
+        test = f"{c} > (SELECT min({c}) FROM prep)" if c in coded else f"{c} > 0" if c in plain else "true"
+        return f"CASE WHEN {test} THEN 1 ELSE 0 END AS {c}"
+
+    on = ", ".join(f"sum({c}) AS on_{c}" for c in names)
+    share = "(m.on_{c} + 1) / CAST(m.n + 2 AS DOUBLE)"
+    terms = " + ".join(
+        f"ln(CASE WHEN t.{c} = 1 THEN {share.format(c=c)} ELSE 1 - {share.format(c=c)} END)" for c in names
+    )
+    return f"""WITH {PREP}, codes AS (SELECT ID, CAST(dense_rank() OVER (ORDER BY browserid) - 1 AS DOUBLE) AS browser FROM prep),
+    f AS (SELECT ID, split, click, {", ".join(above(c) for c in names)} FROM prep),
+    m AS (SELECT click, count(*) AS n, {on} FROM f WHERE split = 'train' GROUP BY click),
+    j AS (SELECT t.ID, m.click AS k, ln((m.n + 1) / CAST((SELECT sum(n) FROM m) + 2 AS DOUBLE)) + {terms} AS l
+      FROM f t, m WHERE t.split = 'test'),
+    w AS (SELECT ID, max(l) FILTER (WHERE k = 0) AS l0, max(l) FILTER (WHERE k = 1) AS l1 FROM j GROUP BY ID)
+    SELECT ID, {columns} FROM w JOIN codes USING (ID)"""
+
 
+_P1 = "round(1 / (1 + exp(l0 - l1)), 6)"
 
-@query("bernoulli_nb_ml")
+
+@query("bernoulli_nb_ml", _nb_sql(f"{_P1} AS probability, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS click"))
 def bernoulli_nb_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard classes and probabilities of Spark's own Bernoulli naive Bayes."""
     train, test, _ = assembled(spark, sf_dir)
     with frame.cached(train) as rows:
         model = search.bernoulli_pipeline().fit(rows)
-    return model.transform(test).select(
+    scored = model.transform(test).select(
         "ID", frame.click_probability().alias("probability"), F.col("prediction").cast("int").alias("click")
     )
+    return rounded(scored, "probability")
+
+
+@query("model_roundtrip", _nb_sql(f"{_P1} AS click, {_P1} AS click_loaded"))
+def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model and of its saved and reloaded copy."""
+    train, test, _ = assembled(spark, sf_dir)
+    with frame.cached(train) as rows:
+        model = search.bernoulli_pipeline().fit(rows)
+    path = new_path(spark, "model")
+    model.write().save(path)
+    loaded = trees.score_classifier(PipelineModel.load(path), test).withColumnRenamed("click", "click_loaded")
+    return rounded(trees.score_classifier(model, test).join(loaded, "ID"), "click", "click_loaded")
 
 
-@query("stacking_features")
+@query(
+    "stacking_features",
+    _nb_sql(
+        f"""19 AS width, CASE WHEN l1 > l0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction,
+        round(1 / (1 + exp(l1 - l0)), 6) AS p0, {_P1} AS p1, browser AS first_feature"""
+    ),
+)
 def stacking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction and class probabilities prepended to the features, as columns."""
     train, test, _ = assembled(spark, sf_dir)
     with frame.cached(train) as rows:
         model = stacking.StackingEstimator(search.bernoulli_pipeline(), "wide").fit(rows)
     widened = model.transform(test).withColumn("w", vector_to_array("wide"))
-    return widened.select(
+    columns = widened.select(
         "ID",
         F.size("w").alias("width"),
         F.col("w")[0].alias("prediction"),
@@ -237,6 +272,7 @@ def stacking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("w")[2].alias("p1"),
         F.col("w")[3].alias("first_feature"),
     )
+    return rounded(columns, "p0", "p1")
 
 
 @query("stack_fit")

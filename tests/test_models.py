@@ -156,3 +156,17 @@ def test_candidates_are_ranked(data):
     ranked = search.rank_candidates(fit, valid, search.candidates(trees.Boost(rounds=3)))
     assert ranked[0][0] == "boosted"
     assert len(ranked) == 3
+
+
+def test_factorisation_machine_survives_saving(spark, data):
+    from pyspark.ml import PipelineModel
+
+    from clickloom.session import new_path
+
+    fit, valid, _ = data
+    model = others.factorisation_machine(rounds=3).fit(fit)
+    path = new_path(spark, "fm")
+    model.write().save(path)
+    again = trees.score_classifier(PipelineModel.load(path), valid).withColumnRenamed("click", "again")
+    both = trees.score_classifier(model, valid).join(again, "ID")
+    assert both.where("click != again").count() == 0 and both.count() == valid.count()
