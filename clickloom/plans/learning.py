@@ -8,7 +8,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.models import frame, others, search, stacking, trees
+from clickloom.models import adaboost, frame, others, search, stacking, trees
 from clickloom.operators import counts, ensemble, logs, metrics, prep, split
 from clickloom.plans.registry import PREP, query, rounded
 from clickloom.session import materialize, new_path
@@ -148,6 +148,12 @@ def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagged.setPredictionCol("bagged").transform(one).select("ID", "tree", "bagged")
 
 
+@query("adaboost_score")
+def adaboost_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test, _ = assembled(spark, sf_dir)
+    return regression_scores(adaboost.fit_adaboost(train, rounds=4), test)
+
+
 @query("lasso_cv")
 def lasso_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = assembled(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.operators import encode, ftrl, naive_bayes, sparse, split
@@ -46,15 +46,23 @@ FIELDS = ["offerid", "category", "merchant", "countrycode", "devid"]
 
 
 def field_tables(df: DataFrame) -> dict[str, DataFrame]:
-    """An embedding row per value of each field, from the value's hash."""
+    """An embedding row per value of each field, from the value's hash; one pass for all fields."""
 
-    def table(i: int, c: str) -> DataFrame:
+    def entry(i: int, c: str) -> Column:
         slot = encode.hash_tokens([c], 1000)[0]
-        v = F.array(*[F.round(F.sin(slot * (i + 1) + f), 6) for f in range(FACTORS)])
-        values = df.select(c).distinct()
-        return materialize(values.select(c, F.round(F.cos(slot), 6).alias("w"), v.alias("v")), "fields")
-
-    return {c: table(i, c) for i, c in enumerate(FIELDS)}
+        return F.struct(
+            F.lit(c).alias("field"), F.lit(i).alias("i"), F.col(c).cast("string").alias("value"), slot.alias("slot")
+        )
+
+    entries = df.select(F.explode_outer(F.array(*[entry(i, c) for i, c in enumerate(FIELDS)])).alias("e")).select("e.*")
+    slot = F.col("slot")
+    v = F.array(*[F.round(F.sin(slot * (F.col("i") + 1) + f), 6) for f in range(FACTORS)])
+    values = entries.where("value IS NOT NULL").distinct()
+    table = materialize(values.select("field", "value", F.round(F.cos(slot), 6).alias("w"), v.alias("v")), "fields", ("field",))
+    return {
+        c: table.where(F.col("field") == c).select(F.col("value").cast(df.schema[c].dataType).alias(c), "w", "v")
+        for c in FIELDS
+    }
 
 
 def _field_sql() -> str:

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from clickloom.models import frame, others, search, stacking, trees
+from clickloom.models import adaboost, frame, others, search, stacking, trees
 from clickloom.operators import logs, metrics, prep, split
 from clickloom.session import materialize
 
@@ -170,3 +170,22 @@ def test_factorisation_machine_survives_saving(spark, data):
     again = trees.score_classifier(PipelineModel.load(path), valid).withColumnRenamed("click", "again")
     both = trees.score_classifier(model, valid).join(again, "ID")
     assert both.where("click != again").count() == 0 and both.count() == valid.count()
+
+
+def test_adaboost_learns_and_reweights(data):
+    fit, valid, _ = data
+    model = adaboost.fit_adaboost(fit, rounds=4, depth=3)
+    assert len(model.trees) == len(model.weights) >= 1 and min(model.weights) > 0
+    assert auc(model.transform(valid), F.col("prediction")) > 0.6
+
+
+def test_weighted_median(spark):
+    votes = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(w).alias("weight")) for v, w in ((3.0, 0.2), (1.0, 0.5), (2.0, 0.6))])
+    assert spark.range(1).select(adaboost.weighted_median(votes, 1.3)).first()[0] == 2.0
+
+
+def test_adaboost_stops_at_a_perfect_tree(spark, data):
+    fit, _, features = data
+    at = features.index("category")
+    easy = fit.withColumn("label", (vector_to_array("features")[at] > 25).cast("double"))
+    assert len(adaboost.fit_adaboost(easy, rounds=5, depth=2).trees) == 1
