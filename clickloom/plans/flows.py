@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.models import frame, others, search, stacking, trees
+from clickloom.models.online import hashed_slots
 from clickloom.operators import encode, ensemble, ftrl, logs, metrics, naive_bayes, prep, split
 from clickloom.session import materialize
 from clickloom.sources import readers, writers
@@ -257,7 +258,7 @@ def online(
         raise ValueError(f"{sorted(barred)} must not be hashed as features")
     imps = prep.prepare(readers.read_train_test(spark, inputs.train, inputs.test), inputs.fill)
     imps = prep.cast_categorical(imps, ["siteid"])
-    hashed = (encode.hash_interactions if interactions else encode.hash_features)(imps, columns, p.size)
+    hashed = hashed_slots(imps, columns, p.size, interactions)
     y = F.col("click").cast("double").alias("y")
     train = hashed.where("split = 'train'").select("ID", "datetime", y, "x")
     if holdout_every or holdout_after:

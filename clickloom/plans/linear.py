@@ -221,3 +221,28 @@ def progressive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = rows.withColumn("holdout", (split.place(seed="holdout") < 0.1).cast("int"))
     log = ftrl.log_frame(spark, ftrl.fit(held, epochs=1, batches=PROGRESS_BATCHES).log)
     return rounded(log, "loss", "held_loss")
+
+
+@query(
+    "numeric_class_nb",
+    f"""WITH d AS (SELECT d.doc_id, d.n_chars, l.toxic, l.quality AS k, {unit_sql("d.doc_id || '_valid42'")} < 0.25 AS held
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    m AS (SELECT k, count(*) AS n, sum(CASE WHEN n_chars > 0 THEN 1 ELSE 0 END) AS on_chars,
+      sum(CASE WHEN toxic > 0 THEN 1 ELSE 0 END) AS on_toxic FROM d WHERE NOT held GROUP BY k),
+    s AS (SELECT k, ln(n / CAST((SELECT sum(n) FROM m) AS DOUBLE)) AS prior,
+      (on_chars + 1) / CAST(n + 2 AS DOUBLE) AS chars, (on_toxic + 1) / CAST(n + 2 AS DOUBLE) AS toxic FROM m),
+    j AS (SELECT d.doc_id, s.k, s.prior + ln(CASE WHEN d.n_chars > 0 THEN s.chars ELSE 1 - s.chars END)
+      + ln(CASE WHEN d.toxic > 0 THEN s.toxic ELSE 1 - s.toxic END) AS l FROM d, s WHERE d.held),
+    w AS (SELECT doc_id, max(l) FILTER (WHERE k = 0) AS l0, max(l) FILTER (WHERE k = 1) AS l1 FROM j GROUP BY doc_id)
+    SELECT doc_id, round(1 / (1 + exp(l0 - l1)), 6) AS probability, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS prediction FROM w""",
+)
+def numeric_class_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of doubles with a ``class`` column, split and classified by naive Bayes."""
+    docs = samples.table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    labels = samples.table(spark, sf_dir, "labels").withColumnRenamed("quality", "class")
+    names = ["doc_id", "n_chars", "toxic", "class"]
+    doubles = docs.join(labels, "doc_id").select(*[F.col(c).cast("double") for c in names])
+    rows = readers.read_numeric(spark, writers.write_csv(doubles, new_path(spark, "numeric")), names)
+    fit, held = split.train_valid_split(rows.withColumn("doc_id", F.col("doc_id").cast("bigint")), 0.25, "doc_id", 42)
+    model = naive_bayes.fit_bernoulli_nb(fit, ["n_chars", "toxic"], label="class")
+    return rounded(model.transform(held).select("doc_id", "probability", "prediction"), "probability")

@@ -180,3 +180,19 @@ def test_stream_equals_batches(spark, learnable):
     gap = state.join(streamed, "idx", "full").agg(F.max(F.abs(F.col("z") - F.col("zs"))), F.count("*")).first()
     assert gap[0] < 1e-9 and gap[1] == state.count()
     assert [r.batch for r in ftrl_stream.progress(spark, folder, 2).orderBy("batch").collect()] == [0, 1]
+
+
+def test_estimator_is_the_fit(learnable):
+    from clickloom.models.online import FtrlEstimator
+
+    df = prep.prepare(learnable)
+    columns = ["category", "devid"]
+    model = FtrlEstimator(columns, epochs=1, batches=3, interactions=True).fit(df)
+    rows = encode.hash_interactions(df, columns).select("ID", "datetime", F.col("click").cast("double").alias("y"), "x")
+    fitted = ftrl.fit(rows, epochs=1, batches=3)
+    want = ftrl.score(rows.drop("datetime"), fitted.best_state, ftrl.Ftrl()).select("ID", F.col("p").alias("want"))
+    both = model.transform(df).join(want, "ID")
+    gap = both.agg(F.max(F.abs(F.col("p") - F.col("want"))), F.count("*")).first()
+    assert gap[0] < 1e-9 and gap[1] == df.count()
+    with pytest.raises(ValueError):
+        FtrlEstimator(["click", "category"])
