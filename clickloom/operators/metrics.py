@@ -119,53 +119,53 @@ def scalar(frame: DataFrame) -> float:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair once, ``(feature_a, feature_b, corr)``.
 
-    One pass sums the products of all pairs, shifted by the values of some row to keep
-    digits. Pairs with a column that misses values use the rows where both are present,
-    in a second pass. A column without spread correlates with nothing (null).
+    One pass sums the values, squares and products of all pairs. Only pairs with a column
+    that misses values (rows where both are present count) or whose sums have lost their
+    digits take a second pass. A column without spread correlates with nothing (null).
     """
-    x = {c: F.col(c).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    origin = df.select(*[x[c].alias(c) for c in columns]).first()
-    if origin is None:
-        return df.sparkSession.createDataFrame([(a, b, None) for a, b in pairs], CORRELATIONS)
-    d = {c: x[c] - F.lit(origin[c] or 0.0) for c in columns}
-    shifted = df.select(*[d[c].alias(c) for c in columns])
-    sums = shifted.agg(
+    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    sums = x.agg(
         F.count("*").alias("n"),
         *[F.count(c).alias(f"n_{c}") for c in columns],
+        *[F.min(c).alias(f"low_{c}") for c in columns],
+        *[F.max(c).alias(f"high_{c}") for c in columns],
         *[F.sum(c).alias(f"s_{c}") for c in columns],
         *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns],
         *[F.sum(F.col(a) * F.col(b)).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)],
     ).first()
     n = sums["n"]
-    whole = {c for c in columns if sums[f"n_{c}"] == n}
-    holed = [i for i, (a, b) in enumerate(pairs) if not {a, b} <= whole]
+    flat = {c for c in columns if sums[f"low_{c}"] == sums[f"high_{c}"]}
+    spread = {c: sums[f"q_{c}"] - sums[f"s_{c}"] ** 2 / n for c in columns if sums[f"n_{c}"]}
+    sound = {
+        c for c in columns if n and sums[f"n_{c}"] == n and (c in flat or spread[c] > 1e-6 * sums[f"q_{c}"])
+    }
     values: dict[int, float | None] = {}
-    if holed:
-        parts = []
-        for i in holed:
-            a, b = (x[c] for c in pairs[i])
-            both = a.isNotNull() & b.isNotNull()
-            parts += [
-                F.covar_pop(a, b).alias(f"c{i}"),
-                F.var_pop(F.when(both, a)).alias(f"a{i}"),
-                F.var_pop(F.when(both, b)).alias(f"b{i}"),
-            ]
-        apart = df.agg(*parts).first()
-        for i in holed:
-            shared = (apart[f"a{i}"] or 0.0) * (apart[f"b{i}"] or 0.0)
-            values[i] = apart[f"c{i}"] / sqrt(shared) if shared > 0 else None
-
-    def spread(c: str) -> float:
-        """Squared deviations, or 0 if they are only rounding."""
-        total, square = sums[f"s_{c}"], sums[f"q_{c}"]
-        left = square - total * total / n
-        return left if left > 1e-12 * square else 0.0
-
+    second = []
     for i, (a, b) in enumerate(pairs):
-        if i not in values:
-            shared = spread(a) * spread(b)
+        if not {a, b} <= sound:
+            second.append(i)
+        elif flat & {a, b}:
+            values[i] = None
+        else:
             product = sums[f"p_{i}"] - sums[f"s_{a}"] * sums[f"s_{b}"] / n
-            values[i] = product / sqrt(shared) if shared > 0 else None
+            values[i] = product / sqrt(spread[a] * spread[b])
+    if second:
+        values.update(_moment_correlations(x, {i: pairs[i] for i in second}))
     # One row per column pair.
     return df.sparkSession.createDataFrame([(a, b, values[i]) for i, (a, b) in enumerate(pairs)], CORRELATIONS)
+
+
+def _moment_correlations(x: DataFrame, pairs: dict[int, tuple[str, str]]) -> dict[int, float | None]:
+    """Correlations by running central moments: slower, but safe for gaps and large offsets."""
+    parts = []
+    for i, (a, b) in pairs.items():
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        parts += [
+            F.covar_pop(a, b).alias(f"c{i}"),
+            F.var_pop(F.when(both, F.col(a))).alias(f"a{i}"),
+            F.var_pop(F.when(both, F.col(b))).alias(f"b{i}"),
+        ]
+    row = x.agg(*parts).first()
+    shared = {i: (row[f"a{i}"] or 0.0) * (row[f"b{i}"] or 0.0) for i in pairs}
+    return {i: row[f"c{i}"] / sqrt(v) if v > 0 else None for i, v in shared.items()}

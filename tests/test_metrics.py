@@ -75,6 +75,22 @@ def test_correlations_with_gaps_and_constants(spark):
     assert len(got) == 6
 
 
+def test_correlation_survives_large_offsets(spark):
+    df = spark.range(200).select(
+        (1e9 + F.col("id") % 7 / 1000).alias("far"), (F.col("id") % 5).alias("near"), F.lit(1e9).alias("flat")
+    )
+    got = {(r.feature_a, r.feature_b): r["corr"] for r in metrics.correlation_pairs(df, ["far", "near", "flat"]).collect()}
+    pdf = df.toPandas()
+    pdf["far"] -= 1e9
+    assert got[("far", "near")] == pytest.approx(pdf[["far", "near"]].corr().iloc[0, 1], abs=1e-4)
+    assert got[("far", "flat")] is None and got[("near", "flat")] is None
+
+
+def test_correlation_of_nothing(spark):
+    df = spark.createDataFrame([], "a double, b double")
+    assert [tuple(r) for r in metrics.correlation_pairs(df, ["a", "b"]).collect()] == [("a", "b", None)]
+
+
 def test_loss_metrics_by_hand(spark):
     from math import exp, log
 
