@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.llm import arrow
+from clickloom.llm.words import Words, chain, words
 
 WINDOW = 10
 # Bytes of benchmark text that one broadcast holds; a larger benchmark is searched in several such blocks.
@@ -24,75 +25,6 @@ BLOCK_BYTES = 16 << 20
 LANE = 256
 SLOTS = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-# Word bytes: digits, lower-case letters and every byte of a character beyond ASCII.
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE = 0x9E3779B97F4A7C15
-
-
-@dataclass
-class Words:
-    """All words of some texts: bytes, first and end byte of each, hash of each, offsets of texts in words."""
-
-    data: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    code: np.ndarray
-    offsets: np.ndarray
-
-    def text(self, first: int, n: int) -> bytes:
-        return b" ".join(self.data[self.start[i] : self.end[i]].tobytes() for i in range(first, first + n))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    inverse = pow(_BASE, -1, 1 << 64)
-    out = []
-    for base in (_BASE, inverse):
-        p = np.full(n + 1, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_CACHE: list[tuple[np.ndarray, np.ndarray]] = []
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    data = _LOWER[data]
-    n = len(data)
-    inside = np.zeros(n + 2, bool)
-    inside[1:-1] = _WORD[data]
-    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < n)]
-    first[cuts] = inside[1:-1][cuts]
-    last[cuts - 1] = inside[1:-1][cuts - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not _CACHE or len(_CACHE[0][0]) <= n:
-        _CACHE[:] = [_powers(max(n, arrow.STEP_BYTES))]
-    power, inverse = _CACHE[0]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    code = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return Words(data, start, end, code, np.searchsorted(start, offsets))
-
-
-def _chain(code: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each position on."""
-    out = code[at]
-    for k in range(1, n):
-        out = _mix(out * np.uint64(0x100000001B3) + code[at + k])
-    return out
-
 
 @dataclass
 class Table:
@@ -127,11 +59,11 @@ def _table(m: int, found: dict[bytes, tuple[set[str], np.ndarray]]) -> Table:
     shift = np.full(SLOTS, m - block + 1, np.uint8 if m < 256 else np.int64)
     rows = np.arange(len(code))
     for k in range(m - block + 1):
-        np.minimum.at(shift, _slot(_chain(code.T, np.int64(k), block)), m - block - k)
-    slot = _slot(_chain(code.T, np.int64(m - block), block))
+        np.minimum.at(shift, _slot(chain(code.T, np.int64(k), block)), m - block - k)
+    slot = _slot(chain(code.T, np.int64(m - block), block))
     order = np.argsort(slot, kind="stable")
     bucket = np.searchsorted(slot[order], np.arange(SLOTS + 1))
-    head = _chain(code.T, np.int64(0), block)
+    head = chain(code.T, np.int64(0), block)
     return Table(m, block, shift, bucket, rows[order], head, code, list(found), [sorted(s) for s, _ in found.values()])
 
 
@@ -148,18 +80,18 @@ def search(w: Words, t: Table) -> tuple[np.ndarray, np.ndarray]:
     stop = np.minimum(at + LANE, n)
     ends = []
     while len(at):
-        jump = t.shift[_slot(_chain(w.code, at - b + 1, b))].astype(np.int64)
+        jump = t.shift[_slot(chain(w.code, at - b + 1, b))].astype(np.int64)
         ends.append(at[jump == 0])
         at = at + np.maximum(jump, 1)
         on = at < stop
         at, stop = at[on], stop[on]
     first = np.concatenate(ends) - m + 1
-    slot = _slot(_chain(w.code, first + m - b, b))
+    slot = _slot(chain(w.code, first + m - b, b))
     size = t.bucket[slot + 1] - t.bucket[slot]
     place = np.repeat(t.bucket[slot] - np.cumsum(size) + size, size) + np.arange(size.sum())
     first, which = np.repeat(first, size), t.entry[place]
     text = np.searchsorted(w.offsets, first, "right") - 1
-    keep = (_chain(w.code, first, b) == t.head[which]) & (first + m <= w.offsets[text + 1])
+    keep = (chain(w.code, first, b) == t.head[which]) & (first + m <= w.offsets[text + 1])
     first, which = first[keep], which[keep]
     for k in range(m):
         keep = w.code[first + k] == t.code[which, k]
@@ -243,7 +175,7 @@ def scan(
         F.expr("CAST(array() AS array<string>)").alias("items"),
     )
     schema = out.schema
-    parts = list(map(lambda b: session.sparkContext.broadcast(tables(b, window)), blocks(benchmark, item_col)))
+    parts = [session.sparkContext.broadcast(tables(b, window)) for b in blocks(benchmark, item_col)]
     for part in parts or [session.sparkContext.broadcast([])]:
 
         def add(batches: Iterable[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:

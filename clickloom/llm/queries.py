@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import decontaminate, tokens
+from clickloom.llm import decontaminate, html_main, jaccard, language, mixing, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_mixture")
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~language.held_out()))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
+
+
 @query("op2_token_counts")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under a 49k word vocabulary."""
@@ -41,3 +50,64 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     scanned = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(scanned)
+
+
+SIZES_SQL = r"""sizes AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s,
+    1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w
+  FROM sizes GROUP BY source),
+-- In the order of 3 s / w, a source is full if its part of what is left would exceed it.
+filled AS (
+  SELECT source, s, w,
+    (SELECT sum(s) FROM sources) - coalesce(sum(3 * s) OVER before, 0) AS rest,
+    (SELECT sum(w) FROM sources) - coalesce(sum(w) OVER before, 0) AS weight
+  FROM sources
+  WINDOW before AS (ORDER BY 3 * s / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (
+  SELECT rest, weight FROM filled WHERE NOT (3 * s * weight < w * rest)
+  ORDER BY 3 * s / w, source IS NULL, source LIMIT 1),
+targets AS (
+  SELECT f.source, f.s, CASE WHEN 3 * f.s * f.weight < f.w * f.rest THEN CAST(3 * f.s AS DOUBLE)
+      ELSE CAST(f.w * l.rest AS DOUBLE) / CAST(l.weight AS DOUBLE) END AS target
+  FROM filled f, level l),
+quotas AS (
+  SELECT source, s, target, CAST(floor(target + 0.5) AS BIGINT) AS quota FROM targets)"""
+
+
+@query(
+    "op6_mix_sources",
+    "WITH "
+    + SIZES_SQL
+    + """
+SELECT doc_id, d.size, q.s AS source_size, q.target,
+  CAST(CASE WHEN q.s = 0 THEN 0 ELSE d.size * (q.quota // q.s) + greatest(0, least(d.size, q.quota % q.s
+    - coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, doc_id, d.size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS BIGINT) AS taken
+FROM sizes d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source""",
+)
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words each document gives to a mix of its sources at weights 1, 2, 3."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("sources")
+
+
+@query("op7_secret_spans")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by pattern and by character models."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.fit(secrets.labelled_sample(docs))))
+
+
+@query("op8_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op10_jaccard_classes")
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under shared 5-word shingles."""
+    return jaccard.classes(table(spark, sf_dir, "documents"))

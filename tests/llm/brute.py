@@ -33,3 +33,56 @@ def decontaminate(docs, items, window=10):
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), sha, bool(hit)))
     return out
+
+
+def shingle_set(text, n=5):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)])
+
+
+def jaccard_classes(docs):
+    sets = [shingle_set(t) for _, t in docs]
+    where: dict[tuple, list[int]] = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            where.setdefault(g, []).append(i)
+    top = list(range(len(docs)))
+
+    def root(i):
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared: dict[int, int] = {}
+        for g in s:
+            for j in where[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                top[root(i)] = root(j)
+    least: dict[int, int] = {}
+    for i, (doc, _) in enumerate(docs):
+        least[root(i)] = min(least.get(root(i), doc), doc)
+    return [(doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(docs)]
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+
+
+def base_spans(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in HEX.finditer(text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in spans)
