@@ -202,3 +202,18 @@ def report(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The rows in which no test string occurs, all columns as they are; null and empty texts stay."""
+    out = docs
+    for block in blocks(benchmark, item_col):
+        part = docs.sparkSession.sparkContext.broadcast(tables(block, window))
+
+        def free(batches: Iterable[pa.RecordBatch], part=part) -> Iterator[pa.RecordBatch]:
+            for step in arrow.steps(batches, text_col):
+                _, spans, _ = find(arrow.column(step, text_col), part.value)
+                yield step.filter(pa.array([not s for s in spans], pa.bool_()))
+
+        out = out.mapInArrow(free, docs.schema)
+    return out

@@ -157,7 +157,7 @@ def infer(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``lang_pred``, ``score`` (share of that language), ``shares`` (language to share) and ``fit``.
 
-    Columns of these names are replaced, all others stay. A null text, one without a letter, and every text under a
+    Columns of these names are replaced, all others stay in place. A null text, one without a letter, and every text under a
     model without languages get ``und``, score 0, no shares. A tie goes to the first language in code point order. ``fit``
     is the mean log-likelihood of a gram, null where there is none. Texts of any length are read whole, one step of
     bounded size at a time; repeated rows are judged alike.
@@ -195,3 +195,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*kept, *new], [f.name for f in out_type.fields])
 
     return docs.withColumn(flag, lettered).mapInArrow(predict, out_type)
+
+
+def keep(docs: DataFrame, model: Model, share: float, text_col: str = "text") -> DataFrame:
+    """The rows of which some language holds at least ``share``, all columns as they are.
+
+    Null texts, texts without a letter and mixtures without such a language go; repeated rows are judged alike.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    flag = "__lettered"
+    lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in arrow.steps(batches, text_col):
+            shares, _ = infer(arrow.column(step, text_col), shared.value)
+            best = shares.max(axis=1) if shared.value.langs else np.zeros(step.num_rows)
+            yield step.filter(pa.array(np.asarray(arrow.column(step, flag)) & (best >= share))).select(docs.columns)
+
+    return docs.withColumn(flag, lettered).mapInArrow(run, docs.schema)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickloom.llm import decontaminate, html_main, jaccard, language, mixing, secrets, tokens
+import corpus_pipeline
+from clickloom.llm import decontaminate, hamming, html_main, jaccard, language, licenses, mixing, secrets, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +47,13 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_hamming_top_k")
+def hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes to every hundredth embedding, among all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.search(rows, rows.where("id % 100 = 0"))
+
+
 @query("op4_decontaminate")
 def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
@@ -52,6 +61,12 @@ def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(scanned)
 
 
+@query("op5_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 SIZES_SQL = r"""sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS rank
@@ -107,7 +122,19 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op9_license_notices")
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op10_jaccard_classes")
 def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under shared 5-word shingles."""
     return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mix of the documents that all stages keep."""
+    return corpus_pipeline.run(spark, sf_dir)

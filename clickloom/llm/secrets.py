@@ -104,13 +104,14 @@ def ratio(token: Column, table: Column) -> Column:
     return F.aggregate(_pairs(token), F.lit(0.0), lambda total, p: total + F.element_at(table, p + 1))
 
 
-def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``spans`` of every row: all spans by start, then kind (assign, access, hex, random).
+def spans(text: str | Column, model: list[float]) -> Column:
+    """All spans of a text by start, then kind (assign, access, hex, random).
 
-    Null is the empty text; empty texts have no spans; a text may have any length and any number of spans; repeated rows
-    are scanned each; other columns are ignored. A random string is added only where it touches no span of a pattern.
+    Null is the empty text; empty texts have no spans; a text may have any length and any number of spans. A random string
+    is added only where it touches no span of a pattern.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.col(text) if isinstance(text, str) else text
+    text = F.coalesce(text.cast("string"), F.lit(""))
     # One literal for the optimiser, not thousands of them.
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
     base = F.concat(
@@ -120,12 +121,21 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     def judged(v: Column) -> Column:
         return v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (ratio(v, table) >= THRESHOLD)
 
-    rows = docs.select(F.col(id_col), base.alias("base"), _spans(text, RUN, "random", judged).alias("more"))
-    free = F.when(
-        F.size("more") > 0,
-        F.filter("more", lambda m: ~F.exists("base", lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"]))),
-    ).otherwise(F.col("more"))
-    return rows.select(F.col(id_col), F.array_sort(F.concat("base", free)).alias("spans"))
+    def joined(x: Column) -> Column:
+        free = F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (m["start"] < b["end"]) & (b["start"] < m["end"])))
+        return F.array_sort(F.concat(x["base"], free))
+
+    return bound(F.struct(base.alias("base"), _spans(text, RUN, "random", judged).alias("more")), joined)
+
+
+def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ``spans`` of every row. Repeated rows are scanned each; other columns are ignored."""
+    return docs.select(F.col(id_col), spans(text_col, model).alias("spans"))
+
+
+def clean(docs: DataFrame, model: list[float], text_col: str = "text") -> DataFrame:
+    """The rows without any span, all columns as they are; null and empty texts stay."""
+    return docs.where(F.size(spans(text_col, model)) == 0)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -134,8 +144,8 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def number(kind: str) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    def listed(spans: Column) -> Column:
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    def listed(found: Column) -> Column:
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return scanned.select(

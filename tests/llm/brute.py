@@ -86,3 +86,50 @@ def base_spans(text):
 
 def listed(spans):
     return ",".join(f"{kind}:{a}:{z}" for a, _, z, kind in spans)
+
+
+def nearest(rows, queries, k):
+    out = []
+    for q, code in queries:
+        order = sorted((bin((code ^ c) & (1 << 64) - 1).count("1"), i) for i, c in rows if i != q)
+        out += [(q, p + 1, i, d) for p, (d, i) in enumerate(order[:k])]
+    return sorted(out)
+
+
+def license_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def licenses(docs, templates, size=5):
+    """Documents of which some window of the template's class reaches the containment."""
+    out = []
+    for doc, text in docs:
+        w = license_words(text)
+        grams = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        for t in templates:
+            length = (1 << t.size) + (1 << (t.size - 1)) - size + 1
+            step = 1 << (t.size - 1)
+            share = [len(t.shingles & set(grams[i : i + length])) / len(t.shingles) for i in range(0, len(grams), step)]
+            if share and max(share) >= 0.75:
+                out.append((doc, t.name, max(share), next(i * step for i, s in enumerate(share) if s >= 0.75)))
+    return sorted(out)
+
+
+def repeats(docs, n=50):
+    """(id, bytes, removed, spans, sha256 of the rest): bytes covered by n bytes that start in a document with a lesser id too."""
+    least: dict[bytes, int] = {}
+    raw = [(doc, (text or "").encode()) for doc, text in docs]
+    for doc, b in raw:
+        for i in range(len(b) - n + 1):
+            g = b[i : i + n]
+            least[g] = min(least.get(g, doc), doc)
+    out = []
+    for doc, b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if least[b[i : i + n]] < doc:
+                gone[i : i + n] = b"\1" * n
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        rest = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((doc, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
+    return sorted(out)
