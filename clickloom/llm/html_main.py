@@ -218,6 +218,10 @@ def main_text(html: str) -> str:
             if up.tag == "article":
                 break
         up = up.parent
+    if whole is None:
+        # Loose paragraphs around an article let its container win; the article is still the page's main part.
+        inside = [n for n in nodes if n.tag in WHOLE and n not in out and n.score >= SIBLING * best.score and n.scored]
+        whole = max(inside, key=lambda n: (n.tag == "article", n.score), default=None)
     if whole is not None:
         return _render([whole], out)
     if best.tag in PARAGRAPHS and best.parent is not None:

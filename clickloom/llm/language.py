@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.llm import arrow
 
@@ -168,9 +169,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     shared = session.sparkContext.broadcast(model)
     # The letter test follows Unicode, which the JVM's patterns know.
     lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-    out_type = docs.withColumns(
-        {"lang_pred": F.lit(""), "score": F.lit(0.0), "shares": F.expr("CAST(map() AS map<string,double>)"), "fit": F.lit(0.0)}
-    ).schema
+    kinds = (T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType()), T.DoubleType())
+    out_type = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(names, kinds))])
     flag = "__lettered"
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +205,12 @@ def keep(docs: DataFrame, model: Model, share: float, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flag = "__lettered"
     lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+    names = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in arrow.steps(batches, text_col):
             shares, _ = infer(arrow.column(step, text_col), shared.value)
             best = shares.max(axis=1) if shared.value.langs else np.zeros(step.num_rows)
-            yield step.filter(pa.array(np.asarray(arrow.column(step, flag)) & (best >= share))).select(docs.columns)
+            yield step.filter(pa.array(np.asarray(arrow.column(step, flag)) & (best >= share))).select(names)
 
     return docs.withColumn(flag, lettered).mapInArrow(run, docs.schema)

@@ -140,7 +140,7 @@ def mix(
     targets = fill(sizes, weigh, sum(r.size for r in found if r.s), repeats)
     flows = route([(tuple(r.s), r.size) for r in found], {s: int(t + 0.5) for s, t in targets.items()}, repeats)
     plan = [
-        (r.pattern, sum(sizes[s] for s in r.s), sum(targets[s] for s in in_order(r.s)), *(divmod(sum(f.values()), r.size) if r.size else (0, 0)))
+        (r.pattern, sum(sizes[s] for s in r.s), sum((targets[s] for s in in_order(r.s)), 0.0), *(divmod(sum(f.values()), r.size) if r.size else (0, 0)))
         for r, f in zip(found, flows)
     ]
     chosen = docs.sparkSession.createDataFrame(plan, "pattern string, source_size long, target double, rounds long, rest long")
