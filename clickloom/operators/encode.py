@@ -16,17 +16,31 @@ HASH_SIZE = 2**20
 
 
 # A value sits in the one field its type belongs to, and sorts by it.
-_TYPED = {"number": "double", "whole": "bigint", "text": "string"}
+_TYPED = {
+    "number": "double", "whole": "bigint", "exact": "decimal(38,18)", "day": "date", "time": "timestamp",
+    "local": "timestamp_ntz", "flag": "boolean", "text": "string",
+}
+_FIELDS: list[tuple[tuple[type[T.DataType], ...], str]] = [
+    ((T.StringType,), "text"),
+    ((T.FloatType, T.DoubleType), "number"),
+    ((T.ByteType, T.ShortType, T.IntegerType, T.LongType), "whole"),
+    ((T.DecimalType,), "exact"),
+    ((T.DateType,), "day"),
+    ((T.TimestampType,), "time"),
+    ((T.TimestampNTZType,), "local"),
+    ((T.BooleanType,), "flag"),
+]
 
 
 def _field(dtype: T.DataType) -> str:
-    if isinstance(dtype, T.StringType):
-        return "text"
-    return "number" if isinstance(dtype, (T.FloatType, T.DoubleType)) else "whole"
+    for kinds, field in _FIELDS:
+        if isinstance(dtype, kinds):
+            return field
+    raise TypeError(f"values of type {dtype.simpleString()} have no codes")
 
 
 def label_codes(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """``(column, number, whole, text, n, code)``: a value's rank among its column's sorted values.
+    """``(column, a field per type, n, code)``: a value's rank among its column's sorted values.
 
     Numbers rank as numbers, text by its bytes. All columns take one scan and one shuffle.
     """
@@ -37,7 +51,7 @@ def label_codes(df: DataFrame, columns: list[str], buckets: int | None = None) -
         return F.struct(F.lit(c).alias("column"), *parts)
 
     entries = df.select(F.explode_outer(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
-    held = entries.where(F.col("number").isNotNull() | F.col("whole").isNotNull() | F.col("text").isNotNull())
+    held = entries.where(F.coalesce(*[F.col(f).cast("string") for f in _TYPED]).isNotNull())
     values = materialize(held.groupBy("column", *_TYPED).agg(F.count("*").alias("n")), "values")
     one = {"code": F.lit(1).cast("bigint")}
     ranked = running_totals(values, list(_TYPED), one, ("column",), buckets=buckets)

@@ -1,79 +1,34 @@
 """Global running totals and row numbers without a one-task window.
 
-Rows are cut into ordered buckets at sampled key bounds. Each bucket is summed by its
-own window, and the totals of the buckets before it are added afterwards.
+Rows are dealt by range into buckets of bounded size, as many as the rows need. Each bucket is summed by its own window,
+and the totals of the buckets before it are added afterwards.
 """
 
 from __future__ import annotations
 
-from math import isqrt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_BUCKETS = 1024
-SAMPLES_PER_BUCKET = 32
-ONE_BUCKET_ROWS = 4096
+from clickloom.session import materialize
 
+# About so many rows are one bucket, whatever the size of the table.
+BUCKET_ROWS = 1 << 20
 
-def _key(df: DataFrame, order_by: list[str]) -> tuple[Column, T.DataType]:
-    if len(order_by) == 1:
-        return F.col(order_by[0]), df.schema[order_by[0]].dataType
-    fields = [T.StructField(c, df.schema[c].dataType) for c in order_by]
-    return F.struct(*order_by), T.StructType(fields)
 
+def in_buckets(df: DataFrame, order_by: list[str], by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``, ascending along ``(*by, *order_by)``, written out.
 
-def _literal(row: tuple, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType):
-        values = [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, dtype.fields)]
-        return F.struct(*values)
-    return F.lit(row[0]).cast(dtype)
-
-
-def key_bounds(df: DataFrame, order_by: list[str], buckets: int, by: tuple[str, ...] = ()) -> list[Column]:
-    """At most ``buckets - 1`` ascending keys that split ``df`` evenly.
-
-    The sample is the rows with the smallest key hashes, the same on every run. A first
-    pass counts rows by the binary order of their hash, one short histogram, from which
-    the second knows how far down to go for a sample whose size does not grow with the data.
+    The table is derived once; counting and the sampling of the ranges read the written copy.
     """
-    size = max(buckets * SAMPLES_PER_BUCKET, ONE_BUCKET_ROWS)
-    unit = F.shiftrightunsigned(F.xxhash64(*by, *order_by), 11) / F.lit(2.0**53)
-    order = F.when(unit > 0, F.floor(-F.log2(unit))).otherwise(F.lit(53)).cast("int")
-    present = F.greatest(*[F.col(c).isNotNull().cast("int") for c in order_by], F.lit(0))
-    keys = df.where(present == 1).select(*order_by, order.alias("_order"))
-    counts = sorted(((r["_order"], r["count"]) for r in keys.groupBy("_order").count().collect()), reverse=True)
-    if sum(n for _, n in counts) < size or buckets < 2:
-        return []
-    seen, least = 0, 0
-    for least, n in counts:
-        seen += n
-        if seen >= size:
-            break
-    sample = keys.where(F.col("_order") >= least).select(*order_by).distinct()
-    rows = [tuple(r) for r in sample.orderBy(*order_by).collect()]
-    picks = [rows[i * len(rows) // buckets] for i in range(1, buckets)]
-    distinct = [p for i, p in enumerate(picks) if i == 0 or p != picks[i - 1]]
-    _, dtype = _key(df, order_by)
-    return [_literal(p, dtype) for p in distinct]
-
-
-def bucket_of(key: Column, bounds: list[Column]) -> Column:
-    """How many bounds are <= key, found in two steps of about sqrt(n) comparisons."""
-    if not bounds:
-        return F.lit(0)
-    step = max(isqrt(len(bounds)), 1)
-    heads = F.array(*bounds[::step])
-    groups = F.array(*[F.array(*bounds[i : i + step]) for i in range(0, len(bounds), step)])
-    group = F.size(F.filter(heads, lambda b: b <= key))
-    inner = F.size(F.filter(F.element_at(groups, group), lambda b: b <= key))
-    return F.when(group > 0, (group - 1) * step + inner).otherwise(F.lit(0))
-
-
-def _bucket_count(df: DataFrame) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(MAX_BUCKETS, partitions))
+    rows = materialize(df, "rows")
+    buckets = buckets or max(1, -(-rows.count() // BUCKET_ROWS))
+    if buckets == 1:
+        return rows.withColumn("_bucket", F.lit(0))
+    placed = rows.repartitionByRange(buckets, *by, *order_by).withColumn("_bucket", F.spark_partition_id())
+    return materialize(placed, "buckets")
 
 
 def running_totals(
@@ -87,41 +42,25 @@ def running_totals(
     """Add the inclusive running total of each measure along ``order_by``.
 
     ``order_by`` must be unique within ``by``; collapse ties first. A hot key is then
-    one row, so no bucket can hold more than its sampled share.
+    one row, so every bucket holds about its share.
     """
-    bounds = key_bounds(df, order_by, buckets or _bucket_count(df), by)
-    key, _ = _key(df, order_by)
-    parts = [*by, "_bucket"]
     names = list(measures)
-    placed = df.select("*", *[m.alias(f"_m_{n}") for n, m in measures.items()])
-    # As a generated column the bucket is computed once: filters and inferred join
-    # conditions on it would otherwise repeat the search below, on either side.
-    placed = placed.select("*", F.explode_outer(F.array(bucket_of(key, bounds).cast("int"))).alias("_bucket"))
-
+    staged = df.select("*", *[m.alias(f"_m_{n}") for n, m in measures.items()])
+    placed = in_buckets(staged, order_by, by, buckets)
+    parts = [*by, "_bucket"]
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     upto = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.select("*", *[F.sum(f"_m_{n}").over(upto).alias(f"_in_{n}") for n in names])
 
-    if not bounds:
-        totals = [F.col(f"_in_{n}").alias(n) for n in names]
-        return inside.select(*df.columns, *totals)
-
-    last = len(bounds)
+    # One row for each bucket and group: few enough to add up in order.
     sums = placed.groupBy(*parts).agg(*[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in names])
-    later = F.sequence(F.lit(0), F.col("_bucket") - 1) if descending else F.sequence(F.col("_bucket") + 1, F.lit(last))
-    has_later = F.col("_bucket") > 0 if descending else F.col("_bucket") < last
-    offsets = (
-        sums.where(has_later)
-        .withColumn("_bucket", F.explode(later))
-        .groupBy(*parts)
-        .agg(*[F.sum(f"_m_{n}").alias(f"_off_{n}") for n in names])
-    )
-    if not by:
-        # At most MAX_BUCKETS rows.
-        offsets = F.broadcast(offsets)
-    joined = inside.join(offsets, parts, "left")
+    bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"_k_{c}") for c in parts]
+    offsets = sums.select(*keys, *[F.sum(f"_m_{n}").over(before).alias(f"_off_{n}") for n in names])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in parts])
     totals = [(F.col(f"_in_{n}") + F.coalesce(F.col(f"_off_{n}"), F.lit(0))).alias(n) for n in names]
-    return joined.select(*df.columns, *totals)
+    return inside.join(offsets, same).select(*df.columns, *totals)
 
 
 def global_ordinal(
@@ -134,4 +73,3 @@ def global_ordinal(
     """Number rows from 0 along a unique ``order_by``."""
     counted = running_totals(df, order_by, {name: F.lit(1).cast("bigint")}, by, buckets=buckets)
     return counted.withColumn(name, F.col(name) - 1)
-

@@ -14,6 +14,14 @@ FILL_NONE = {"siteid": -999.0, "browserid": "None", "devid": "None"}
 FILL_DESKTOP = {"siteid": -999.0, "browserid": "Desktop", "devid": "Mozilla Firefox"}
 
 
+def is_missing(df: DataFrame, column: str) -> Column:
+    """Null, or NaN where the type has it."""
+    missing = F.col(column).isNull()
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        missing = missing | F.isnan(column)
+    return missing
+
+
 def impute(df: DataFrame, fill: dict[str, float | str] = FILL_NONE) -> DataFrame:
     return df.fillna(fill)
 
@@ -53,11 +61,13 @@ def project_features(df: DataFrame, exclude: tuple[str, ...] = NOT_FEATURES) ->
 
 
 def cast_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Numeric codes as text categories; whole doubles lose their fraction."""
+    """Numeric codes as text categories; a fraction that is zero is left out."""
 
     def as_text(c: str) -> Column:
-        whole = F.col(c).cast("bigint") if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c)
-        return whole.cast("string")
+        if not isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            return F.col(c).cast("string")
+        whole = F.col(c).try_cast("bigint")
+        return F.when(whole.cast("double") == F.col(c), whole.cast("string")).otherwise(F.col(c).cast("string"))
 
     return df.withColumns({c: as_text(c) for c in columns})
 
@@ -74,7 +84,7 @@ def label_pm1(label: Column) -> Column:
 
 def missing_indicators(df: DataFrame, columns: list[str], fill: dict[str, float | str]) -> DataFrame:
     """A 0/1 flag per column for missing values, with the values themselves filled."""
-    flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in columns}
+    flags = {f"{c}_missing": is_missing(df, c).cast("int") for c in columns}
     return df.withColumns(flags).fillna({c: fill[c] for c in columns})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.operators.ordinal import running_totals
+from clickloom.operators.prep import is_missing
 
 
 def shape(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -18,7 +19,7 @@ def shape(df: DataFrame, by: str | None = None) -> DataFrame:
 def null_fraction(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Share of missing values per column, in one pass."""
     columns = columns or df.columns
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in columns])
+    shares = df.agg(*[F.avg(is_missing(df, c).cast("double")).alias(c) for c in columns])
     return shares.unpivot([], columns, "column", "null_fraction")
 
 

@@ -33,24 +33,42 @@ def read_strings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sparse(line: Column) -> tuple[Column, Column]:
-    """Label and features of a ``y idx:value idx:value`` line; indices may start at 0."""
+    """Label and features of a ``y idx:value idx:value`` line; indices may start at 0.
+
+    What cannot be read is null.
+    """
     parts = F.split(F.trim(line), " ")
     pairs = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p != "")
     features = F.transform(
         pairs,
         lambda p: F.struct(
-            F.split(p, ":")[0].cast("int").alias("idx"),
-            F.split(p, ":")[1].cast("double").alias("value"),
+            F.get(F.split(p, ":"), F.lit(0)).try_cast("int").alias("idx"),
+            F.get(F.split(p, ":"), F.lit(1)).try_cast("double").alias("value"),
         ),
     )
-    return parts[0].cast("double"), features
+    return parts[0].try_cast("double"), features
 
 
 def read_sparse_text(spark: SparkSession, path: str) -> DataFrame:
-    """Sparse text rows as ``(y double, features array<struct<idx,value>>)``."""
+    """Sparse text rows as ``(y double, features array<struct<idx,value>>)``; malformed lines are left out."""
+    lines = _sparse_lines(spark, path)
+    return lines.where(~_malformed()).drop("line")
+
+
+def read_malformed_sparse_text(spark: SparkSession, path: str) -> DataFrame:
+    """The lines ``read_sparse_text`` leaves out, as ``line``."""
+    return _sparse_lines(spark, path).where(_malformed()).select("line")
+
+
+def _sparse_lines(spark: SparkSession, path: str) -> DataFrame:
     y, features = parse_sparse(F.col("value"))
     lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(y.alias("y"), features.alias("features"))
+    return lines.select(F.col("value").alias("line"), y.alias("y"), features.alias("features"))
+
+
+def _malformed() -> Column:
+    unread = F.exists("features", lambda f: f["idx"].isNull() | f["value"].isNull())
+    return F.col("y").isNull() | unread
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

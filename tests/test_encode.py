@@ -13,8 +13,7 @@ from clickloom.sources import samples
 
 
 def test_label_codes_equal_string_indexer(imps, monkeypatch):
-    monkeypatch.setattr(ordinal, "ONE_BUCKET_ROWS", 8)
-    monkeypatch.setattr(ordinal, "SAMPLES_PER_BUCKET", 1)
+    monkeypatch.setattr(ordinal, "BUCKET_ROWS", 8)
     df = prep.impute(imps).select("ID", F.col("ID").alias("key"), F.col("ID").alias("many"), "countrycode")
     indexers = [
         StringIndexer(inputCol=c, outputCol=f"{c}_i", stringOrderType="alphabetAsc") for c in ("many", "countrycode")
@@ -91,3 +90,22 @@ def test_projection_helpers(imps):
     df = prep.prepare(imps)
     assert prep.feature_columns(df) == sorted(set(df.columns) - {"ID", "datetime", "click", "split"})
     assert prep.columns_except(df, ["ID", "datetime", "click"])[0] == "siteid"
+
+
+def test_codes_of_every_type(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1.2BD, DATE'2024-01-02', true, 1.2D), (1.3BD, DATE'2024-01-01', false, 1.9D),
+      (NULL, NULL, NULL, NULL) AS t(d, day, flag, x)""")
+    got = sorted((tuple(r) for r in encode.label_encode(df, ["d", "day", "flag", "x"]).collect()), key=repr)
+    assert got == [(0, 1, 1, 0), (1, 0, 0, 1), (None, None, None, None)]
+    with pytest.raises(TypeError):
+        encode.label_encode(df.selectExpr("array(d) AS a"), ["a"])
+
+
+def test_nan_is_missing_and_fractions_stay(spark):
+    from clickloom.operators import prep, profile
+
+    df = spark.createDataFrame([(float("nan"),), (None,), (1.5,), (2.0,)], "x double")
+    flagged = prep.missing_indicators(df, ["x"], {"x": -999.0}).collect()
+    assert sorted((r.x, r.x_missing) for r in flagged) == [(-999.0, 1), (-999.0, 1), (1.5, 0), (2.0, 0)]
+    assert profile.null_fraction(df).first()["null_fraction"] == 0.5
+    assert {r.x for r in prep.cast_categorical(df.where("x > 1"), ["x"]).collect()} >= {"1.5", "2"}

@@ -51,8 +51,7 @@ def test_half_rounds_to_even(spark):
 
 
 def test_equals_spark_evaluator(imps, monkeypatch):
-    monkeypatch.setattr(ordinal, "ONE_BUCKET_ROWS", 8)
-    monkeypatch.setattr(ordinal, "SAMPLES_PER_BUCKET", 2)
+    monkeypatch.setattr(ordinal, "BUCKET_ROWS", 8)
     df = samples.with_scores(imps).withColumn("score", F.col("score_a") + F.rand(3))
     df = df.withColumn("raw", array_to_vector(F.array("score"))).cache()
     want = BinaryClassificationEvaluator(rawPredictionCol="raw", labelCol="click", numBins=0).evaluate(

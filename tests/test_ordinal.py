@@ -12,13 +12,6 @@ def rows(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
 
 
-@pytest.fixture(autouse=True)
-def small_buckets(monkeypatch):
-    """Let a few hundred rows spread over many buckets."""
-    monkeypatch.setattr(ordinal, "ONE_BUCKET_ROWS", 64)
-    monkeypatch.setattr(ordinal, "SAMPLES_PER_BUCKET", 4)
-
-
 @pytest.fixture(scope="module")
 def numbers(spark):
     return spark.range(1000).select(
@@ -46,20 +39,22 @@ def test_running_totals_by_group(numbers, descending):
     assert rows(got, "name", "s") == rows(numbers.withColumn("s", F.sum("m").over(over)), "name", "s")
 
 
-def test_buckets_hold_even_shares(numbers):
-    bounds = ordinal.key_bounds(numbers, ["x"], 16)
-    assert len(bounds) == 15
-    sizes = [r["count"] for r in numbers.groupBy(ordinal.bucket_of(F.col("x"), bounds).alias("b")).count().collect()]
-    assert sum(sizes) == 1000
-    assert len(sizes) == 16
-    assert max(sizes) < 250
+@pytest.mark.parametrize("copies", [1, 4])
+def test_rows_of_a_bucket_stay_bounded(numbers, monkeypatch, copies):
+    """More rows make more buckets, not larger ones; no number of buckets is the most."""
+    monkeypatch.setattr(ordinal, "BUCKET_ROWS", 50)
+    more = numbers.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    placed = ordinal.in_buckets(more, ["x", "name", "c"])
+    sizes = [r["count"] for r in placed.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 1000 * copies
+    assert len(sizes) >= 16 * copies and max(sizes) <= 150
 
 
-def test_a_repeated_key_does_not_swell_the_sample(spark):
-    """Two thirds of the rows share a key; the bounds still come from distinct keys."""
-    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(7)).alias("x"))
-    bounds = ordinal.key_bounds(df, ["x"], 8)
-    assert 1 <= len(bounds) <= 7
+def test_many_buckets(numbers, monkeypatch):
+    monkeypatch.setattr(ordinal, "BUCKET_ROWS", 10)
+    got = global_ordinal(numbers, ["name"])
+    want = numbers.withColumn("ordinal", F.row_number().over(Window.orderBy("name")).cast("bigint") - 1)
+    assert rows(got, "name", "ordinal") == rows(want, "name", "ordinal")
 
 
 def test_null_keys_come_first(spark):

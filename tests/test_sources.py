@@ -97,3 +97,11 @@ def test_materialized_table_is_the_frame(spark, imps):
 def test_large_tables_are_not_dealt_out(spark, imps):
     many = imps.repartition(32, "ID")
     assert samples.spread(many, "ID") is many
+
+
+def test_malformed_sparse_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "rows.txt").write_text("1 0:0.5 3:2\n\nx 1:1\n0 a:1\n0 4\n0 4:y\n0\n")
+    good = readers.read_sparse_text(spark, str(tmp_path)).collect()
+    assert sorted((r.y, len(r.features)) for r in good) == [(0.0, 0), (1.0, 2)]
+    bad = readers.read_malformed_sparse_text(spark, str(tmp_path)).collect()
+    assert sorted(r.line for r in bad) == ["0 4", "0 4:y", "0 a:1", "x 1:1"]
