@@ -97,3 +97,22 @@ def cross_entropy(p: Column, y: Column) -> Column:
 def safe_ratio(a: Column, b: Column, empty: float | None = None) -> Column:
     """``a / b``, or ``empty`` where ``b`` is zero."""
     return F.when(b == 0, F.lit(empty).cast("double")).otherwise(a / F.nullif(b, F.lit(0)))
+
+
+def running_sum(numbers: Column, piece: int = 256) -> Column:
+    """Running sums of an array of doubles, gathered in pieces so that no long array is copied for each element."""
+    zero = F.struct(
+        F.lit(0.0).alias("sum"),
+        F.expr("CAST(array() AS array<double>)").alias("piece"),
+        F.expr("CAST(array() AS array<array<double>>)").alias("done"),
+    )
+
+    def add(acc: Column, x: Column) -> Column:
+        full, total = F.size(acc["piece"]) >= piece, acc["sum"] + x
+        return F.struct(
+            total.alias("sum"),
+            F.when(full, F.array(total)).otherwise(F.array_append(acc["piece"], total)).alias("piece"),
+            F.when(full, F.array_append(acc["done"], acc["piece"])).otherwise(acc["done"]).alias("done"),
+        )
+
+    return F.aggregate(numbers, zero, add, lambda acc: F.flatten(F.array_append(acc["done"], acc["piece"])))

@@ -8,20 +8,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorIndexer, VectorSlicer
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
 from clickloom.models.frame import cached, click_probability
 from clickloom.operators import logs, metrics
+from clickloom.operators.lookup import lookup_join
+from clickloom.operators.split import add_fold
 from clickloom.session import materialize, new_path
 
 SEED = 2017
@@ -29,7 +31,7 @@ SEED = 2017
 
 @dataclass(frozen=True)
 class Boost:
-    """Boosting settings. Depths up to 30 are possible; the defaults are for small machines."""
+    """Boosting settings; depths up to 30 are possible. The defaults are small: runs name their own."""
 
     rounds: int = 20
     depth: int = 5
@@ -74,13 +76,8 @@ def _tree_outputs(model: GBTClassificationModel, df: DataFrame, rounds: int) ->
 
 def tree_margins(model: GBTClassificationModel, df: DataFrame) -> DataFrame:
     """Add ``margins``: the boosted margin after each tree, first to last."""
-    start = F.array().cast("array<double>")
-    so_far = F.aggregate(
-        "_outputs",
-        start,
-        lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)),
-    )
-    return _tree_outputs(model, df, len(model.trees)).select(*df.columns, so_far.alias("margins"))
+    staged = _tree_outputs(model, df, len(model.trees))
+    return staged.select(*df.columns, fn.running_sum(F.col("_outputs")).alias("margins"))
 
 
 def with_staged_probability(model: GBTClassificationModel, df: DataFrame, rounds: int, name: str) -> DataFrame:
@@ -99,9 +96,10 @@ def iteration_log(model: GBTClassificationModel, df: DataFrame, run: str, label:
 def fit_with_patience(
     train: DataFrame, valid: DataFrame, boost: Boost, patience: int = 20
 ) -> tuple[GBTClassificationModel, int, DataFrame]:
-    """Fit, then find the round at which a watcher of the validation AUC would stop.
+    """Fit all rounds, then cut back to where a watcher of the validation AUC would have stopped.
 
-    Returns the model, its best number of rounds and the validation log.
+    Spark ML cannot go on from a fitted model, so the rounds after the stop are fitted and left out; ``fit_builtin_stop``
+    stops for good, on the validation loss. Returns the model, its best number of rounds and the validation log.
     """
     with cached(train) as rows:
         model = boost.classifier().fit(rows)
@@ -130,12 +128,33 @@ def fit_builtin_stop(train: DataFrame, boost: Boost, valid_column: str = "is_val
         return boost.classifier(validationIndicatorCol=valid_column, validationTol=0.0).fit(rows)
 
 
-def categorical_pipeline(boost: Boost, max_categories: int) -> Pipeline:
-    """Boosting with category splits on every feature of at most ``max_categories`` values."""
-    indexer = VectorIndexer(
-        inputCol="features", outputCol="indexed", maxCategories=max_categories, handleInvalid="keep"
-    )
-    return Pipeline(stages=[indexer, boost.classifier(featuresCol="indexed")])
+def categorical_rates(
+    train: DataFrame, others: list[DataFrame], categories: list[str], label: str = "label", row_key: str = "ID",
+    folds: int = 5, weight: float = 10.0,
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Replace the named categories by the click rate of their value, whatever the number of values.
+
+    A train row gets the rate over the other folds, so its own label is not in it; the other tables get the rate over all
+    train rows. Rates are drawn towards the overall one by ``weight`` rows, which an unknown value gets alone.
+    """
+    rows = materialize(add_fold(train, folds, row_key), "folds")
+    overall = rows.agg(F.coalesce(F.avg(label), F.lit(0.0))).first()[0]
+
+    def rate(hits: Column, n: Column) -> Column:
+        return (F.coalesce(hits, F.lit(0.0)) + weight * overall) / (F.coalesce(n, F.lit(0)) + weight)
+
+    for c in categories:
+        per_fold = rows.groupBy(c, "fold").agg(F.sum(label).alias("_h"), F.count("*").alias("_n"))
+        table = materialize(per_fold, "rates")
+        whole = materialize(table.groupBy(c).agg(F.sum("_h").alias("_all_h"), F.sum("_n").alias("_all_n")), "rates")
+        rows = lookup_join(lookup_join(rows, whole, [c], "left", True), table, [c, "fold"], "left", True)
+        own_h, own_n = F.coalesce("_h", F.lit(0.0)), F.coalesce("_n", F.lit(0))
+        rows = rows.withColumn(c, rate(F.col("_all_h") - own_h, F.col("_all_n") - own_n)).drop("_h", "_n", "_all_h", "_all_n")
+        others = [
+            lookup_join(o, whole, [c], "left", True).withColumn(c, rate(F.col("_all_h"), F.col("_all_n"))).drop("_all_h", "_all_n")
+            for o in others
+        ]
+    return rows.drop("fold"), others
 
 
 def split_counts(
@@ -156,15 +175,13 @@ def split_counts(
 
 
 def importance_sweep(
-    train: DataFrame, valid: DataFrame, features: list[str], boost: Boost, cuts: int = 4
+    train: DataFrame, valid: DataFrame, features: list[str], boost: Boost
 ) -> list[tuple[float, int, float]]:
-    """Refit on the features at least as important as each threshold: ``(cut, n, AUC)``."""
+    """Refit on the features at least as important as each of the importances: ``(cut, n, AUC)``."""
     base = fit_classifier(train, boost)
     gains = [float(base.featureImportances[i]) for i in range(len(features))]
-    ordered = sorted(set(gains))
-    picked = ordered[:: max(1, len(ordered) // cuts)][:cuts]
     results = []
-    for cut in picked:
+    for cut in sorted(set(gains)):
         keep = [i for i, g in enumerate(gains) if g >= cut]
         slicer = VectorSlicer(inputCol="features", outputCol="kept", indices=keep)
         with cached(slicer.transform(train)) as rows:

@@ -19,7 +19,7 @@ from clickloom.models import frame, others, search, stacking, trees
 from clickloom.models.online import hashed_slots
 from clickloom.operators import encode, ensemble, ftrl, logs, metrics, naive_bayes, prep, split
 from clickloom.session import materialize
-from clickloom.sources import readers, writers
+from clickloom.sources import readers, schema, writers
 
 
 @dataclass(frozen=True)
@@ -113,17 +113,18 @@ def boosted_early_stop(
     return Run(path, measured), trees.split_counts(model, spark, data.features)
 
 
-def categorical(spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.Boost(bins=256)) -> Run:
-    """Boosted trees with category splits, cut at the best validation round."""
+def categorical(
+    spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.Boost(), categories: tuple[str, ...] = schema.CATEGORIES
+) -> Run:
+    """Boosted trees on the click rates of the named categories, cut at the best validation round."""
     data = prepare(spark, inputs)
-    with frame.cached(data.fit) as rows:
-        fitted = trees.categorical_pipeline(boost, boost.bins).fit(rows)
-    indexer, model = fitted.stages
-    log = trees.iteration_log(model, indexer.transform(data.valid), "valid")
-    rounds = logs.best_iteration(log).first()["best_iter"] + 1
+    fit, (valid, test) = trees.categorical_rates(data.fit.drop("features"), [data.valid.drop("features"), data.test.drop("features")], list(categories))
+    fit, valid, test = (frame.assemble(part, data.features) for part in (fit, valid, test))
+    model = trees.fit_classifier(fit, boost)
+    rounds = logs.best_iteration(trees.iteration_log(model, valid, "valid")).first()["best_iter"] + 1
     return _finish(
-        "categorical", inputs, data,
-        lambda df: trees.with_staged_probability(model, indexer.transform(df), rounds, "click_score"),
+        "categorical", inputs, Prepared(fit, valid, test, data.features),
+        lambda df: trees.with_staged_probability(model, df, rounds, "click_score"),
     )
 
 

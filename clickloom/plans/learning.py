@@ -12,7 +12,7 @@ from clickloom.models import adaboost, frame, others, search, stacking, trees
 from clickloom.operators import counts, ensemble, logs, metrics, prep, split
 from clickloom.plans.registry import PREP, query, rounded
 from clickloom.session import materialize, new_path
-from clickloom.sources import samples
+from clickloom.sources import samples, schema
 
 _frames: dict[tuple[str, str], DataFrame] = {}
 
@@ -59,7 +59,7 @@ def gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test scores at the round where the validation AUC was best when patience ran out."""
     train, test, _ = assembled(spark, sf_dir)
     fit_rows, valid = split.train_valid_split(train, 0.1)
-    model, rounds, _ = trees.fit_with_patience(fit_rows, valid, trees.Boost(rounds=12), patience=4)
+    model, rounds, _ = trees.fit_with_patience(fit_rows, valid, trees.Boost(rounds=100), patience=20)
     return trees.score_rounds(model, test, rounds)
 
 
@@ -81,15 +81,15 @@ def gbt_iteration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gbt_categorical")
 def gbt_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category splits, stopped at the best validation round."""
-    train, test, _ = assembled(spark, sf_dir)
-    fit_rows, valid = split.train_valid_split(train, 0.5)
-    with frame.cached(fit_rows) as rows:
-        fitted = trees.categorical_pipeline(trees.Boost(rounds=10, bins=256), 256).fit(rows)
-    indexer, model = fitted.stages
-    log = trees.iteration_log(model, indexer.transform(valid), "valid")
-    best = logs.best_iteration(log).first()["best_iter"] + 1
-    return trees.score_rounds(model, indexer.transform(test), best)
+    """The named categories by their out-of-fold click rates, at any number of values, stopped at the best round."""
+    df = feature_table(spark, sf_dir)
+    features = prep.feature_columns(df)
+    fit_rows, valid = split.train_valid_split(frame.train_part(df), 0.5)
+    fit_rows, (valid, test) = trees.categorical_rates(fit_rows, [valid, frame.test_part(df)], list(schema.CATEGORIES))
+    fit_rows, valid, test = (frame.assemble(part, features) for part in (fit_rows, valid, test))
+    model = trees.fit_classifier(fit_rows.select("ID", "label", "features"), trees.Boost(rounds=10, depth=10))
+    best = logs.best_iteration(trees.iteration_log(model, valid, "valid")).first()["best_iter"] + 1
+    return trees.score_rounds(model, test, best)
 
 
 @query("gbt_regress")
@@ -111,7 +111,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_by_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, features = assembled(spark, sf_dir)
     fit_rows, valid = split.train_valid_split(train, 0.2)
-    rows = trees.importance_sweep(fit_rows, valid, features, trees.Boost(rounds=5), cuts=3)
+    rows = trees.importance_sweep(fit_rows, valid, features, trees.Boost(rounds=5))
     return spark.createDataFrame(rows, "threshold double, n_features int, auc double")
 
 
@@ -125,7 +125,7 @@ def cv_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = assembled(spark, sf_dir)
     with frame.cached(train) as rows:
-        model = trees.random_forest(trees=40).fit(rows)
+        model = trees.random_forest().fit(rows)
     return regression_scores(model, test)
 
 
@@ -133,7 +133,7 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extra_trees_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = assembled(spark, sf_dir)
     with frame.cached(train) as rows:
-        model = trees.extra_trees(trees=20).fit(rows)
+        model = trees.extra_trees().fit(rows)
     return regression_scores(model, test)
 
 

@@ -54,3 +54,6 @@ NOT_FEATURES = ("ID", "datetime", "click", "split")
 
 def all_doubles(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+# The columns that are categories, by name.
+CATEGORIES = ("siteid", "offerid", "category", "merchant", "countrycode", "browserid", "devid")

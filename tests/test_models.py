@@ -44,9 +44,8 @@ def test_boosting_beats_the_base_rate(data):
         lambda d: trees.single_tree(),
         lambda d: trees.Boost(rounds=5, **trees.BAGGED).regressor(),
         lambda d: others.factorisation_machine(rounds=60, step=0.1),
-        lambda d: trees.categorical_pipeline(trees.Boost(rounds=5, bins=256), 256),
     ],
-    ids=["forest", "extra", "bagged", "tree", "regressor", "fm", "categorical"],
+    ids=["forest", "extra", "bagged", "tree", "regressor", "fm"],
 )
 def test_each_model_learns(data, make):
     fit, valid, features = data
@@ -93,8 +92,9 @@ def test_split_counts_find_the_used_features(spark, data):
 
 def test_importance_sweep(data):
     fit, valid, features = data
-    rows = trees.importance_sweep(fit, valid, features, trees.Boost(rounds=3), cuts=3)
+    rows = trees.importance_sweep(fit, valid, features, trees.Boost(rounds=3))
     assert rows[0][1] == len(features)
+    assert len(rows) == len({cut for cut, _, _ in rows}) >= 3
     assert [n for _, n, _ in rows] == sorted((n for _, n, _ in rows), reverse=True)
 
 
@@ -189,3 +189,40 @@ def test_adaboost_stops_at_a_perfect_tree(spark, data):
     at = features.index("category")
     easy = fit.withColumn("label", (vector_to_array("features")[at] > 25).cast("double"))
     assert len(adaboost.fit_adaboost(easy, rounds=5, depth=2).trees) == 1
+
+
+def test_one_more_category_changes_nothing(spark):
+    """A category column is treated alike at 256, 257 and any other number of values."""
+
+    def rates(values):
+        train = spark.range(3000).select(
+            F.col("id").cast("string").alias("ID"), (F.col("id") % values).cast("string").alias("c"),
+            ((F.col("id") % values) % 2).cast("double").alias("label"),
+        )
+        rows, (other,) = trees.categorical_rates(train, [train.select("ID", "c")], ["c"])
+        assert rows.count() == other.count() == 3000 and dict(rows.dtypes)["c"] == "double"
+        even = other.where(F.col("ID").cast("int") % values % 2 == 0).agg(F.max("c")).first()[0]
+        odd = other.where(F.col("ID").cast("int") % values % 2 == 1).agg(F.min("c")).first()[0]
+        return even < 0.5 < odd
+
+    assert rates(256) and rates(257) and rates(1000)
+
+
+def test_own_label_is_not_in_the_rate(spark):
+    train = spark.createDataFrame([(str(i), f"v{i}", float(i % 2)) for i in range(40)], "ID string, c string, label double")
+    rows, (new,) = trees.categorical_rates(train, [spark.createDataFrame([("x", "new")], "ID string, c string")], ["c"])
+    assert {round(r.c, 9) for r in rows.collect()} == {0.5} and round(new.first().c, 9) == 0.5
+
+
+def test_stack_is_saved(spark, data):
+    from pyspark.ml import PipelineModel
+
+    from clickloom.session import new_path
+
+    fit, valid, _ = data
+    model = stacking.in_sample_pipeline([trees.random_forest(3)], trees.single_tree()).fit(fit)
+    path = new_path(spark, "stack")
+    model.write().save(path)
+    a = model.transform(valid).select("ID", F.col("prediction").alias("a"))
+    b = PipelineModel.load(path).transform(valid).select("ID", F.col("prediction").alias("b"))
+    assert a.join(b, "ID").where("a <> b").count() == 0 and a.count() > 0
