@@ -63,39 +63,37 @@ def add_pair_counts(
     row_key: str = "ID",
     null_keys: str = "drop",
     limits: JoinLimits = DEFAULT_LIMITS,
+    unique_key: bool = False,
 ) -> DataFrame:
     """Add the named count features.
 
     ``null_keys="drop"`` leaves out rows with a null in any key used, as an inner join on
     the keys does; ``"keep"`` counts nulls as a value of their own.
 
-    Pairs of ordinary columns are aggregated together and joined back. Pairs with the
-    near-unique ``row_key`` have as many groups as rows; they share one shuffle on it,
-    or none where it turns out to be unique.
+    Pairs of ordinary columns are aggregated together and joined back. Pairs with the near-unique ``row_key`` have as
+    many groups as rows; they share one shuffle on it, or none where ``unique_key`` declares that it has no repeats. The
+    rows are derived once.
     """
     if null_keys not in ("drop", "keep"):
         raise ValueError(f"null_keys must be 'drop' or 'keep', not {null_keys!r}")
     wanted = {f: PAIRS[f] for f in features}
     columns = key_columns(features)
-    if null_keys == "drop":
-        # Counts are taken before rows go, so a pair still counts rows with nulls elsewhere.
-        present = df.na.drop(subset=columns)
-    else:
-        present = df
-
     pairs = list(dict.fromkeys(wanted.values()))
     with_row = [p for p in pairs if row_key in p]
     plain = [p for p in pairs if row_key not in p]
-    largest = _largest_group(df, by, row_key) if with_row else 0
-    if largest > limits.hot_rows:
+    if plain and with_row or len(plain) > 1:
+        df = materialize(df, "counted")
+    if with_row and not unique_key and _may_overload(df, row_key, limits):
         plain, with_row = pairs, []
 
-    out = present
-    if with_row and largest <= 1:
+    out = df
+    if with_row and unique_key:
+        # A pair with a null in it is counted as its own value, as below.
         out = out.select("*", *[F.lit(1).cast("bigint").alias(_column(p)) for p in with_row])
     elif with_row:
         out = _row_key_counts(df, with_row, by, row_key)
-        out = out.na.drop(subset=columns) if null_keys == "drop" else out
+    # Counts are taken before rows go, so a pair still counts rows with nulls elsewhere.
+    out = out.na.drop(subset=columns) if null_keys == "drop" else out
     if plain:
         out = _join_pair_tables(df, out, plain, by, null_keys == "keep", limits)
     return out.select(*df.columns, *[F.col(_column(p)).alias(f) for f, p in wanted.items()])
@@ -110,9 +108,14 @@ def _column(pair: tuple[str, str]) -> str:
     return f"_n_{pair[0]}_{pair[1]}"
 
 
-def _largest_group(df: DataFrame, by: tuple[str, ...], row_key: str) -> int:
-    sizes = df.groupBy(*by, row_key).agg(F.count("*").alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+def _may_overload(df: DataFrame, row_key: str, limits: JoinLimits) -> bool:
+    """Whether a value of the row key could fill a task: a bin of a small hash histogram stands out.
+
+    No value has more rows than its bin, so the keys themselves are not shuffled to find out.
+    """
+    bins = df.groupBy(F.pmod(F.xxhash64(row_key), F.lit(4096)).alias("b")).count()
+    most, mean = bins.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.avg("count"), F.lit(0.0))).first()
+    return most > limits.hot_rows + 2 * mean
 
 
 def _row_key_counts(df: DataFrame, pairs: list[tuple[str, str]], by: tuple[str, ...], row_key: str) -> DataFrame:

@@ -71,7 +71,8 @@ def score(rows: DataFrame, state: DataFrame, p: Ftrl) -> DataFrame:
     # Every column is a grouping key, so that the aggregate stays a hash aggregate.
     sums = known.groupBy(*rows.columns).agg(
         F.sum(F.coalesce(F.col("w"), F.lit(0.0))).alias("_wx"),
-        F.count(F.when(F.col("pos") == 0, 1)).cast("int").alias("_copies"),
+        # A row without slots is one entry without a position.
+        F.count(F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1)).cast("int").alias("_copies"),
     )
     scored = sums.withColumn("p", fn.bounded_sigmoid(F.col("_wx") / F.col("_copies")))
     return scored.select(*rows.columns, "p", F.explode_outer(F.array_repeat(F.lit(0), F.col("_copies")))).drop("col")
@@ -89,12 +90,14 @@ def update(state: DataFrame, scored: DataFrame, p: Ftrl) -> DataFrame:
     loss = fn.log_loss(F.col("p"), F.col("y"))
     learnt = F.col("holdout") == 0
     entries = scored.select("*", loss.alias("_loss"), F.posexplode_outer("x").alias("pos", "idx"))
-    first = F.col("pos") == 0
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    # A row without slots is measured on the bias slot, which its missing entry does not move.
+    moved = learnt & F.col("idx").isNotNull()
     grads = entries.select(
-        "idx",
+        F.coalesce("idx", F.lit(0)).alias("idx"),
         F.lit(0.0).alias("z"),
         F.lit(0.0).alias("n"),
-        F.when(learnt, F.col("p") - F.col("y")).otherwise(0.0).alias("g"),
+        F.when(moved, F.col("p") - F.col("y")).otherwise(0.0).alias("g"),
         F.when(first & learnt, F.col("_loss")).alias("loss"),
         F.when(first & learnt, 1).otherwise(0).alias("rows"),
         F.when(first & ~learnt, F.col("_loss")).alias("held_loss"),
@@ -125,10 +128,8 @@ def advance(state: DataFrame, rows: DataFrame, p: Ftrl) -> tuple[DataFrame, dict
     return done.select("idx", "z", "n"), {k: v or 0 for k, v in sums.asDict().items()}
 
 
-def in_batches(rows: DataFrame, order_by: list[str], batches: int) -> DataFrame:
-    """Rows numbered into equal batches along ``order_by``, written one folder each."""
-    total = rows.count()
-    per_batch = max(1, -(-total // batches))
+def in_batches(rows: DataFrame, order_by: list[str], per_batch: int) -> DataFrame:
+    """Rows numbered into batches of ``per_batch`` along ``order_by``, written one folder each."""
     placed = global_ordinal(rows, order_by, "_t")
     batch = F.floor(F.col("_t") / per_batch).cast("int")
     return materialize(placed.withColumn("batch", batch).drop("_t"), "batches", ("batch",))
@@ -147,11 +148,18 @@ def fit(
     rows: DataFrame,
     p: Ftrl = Ftrl(),
     epochs: int = 5,
-    batches: int = 10,
+    batches: int | None = None,
     order_by: tuple[str, ...] = ("datetime", "ID"),
+    rows_per_batch: int = 100_000,
 ) -> FtrlFit:
-    """Train for ``epochs`` passes; keeps the state with the best holdout (or train) loss."""
-    staged = in_batches(rows, list(order_by), batches).drop(*order_by)
+    """Train for ``epochs`` passes; keeps the state with the best holdout (or train) loss.
+
+    A batch has ``rows_per_batch`` rows whatever the size of the table, or its share where ``batches`` fixes their number.
+    """
+    total = rows.count()
+    per_batch = max(1, -(-total // batches)) if batches else rows_per_batch
+    batches = max(1, -(-total // per_batch))
+    staged = in_batches(rows, list(order_by), per_batch).drop(*order_by)
     state = best = empty_state(rows.sparkSession)
     log: list[dict[str, float]] = []
     lowest = None

@@ -6,8 +6,6 @@ however frequent, stays in one task.
 
 from __future__ import annotations
 
-from math import sqrt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from clickloom.functions import scalar as fn
 from clickloom.operators.ordinal import running_totals
 from clickloom.session import materialize
 
-CORRELATIONS = "feature_a string, feature_b string, corr double"
-
 
 def score_ladder(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """One row per distinct ``score``: positives ``p``, negatives ``n`` and, counted from
@@ -119,53 +115,16 @@ def scalar(frame: DataFrame) -> float:
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every column pair once, ``(feature_a, feature_b, corr)``.
 
-    One pass sums the values, squares and products of all pairs. Only pairs with a column
-    that misses values (rows where both are present count) or whose sums have lost their
-    digits take a second pass. A column without spread correlates with nothing (null).
+    All pairs are one aggregate. Rows where both columns are present count; a column without spread correlates with
+    nothing (null).
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    sums = x.agg(
-        F.count("*").alias("n"),
-        *[F.count(c).alias(f"n_{c}") for c in columns],
-        *[F.min(c).alias(f"low_{c}") for c in columns],
-        *[F.max(c).alias(f"high_{c}") for c in columns],
-        *[F.sum(c).alias(f"s_{c}") for c in columns],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in columns],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{i}") for i, (a, b) in enumerate(pairs)],
-    ).first()
-    n = sums["n"]
-    flat = {c for c in columns if sums[f"low_{c}"] == sums[f"high_{c}"]}
-    spread = {c: sums[f"q_{c}"] - sums[f"s_{c}"] ** 2 / n for c in columns if sums[f"n_{c}"]}
-    sound = {
-        c for c in columns if n and sums[f"n_{c}"] == n and (c in flat or spread[c] > 1e-6 * sums[f"q_{c}"])
-    }
-    values: dict[int, float | None] = {}
-    second = []
-    for i, (a, b) in enumerate(pairs):
-        if not {a, b} <= sound:
-            second.append(i)
-        elif flat & {a, b}:
-            values[i] = None
-        else:
-            product = sums[f"p_{i}"] - sums[f"s_{a}"] * sums[f"s_{b}"] / n
-            values[i] = product / sqrt(spread[a] * spread[b])
-    if second:
-        values.update(_moment_correlations(x, {i: pairs[i] for i in second}))
-    # One row per column pair.
-    return df.sparkSession.createDataFrame([(a, b, values[i]) for i, (a, b) in enumerate(pairs)], CORRELATIONS)
-
-
-def _moment_correlations(x: DataFrame, pairs: dict[int, tuple[str, str]]) -> dict[int, float | None]:
-    """Correlations by running central moments: slower, but safe for gaps and large offsets."""
-    parts = []
-    for i, (a, b) in pairs.items():
+    named = []
+    for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        parts += [
-            F.covar_pop(a, b).alias(f"c{i}"),
-            F.var_pop(F.when(both, F.col(a))).alias(f"a{i}"),
-            F.var_pop(F.when(both, F.col(b))).alias(f"b{i}"),
-        ]
-    row = x.agg(*parts).first()
-    shared = {i: (row[f"a{i}"] or 0.0) * (row[f"b{i}"] or 0.0) for i in pairs}
-    return {i: row[f"c{i}"] / sqrt(v) if v > 0 else None for i, v in shared.items()}
+        # Central moments keep their digits at large offsets; ``corr`` itself fails without spread.
+        spread = F.sqrt(F.var_pop(F.when(both, F.col(a))) * F.var_pop(F.when(both, F.col(b))))
+        corr = F.try_divide(F.covar_pop(a, b), spread)
+        named.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), corr.alias("corr")))
+    return x.agg(F.array(*named).alias("all")).select(F.explode_outer("all").alias("p")).select("p.*")

@@ -50,8 +50,10 @@ def fit_bernoulli_nb(
 ) -> BernoulliNB:
     """Fit from per-class counts of features above the threshold, smoothed by ``alpha``."""
     on = [F.sum((F.col(c) > threshold).cast("bigint")).alias(f"on_{c}") for c in features]
-    # Two classes are wanted; a third is enough to tell the label is wrong.
-    per_class = df.groupBy(label).agg(F.count("*").alias("rows"), *on).limit(3)
+    other = df.where(~F.col(label).isin(0, 1) | F.col(label).isNull())
+    if not other.isEmpty():
+        raise ValueError(f"only classes 0 and 1 are known, found {other.first()[label]}")
+    per_class = df.groupBy(label).agg(F.count("*").alias("rows"), *on)
     counts = {r[label]: r for r in per_class.collect()}
     if set(counts) != {0, 1}:
         raise ValueError(f"both classes 0 and 1 are needed, found {list(counts)}")

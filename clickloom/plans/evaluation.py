@@ -182,7 +182,7 @@ _SWEEP = [0.0, ensemble.ALT_STACK_WEIGHT, ensemble.STACK_WEIGHT, 0.5, 1.0]
 @query(
     "blend_sweep",
     f"""WITH {SCORED}, w AS (SELECT unnest([{", ".join(map(str, _SWEEP))}]::DOUBLE[]) AS weight),
-    b AS (SELECT weight, click, round(weight * score_a + (1 - weight) * score_b, 9) AS score FROM scored, w),
+    b AS (SELECT weight, click, weight * score_a + (1 - weight) * score_b AS score FROM scored, w),
     steps AS (SELECT weight, score, sum(click) AS p, sum(1 - click) AS n FROM b GROUP BY weight, score),
     ladder AS (SELECT weight, p, n, sum(p) OVER (PARTITION BY weight ORDER BY score DESC) AS tp FROM steps),
     a AS (SELECT weight, round(sum(n * (tp - p / CAST(2 AS DOUBLE))) / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) AS auc

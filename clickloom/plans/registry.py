@@ -46,7 +46,7 @@ IMP = """imp AS (
   FROM events e
   JOIN customer c ON e.user_id = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN part p ON p.p_partkey = ((e.event_id * 7919) % 1009) % 200)"""
+  JOIN part p ON p.p_partkey = (e.event_id * 7919) % (SELECT count(*) FROM part))"""
 
 PREP = IMP + """, prep AS (
   SELECT ID, datetime, COALESCE(siteid, -999.0) AS siteid, offerid, category, merchant, countrycode,

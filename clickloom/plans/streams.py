@@ -19,7 +19,8 @@ def ftrl_stream_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     Files land in the source folder batch by batch; each run of the stream takes up what
     is new and goes on from its checkpoint.
     """
-    staged = ftrl.in_batches(ftrl_rows(spark, sf_dir), ["datetime", "ID"], PROGRESS_BATCHES).drop("datetime")
+    rows = ftrl_rows(spark, sf_dir)
+    staged = ftrl.in_batches(rows, ["datetime", "ID"], -(-rows.count() // PROGRESS_BATCHES)).drop("datetime")
     source, folder = new_path(spark, "stream"), new_path(spark, "ftrl-stream")
     for b in range(PROGRESS_BATCHES):
         arrived = staged.where(F.col("batch") == b).drop("batch")

@@ -33,6 +33,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
+    parts = p.count()
     site = F.get_json_object("props", "$.k").cast("int")
     browser = F.col("user_id") % 6
     device = ((F.col("event_id") * 104729) % 1013) % 4
@@ -42,7 +43,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         e.join(c, F.col("user_id") == F.col("c_custkey"))
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(p, F.col("p_partkey") == ((F.col("event_id") * 7919) % 1009) % 200)
+        .join(p, F.col("p_partkey") == (F.col("event_id") * 7919) % parts)
         .select(
             F.col("event_id").cast("string").alias("ID"),
             F.col("ts").alias("datetime"),
