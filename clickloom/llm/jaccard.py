@@ -1,21 +1,23 @@
 """N-gram Jaccard join by a token-group matrix, for classes of near-duplicate documents.
 
-Documents with the same shingle set are one node. Nodes that share a least hash are compared with the first of them; what
-is linked so forms a group. The matrix holds the tokens of each group's members: of a set of n, sorted by one global order,
-the first n - ceil(t n) + l tokens, of which two sets of similarity t share at least l. A node's tokens met in a group bound
-its overlap with any member; a group that reaches the bound is opened, its members that reach it themselves are compared
-exactly. Linked groups merge, and members of one group are never compared again. Only the order of tokens is a heuristic
-(frequent ones last, so that a common passage does not bring unlike documents together); no order loses a link.
+Documents with the same shingle set are one node. Nodes are compared with likely neighbours first (the first node with the
+same least hash, the most central nodes of a token); what is linked so forms a group. The matrix holds the tokens of each
+group's members: of a set of n, sorted by one global order, the first n - ceil(t n) + l tokens, of which two sets of
+similarity t share at least l. A node's tokens met in a group bound its overlap with any member; a group that reaches the
+bound is opened and its members are compared exactly. Members of one group are never compared again, so a large group of
+copies costs a few comparisons for each member. Likely neighbours and the order of tokens (frequent ones last, so that a
+common passage does not bring unlike documents together) are heuristics that only save work: the last stage opens every
+group that the bound does not close.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.llm import arrow
@@ -26,10 +28,17 @@ from clickloom.session import materialize
 SHINGLE = 5
 PERCENT = 75
 # Tokens that two similar sets share at least in the matrix (fewer where the sets are smaller).
-SHARED = 4
-SEEDS = 3
+SHARED = 16
+# Least hashes of a node; by so many of them it looks for a first neighbour, of which so many must agree.
+SEEDS = 8
+LOOKED_UP = 3
+AGREED = 4
+# Most central nodes of a token that its other nodes are compared with.
+CENTRAL = 3
+# Members of a block, and links of a node from which it has blocks apart.
+BLOCK = 256
 # A token in this many sets of one stretch of STRETCH tokens is reported as frequent.
-OFTEN = 8
+OFTEN = 3
 STRETCH = 4_000_000
 # Frequent tokens that order the matrix, at most; a bound of the broadcast, not of the result.
 MOST_FREQUENT = 1_000_000
@@ -247,17 +256,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("least").alias("least")),
         "nodes",
     )
-    stars = _stars(nodes)
-    links = materialize(_linked(docs, stars, n), "links")
+    links = materialize(_linked(docs, _stars(nodes), n), "links")
+    labels = components(links)
+    matrix = materialize(_matrix_tokens(docs, n, _order(summaries)), "matrix")
+    met = _active(_labelled(matrix, labels), nodes)
+    near = materialize(_central(met), "central")
+    pairs = near.where("root <> other").select("u", "v")
+    links = materialize(links.unionByName(_linked(docs, _likely(pairs, nodes), n)), "links")
+    labels = components(links)
+    met = _active(_labelled(matrix, labels), nodes)
+    links = links.unionByName(_opened(docs, met, nodes, labels, _groups(near, nodes), n))
     labels = components(links)
-
-    met = materialize(_labelled(_matrix_tokens(docs, n, _order(summaries)), labels), "matrix")
-    for step in (_bridges, _opened):
-        if labels is not None:
-            met = materialize(_labelled(met.drop("root"), labels), "matrix")
-        pairs = step(met, nodes)
-        links = materialize(links.unionByName(_linked(docs, pairs, n)), "links")
-        labels = components(links)
 
     named = _labelled(nodes.select("node", "id"), labels)
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -267,61 +276,146 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
 
 
 def _stars(nodes: DataFrame) -> DataFrame:
-    """Each node with the first node of the same least value, for every seed."""
-    each = nodes.select("node", "n", F.posexplode("least").alias("seed", "value"))
+    """Each node with the first node of the same least hash, for some seeds."""
+    each = nodes.select("node", F.posexplode(F.slice("least", 1, LOOKED_UP)).alias("seed", "value"))
     first = each.groupBy("seed", "value").agg(F.min("node").alias("u"), F.count("*").alias("many")).where("many > 1")
-    pairs = each.join(first, ["seed", "value"]).where("node <> u")
-    return _sized(pairs.select("u", F.col("node").alias("v")).distinct(), nodes)
+    pairs = each.join(first, ["seed", "value"]).where("node <> u").select("u", F.col("node").alias("v")).distinct()
+    return _likely(pairs, nodes)
 
 
 def _sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes alone allow the similarity."""
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in ("u", "v"))
+    """Pairs whose sizes alone allow the similarity, with both nodes' least hashes."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("least").alias(f"l{x}")) for x in ("u", "v"))
     both = pairs.join(a, "u").join(b, "v")
-    return both.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")).select("u", "v")
+    return both.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of which enough least hashes agree."""
+    agreed = F.size(F.filter(F.zip_with("lu", "lv", lambda x, y: x == y), lambda e: e))
+    return _sized(pairs, nodes).where(agreed >= AGREED).select("u", "v")
+
 
+def _need(n: Column) -> Column:
+    """Tokens of the matrix that a set of n shares at least with any similar set, which may be smaller."""
+    return F.least(F.lit(SHARED), F.ceil(F.ceil(n * PERCENT / 100) * PERCENT / 100))
 
-def _bound(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs, one row for each shared token, that share as many tokens as similar sets must.
 
-    The bound of a pair is that of its smaller head.
+def _active(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (token, node, root, shared) of tokens in several groups and of nodes that have enough of them for any link."""
+    sizes = nodes.select("node", _need(F.col("n")).alias("need"))
+    met = met.select("token", "node", "root")
+    for _ in range(2):
+        several = met.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a < z").select("token")
+        met = met.join(several, "token", "left_semi")
+        enough = met.groupBy("node").agg(F.count("*").alias("shared")).join(sizes, "node").where("shared >= need")
+        met = materialize(met.drop("shared").join(enough.select("node", "shared"), "node"), "active")
+    return met
+
+
+def _central(met: DataFrame) -> DataFrame:
+    """Each node v with the most central other nodes u of its tokens, their roots, and the tokens they share.
+
+    Those nodes are central that have the most tokens in common with others: of near copies, those with the fewest changes.
     """
-    counted = pairs.groupBy("u", "v").agg(F.count("*").alias("met"))
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in ("u", "v"))
-    both = counted.join(a, "u").join(b, "v").where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv"))
-    least = F.ceil(F.least("nu", "nv") * PERCENT / 100)
-    return both.where(F.col("met") >= F.least(F.lit(SHARED), least)).select("u", "v")
+    rank = Window.partitionBy("token").orderBy(F.desc("shared"), "node")
+    first = met.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= CENTRAL)
+    first = first.select("token", F.col("node").alias("u"), F.col("root").alias("other"), F.col("shared").alias("weight"))
+    both = met.select("token", F.col("node").alias("v"), "root").join(first, "token").where("u <> v")
+    return both.groupBy("u", "v", "root", "other", "weight").agg(F.count("*").alias("met"))
 
 
-def _bridges(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One pair for each token and further group: the first nodes of the token's first group and of the other."""
-    per = met.groupBy("token", "root").agg(F.min("node").alias("v"))
-    first = per.groupBy("token").agg(F.min(F.struct("root", "v")).alias("f"), F.count("*").alias("many")).where("many > 1")
-    pairs = per.join(first, "token").where(F.col("root") != F.col("f.root"))
-    return _bound(pairs.select(F.col("f.v").alias("u"), "v"), nodes)
+def _groups(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Group of similar nodes of each node that has any: named by the central node that shares the most tokens."""
+    enough = near.join(nodes.select(F.col("node").alias("v"), _need(F.col("n")).alias("need")), "v").where("met >= need")
+    return enough.groupBy(F.col("v").alias("node")).agg(F.max(F.struct("met", "weight", "u")).alias("m")).select("node", F.col("m.u").alias("group"))
 
 
-def _opened(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs of nodes of different groups that reach the bound.
+def _opened(docs: DataFrame, met: DataFrame, nodes: DataFrame, labels: DataFrame | None, groups: DataFrame, n: int) -> DataFrame:
+    """Links of nodes to members of the groups that the bound does not close to them.
 
-    The matrix itself, group by token, comes first: a node whose tokens meet a group less often than the bound cannot
-    reach it with any member, so that group stays closed to it.
+    Members are kept in blocks. Those that are linked to many others have blocks of their own, which only nodes with fewer
+    links are compared with; the others share blocks.
     """
-    matrix = met.select("token", F.col("root").alias("group")).distinct()
-    several = matrix.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    met = met.join(several, "token", "left_semi")
-    sized = met.join(nodes.select("node", "n"), "node")
-    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100))
-    query = sized.select("token", F.col("node").alias("q"), F.col("root").alias("own"), least.alias("least"))
-    # A member may be smaller than the query, and then fewer shared tokens do: as few as the smallest similar set needs.
-    small = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * PERCENT / 100) * PERCENT / 100))
-    query = query.join(nodes.select(F.col("node").alias("q"), small.alias("need")), "q")
-    groups = met.select("token", F.col("root").alias("group")).distinct()
-    hits = query.join(groups, "token").where(F.col("own") < F.col("group")).groupBy("q", "group", "need").agg(F.count("*").alias("met"))
-    qualified = hits.where(F.col("met") >= F.col("need")).select("q", "group")
-    a = query.select("token", "q").join(qualified, "q")
-    b = met.select("token", F.col("root").alias("group"), F.col("node").alias("y"))
-    return _bound(a.join(b, ["token", "group"]).select(F.col("q").alias("u"), F.col("y").alias("v")), nodes)
+    sizes = _labelled(nodes.select("node"), labels).groupBy("root").agg(F.count("*").alias("size"))
+    active = met.select("node", "root").distinct().join(sizes, "root").join(groups, "node", "left")
+    # Few with many links, and the rest, which is worth 0 in the order of linked groups.
+    active = active.withColumns({"group": F.coalesce("group", "node"), "size": F.when(F.col("size") >= BLOCK, F.col("size")).otherwise(0)})
+    active = materialize(active.join(nodes.select("node", _need(F.col("n")).alias("need")), "node"), "members")
+
+    query = met.select("token", "node").join(active.select("node", "group", "need"), "node")
+    matrix = query.select("token", F.col("group").alias("to")).distinct()
+    hits = query.join(matrix, "token").where(F.col("group") != F.col("to")).groupBy("node", "to", "need").agg(F.count("*").alias("met"))
+    qualified = hits.where("met >= need").select("node", "to")
+    qualified = qualified.unionByName(active.select("node", F.col("group").alias("to")))
+
+    # Blocks of a group: by linked group where that is large, and of bounded size.
+    own = F.when(F.col("size") > 0, F.col("root"))
+    many = active.groupBy("group", own.alias("own")).agg(F.count("*").alias("many"), F.first("size").alias("rank"))
+    many = many.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    block = F.xxhash64(F.col("group"), F.col("own"), F.pmod(F.col("node"), F.col("blocks")))
+    members = _with_blocks(active.withColumn("own", own), many).select(block.alias("block"), F.lit(0).alias("role"), "node", "root")
+    asked = qualified.join(active.select("node", "root", F.col("size").alias("mine")), "node")
+    asked = asked.join(many.withColumnRenamed("group", "to"), "to")
+    # Of two large linked groups the smaller asks; the rest asks all.
+    asks = (F.col("mine") == 0) | (F.struct("mine", "root") < F.struct("rank", "own"))
+    asked = asked.where(asks & ~F.col("root").eqNullSafe(F.col("own")))
+    asked = asked.select("node", "root", F.col("to").alias("group"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    asked = asked.select(F.xxhash64("group", "own", F.col("part").cast("long")).alias("block"), F.lit(1).alias("role"), "node", "root")
+    texts = materialize(_texts(docs, active.select("node"), n), "texts")
+    rows = members.unionByName(asked).join(texts, "node").repartition("block").sortWithinPartitions("block", "role")
+    return rows.select("block", "role", "node", "root", "text").mapInArrow(_compared(n), "u long, v long")
+
+
+def _with_blocks(active: DataFrame, many: DataFrame) -> DataFrame:
+    key = F.coalesce("own", F.lit(0).cast("long"))
+    return active.withColumn("k", key).join(many.select("group", key.alias("k"), "blocks"), ["group", "k"])
+
+
+def _compared(n: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each query row against all members of its block, exactly: one link for each linked group among them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index, names, tokens = None, None, [], []
+        for step in arrow.steps(batches, "text"):
+            block, role, node, root = (np.asarray(step.column(i)).tolist() for i in range(4))
+            u, v = [], []
+            for b, r, q, own, mine in zip(block, role, node, root, Sets.of(step.column(4), n).tokens):
+                if b != at:
+                    at, index, names, tokens = b, None, [], []
+                if r == 0:
+                    names.append((q, own))
+                    tokens.append(mine)
+                    continue
+                if index is None:
+                    index = _Index(tokens)
+                linked = {}
+                for k in index.similar(mine):
+                    if names[k][1] != own:
+                        linked.setdefault(names[k][1], names[k][0])
+                u += [q] * len(linked)
+                v += linked.values()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+class _Index:
+    """Which members of a block have a token."""
+
+    def __init__(self, tokens: list[np.ndarray]) -> None:
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = np.concatenate([*tokens, np.zeros(0, np.uint64)])
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.member = flat[order], np.repeat(np.arange(len(tokens)), self.size)[order]
+
+    def similar(self, tokens: np.ndarray) -> list[int]:
+        """Members whose sets reach the similarity."""
+        a, z = np.searchsorted(self.flat, tokens), np.searchsorted(self.flat, tokens, "right")
+        many = z - a
+        at = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(self.member[at], minlength=len(self.size))
+        return np.flatnonzero(100 * both >= PERCENT * (self.size + len(tokens) - both)).tolist()
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
