@@ -20,6 +20,8 @@ from clickloom.session import materialize
 
 STATE_SCHEMA = "idx bigint, z double, n double"
 WEIGHT_ROW_BYTES = 32
+# Lists that a slot's weight is looked up in; a table of 2^20 slots has 256 to a list.
+WEIGHT_LISTS = 4096
 
 
 @dataclass(frozen=True)
@@ -56,18 +58,44 @@ def lazy_weight(z: Column, n: Column, p: Ftrl) -> Column:
 
 
 def score(rows: DataFrame, state: DataFrame, p: Ftrl) -> DataFrame:
-    """Add the click probability ``p`` to rows with hashed slots ``x``.
+    """Add the click probability ``p`` to rows with hashed slots ``x``; a row without slots has even odds.
+
+    A weight table of bounded size is one value that every task gets, and each row sums its own weights: no row is moved.
+    Beyond that bound, weights are joined to the slots.
+    """
+    weights = state.select("idx", lazy_weight(F.col("z"), F.col("n"), p).alias("w"))
+    if p.size * WEIGHT_ROW_BYTES > DEFAULT_LIMITS.broadcast_bytes:
+        return _score_by_join(rows, weights)
+    table = _weight_lists(weights)
+
+    def weight(idx: Column) -> Column:
+        near = F.filter(F.element_at(F.col("_weights"), (idx % WEIGHT_LISTS + 1).cast("int")), lambda e: e["idx"] == idx)
+        return F.aggregate(near, F.lit(0.0), lambda total, e: total + e["w"])
+
+    total = F.aggregate("x", F.lit(0.0), lambda acc, idx: acc + weight(idx))
+    scored = rows.withColumn("_weights", table.scalar()).withColumn("p", fn.bounded_sigmoid(total))
+    return scored.drop("_weights")
+
+
+def _weight_lists(weights: DataFrame) -> DataFrame:
+    """All weights as one array of short lists, a slot's list at ``idx % WEIGHT_LISTS``."""
+    spark = weights.sparkSession
+    entry = F.struct("idx", "w")
+    held = weights.where("w <> 0").select((F.col("idx") % WEIGHT_LISTS).alias("l"), entry.alias("e"))
+    empty = spark.range(WEIGHT_LISTS).select(F.col("id").alias("l"), F.lit(None).cast("struct<idx:bigint,w:double>").alias("e"))
+    lists = held.unionByName(empty).groupBy("l").agg(F.collect_list("e").alias("es"))
+    whole = lists.agg(F.array_sort(F.collect_list(F.struct("l", "es"))).alias("all"))
+    return whole.select(F.transform("all", lambda x: x["es"]).alias("weights"))
+
+
+def _score_by_join(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """``score`` with weights of any number.
 
     The slots of a row are summed inside its task before the shuffle. Rows that are copies
     of each other meet in one group and are multiplied out again.
     """
-    weights = state.select("idx", lazy_weight(F.col("z"), F.col("n"), p).alias("w"))
     long = rows.select("*", F.posexplode_outer("x").alias("pos", "idx"))
-    # A weight table has at most ``size`` rows.
-    bound = p.size * WEIGHT_ROW_BYTES
-    known = lookup_join(
-        long, weights, ["idx"], "left", known_bytes=bound if bound <= DEFAULT_LIMITS.broadcast_bytes else None
-    )
+    known = lookup_join(long, weights, ["idx"], "left")
     # Every column is a grouping key, so that the aggregate stays a hash aggregate.
     sums = known.groupBy(*rows.columns).agg(
         F.sum(F.coalesce(F.col("w"), F.lit(0.0))).alias("_wx"),

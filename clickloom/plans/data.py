@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
-from clickloom.operators import metrics, prep, profile
+from clickloom.operators import logs, metrics, prep, profile
 from clickloom.operators.lookup import lookup_join
 from clickloom.plans.registry import IMP, LOGS, PREP, SCORED, SPARSE, hash32_sql, query, rounded
 from clickloom.session import materialize, new_path
@@ -339,3 +339,23 @@ def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = samples.with_scores(samples.impressions(spark, sf_dir))
     report = metrics.loss_metrics(df.withColumn("p", 0.01 + SCALED_A * F.col("score_a")), "p", "click")
     return rounded(report, *report.columns)
+
+
+@query(
+    "scan_time_log",
+    """WITH t AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS iter,
+      CAST((epoch_us(max(ts)) - epoch_us(TIMESTAMP '2024-01-01')) // 1000 AS BIGINT) AS elapsed_ms FROM events GROUP BY 1)
+    SELECT iter, CAST(round(elapsed_ms * (31 - iter - 1) / CAST(iter + 1 AS DOUBLE)) AS BIGINT) AS remaining_ms, elapsed_ms
+    FROM t""",
+)
+def scan_time_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = logs.time_left(samples.time_log(spark, sf_dir), iterations=31)
+    lines = log.select("iter", "remaining_ms", "elapsed_ms")
+    return readers.read_time_log(spark, writers.write_csv(lines, new_path(spark, "time"), header=False, sep="\t"))
+
+
+@query("column_difference", f"WITH {IMP} SELECT ID, datetime, siteid, offerid, category, merchant, countrycode, browserid, devid FROM imp")
+def column_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the train rows that the test rows have, too."""
+    imps = samples.impressions(spark, sf_dir)
+    return imps.select(*prep.columns_except(imps, ["click", "split"]))

@@ -8,11 +8,12 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.functions import scalar as fn
 from clickloom.models import adaboost, frame, others, search, stacking, trees
-from clickloom.operators import counts, ensemble, logs, metrics, prep, split
+from clickloom.operators import counts, ensemble, logs, metrics, prep, sparse, split
 from clickloom.plans.registry import PREP, query, rounded
 from clickloom.session import materialize, new_path
-from clickloom.sources import samples, schema
+from clickloom.sources import readers, samples, schema, writers
 
 _frames: dict[tuple[str, str], DataFrame] = {}
 
@@ -25,6 +26,11 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames[key]
 
 
+def forget_features() -> None:
+    """Derive the feature table anew at its next use, as after a change of the data."""
+    _frames.clear()
+
+
 def assembled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Train rows with ``label``, test rows, and the feature names in vector order."""
     df = feature_table(spark, sf_dir)
@@ -195,6 +201,24 @@ def fm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.score_classifier(model, test)
 
 
+@query("fm_sparse")
+def fm_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A machine on hashed categories: its own scores, and those of its exported weight table."""
+    columns = [*schema.CATEGORIES, "tweekday", "thour"]
+    imps = prep.prepare(samples.impressions(spark, sf_dir))
+    table = materialize(imps.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}), "rows", ("split",))
+    with frame.cached(frame.train_part(table)) as rows:
+        model = others.sparse_factorisation_machine(columns, rounds=30).fit(rows)
+    test = frame.test_part(table)
+    weights, bias = others.export_factors(model, table)
+    weights = readers.read_weights(spark, writers.write_weights(weights, new_path(spark, "weights")))
+    slots = others.sparse_slots(model, test)
+    by_table = sparse.fm_score(slots, weights, "ID", len(weights.first().v), bias)
+    own = trees.score_classifier(model, test)
+    both = own.join(by_table.select("ID", fn.sigmoid(F.col("score")).alias("click_table")), "ID")
+    return rounded(both, "click", "click_table", digits=9)
+
+
 @query("fm_regress")
 def fm_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = assembled(spark, sf_dir)

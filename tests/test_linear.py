@@ -196,3 +196,16 @@ def test_estimator_is_the_fit(learnable):
     assert gap[0] < 1e-9 and gap[1] == df.count()
     with pytest.raises(ValueError):
         FtrlEstimator(["click", "category"])
+
+
+def test_ftrl_scores_without_moving_rows(spark):
+    p = ftrl.Ftrl(alpha=0.5, beta=1.0, l1=0.1, size=1 << 14)
+    state = spark.range(9000).select(F.col("id").alias("idx"), F.sin("id").alias("z"), F.lit(1.0).alias("n"))
+    rows = spark.createDataFrame([("a", [0, 4096, 8192, 3]), ("b", []), ("c", [5, 5, 16000]), ("a", [0, 4096, 8192, 3])], "ID string, x array<bigint>")
+    scored = ftrl.score(rows, state, p)
+    plan = scored._jdf.queryExecution().executedPlan().toString().split("Subqueries")[0].split("Subquery")[0]
+    assert "Exchange" not in plan
+    weights = state.select("idx", ftrl.lazy_weight(F.col("z"), F.col("n"), p).alias("w"))
+    joined = ftrl._score_by_join(rows, weights)
+    got, want = (sorted((r.ID, len(r.x), round(r.p, 9)) for r in d.collect()) for d in (scored, joined))
+    assert got == want and ("b", 0, 0.5) in got and len(got) == 4

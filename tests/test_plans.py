@@ -90,3 +90,17 @@ def test_work_dir_follows_the_session(spark):
 def test_every_query_name_is_plain():
     assert not [n for n in QUERIES if "pipeline" in n or re.match(r"op\d+_", n)]
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_work_tables_are_removed(spark):
+    from pathlib import Path
+
+    from clickloom import session
+
+    df = session.materialize(spark.range(3), "gone")
+    path = session._made[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and Path(path).exists()
+    kept, session._made[spark.sparkContext.applicationId] = session._made[spark.sparkContext.applicationId][:-1], [path]
+    session.remove_work(spark)
+    assert not Path(path).exists()
+    session._made[spark.sparkContext.applicationId] = kept
