@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -133,3 +134,104 @@ def repeats(docs, n=50):
         rest = bytes(x for x, g in zip(b, gone) if not g)
         out.append((doc, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest()))
     return sorted(out)
+
+
+def grams(text):
+    """Three-byte grams: ASCII letters in lower case, all other ASCII as blanks, blanks merged."""
+    raw = bytes(c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in (text or "").encode())
+    raw = re.sub(rb" +", b" ", raw)
+    return [raw[i : i + 3] for i in range(len(raw) - 2)]
+
+
+def gram_bin(g):
+    return ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 & 0xFFFFFFFF) >> 16
+
+
+def language_model(labelled):
+    count: dict[str, dict[int, int]] = {}
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            c = count.setdefault(lang, {})
+            for g in grams(text):
+                c[gram_bin(g)] = c.get(gram_bin(g), 0) + 1
+    total = {k: sum(c.values()) + 0.5 * 65536 for k, c in count.items()}
+    return {k: (lambda b, c=c, t=total[k]: (c.get(b, 0) + 0.5) / t) for k, c in sorted(count.items())}
+
+
+def languages(text, model):
+    """Shares by expectation-maximisation over the language set with the best penalised likelihood."""
+    if not model or not re.search(r"[^\W\d_]", text or ""):
+        return {}
+    n: dict[int, int] = {}
+    for g in grams(text):
+        n[gram_bin(g)] = n.get(gram_bin(g), 0) + 1
+    if not n:
+        return {}
+    p = {b: {k: f(b) for k, f in model.items()} for b in n}
+
+    def em(names):
+        share = {k: 1 / len(names) for k in names}
+        for _ in range(12):
+            new = dict.fromkeys(names, 0.0)
+            for b, m in n.items():
+                whole = sum(share[k] * p[b][k] for k in names)
+                for k in names:
+                    new[k] += m * share[k] * p[b][k] / whole
+            share = {k: v / sum(n.values()) for k, v in new.items()}
+        return share, sum(m * math.log(sum(share[k] * p[b][k] for k in names)) for b, m in n.items())
+
+    every = em(list(model))[0]
+    order = sorted(model, key=lambda k: -every[k])
+    best = max(({k: 1.0} for k in model), key=lambda s: em(list(s))[1])
+    value = em(list(best))[1] / 3
+    cost = 2.0 * math.log(max(sum(n.values()) / 3, 2))
+    for many in range(2, len(order) + 1):
+        share, log = em(order[:many])
+        if log / 3 - cost * (many - 1) <= value:
+            break
+        best, value = share, log / 3 - cost * (many - 1)
+    return best
+
+
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+
+
+def all_spans(text, table, symbols=96, threshold=10.0):
+    base = base_spans(text)
+    more = []
+    for m in RUN.finditer(text or ""):
+        s = m[0]
+        score = sum(table[(ord(a) - 32) * symbols + ord(b) - 32] for a, b in zip(s, s[1:]))
+        free = all(m.end() <= a or z <= m.start() for a, _, z, _ in base)
+        if free and re.search("[0-9]", s) and re.search("[A-Za-z]", s) and score >= threshold:
+            more.append((m.start(), 3, m.end(), "random"))
+    return sorted(base + more)
+
+
+def mixed(docs, seed="mix"):
+    """(id, source, size, source_size, target, taken) under weights 1, 2, 3 and at most three repetitions."""
+    size = {i: len(re.findall("[^\x20\x09-\x0d]+", t or "")) for i, t, _ in docs}
+    sizes: dict = {}
+    for i, _, s in docs:
+        sizes[s] = sizes.get(s, 0) + size[i]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    rest, open_, target = sum(sizes.values()), set(names), {}
+    while open_:
+        full = {s for s in open_ if 3 * sizes[s] < weight[s] * rest / sum(weight[x] for x in open_)}
+        if not full:
+            w = sum(weight[x] for x in open_)
+            target |= {s: weight[s] * rest / w for s in open_}
+            break
+        target |= {s: float(3 * sizes[s]) for s in full}
+        rest -= sum(3 * sizes[s] for s in full)
+        open_ -= full
+    out = []
+    for s in names:
+        rounds, left = divmod(int(target[s] + 0.5), sizes[s]) if sizes[s] else (0, 0)
+        mine = sorted((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i) for i, _, x in docs if x == s)
+        for _, i in mine:
+            more = max(0, min(size[i], left))
+            left -= size[i]
+            out.append((i, s, size[i], sizes[s], target[s], rounds * size[i] + more))
+    return sorted(out)
