@@ -89,18 +89,21 @@ def templates(texts: dict[str, str] | None = None) -> list[Template]:
     return out
 
 
-def cues(found: list[Template]) -> list[str]:
-    """Words of which every shingle of every template has at least one, long words first."""
+def cues(found: list[Template]) -> list[tuple[str, str]]:
+    """Neighbouring words of which every shingle of every template has at least one pair, long ones first.
+
+    Single words would not do: some shingles consist of common ones.
+    """
     left = {s for t in found for s in t.shingles}
     out = []
     while left:
-        count: dict[str, int] = {}
+        count: dict[tuple[str, str], int] = {}
         for s in left:
-            for w in set(s):
-                count[w] = count.get(w, 0) + 1
-        best = max(count, key=lambda w: (count[w] * len(w) ** 2, w))
+            for pair in set(zip(s, s[1:])):
+                count[pair] = count.get(pair, 0) + 1
+        best = max(count, key=lambda p: (count[p] * len(p[0] + p[1]) ** 2, p))
         out.append(best)
-        left = {s for s in left if best not in s}
+        left = {s for s in left if best not in zip(s, s[1:])}
     return sorted(out)
 
 
@@ -137,8 +140,8 @@ def scan(
     spark = docs.sparkSession
     reference = _reference(spark, found)
     lower = F.lower(F.col(text_col).cast("string"))
-    # A text without any cue word has no shingle of any template.
-    cue = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(cues(found))
+    # A text without any cue has no shingle of any template.
+    cue = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(r"[^\p{L}\p{N}]+".join(pair) for pair in cues(found))
     words = docs.select(F.col(id_col).alias("id"), lower.alias("lower")).where(F.col("lower").rlike(cue))
     words = words.select("id", F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)).alias("words"))
     hashed = words.select("id", F.explode(F.array(_hashes(F.col("words")))).alias("all")).where(F.size("all") > 0)
