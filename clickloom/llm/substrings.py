@@ -29,7 +29,7 @@ LENGTH = 50
 PART = 20
 STEP_BYTES = 2 << 20
 # Bytes of a chunk that is sorted at once; one minimiser's stretches stay together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 # Steps from which a minimiser counts as frequent, and the most of them that are broadcast (a bound of the list).
 FREQUENT = 1024
 MOST_FREQUENT = 1 << 20
@@ -193,37 +193,57 @@ def _stretches(docs: DataFrame, firsts, shared, frequent) -> DataFrame:
 
 
 def _classes(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Covers (id, code, first, end) of windows of some stretches that a stretch of a lesser document has too."""
-    raw = arrow.column(rows, "stretch")
+    """Covers (id, code, first, end) of windows of some stretches that a stretch of a lesser document has too.
+
+    Equal stretches are sorted once, with the least of their documents; a minimiser whose stretches are all equal needs
+    no sorting.
+    """
+    kinds = arrow.column(rows, "stretch").dictionary_encode()
+    kind, raw = np.asarray(kinds.indices).astype(np.int64), kinds.dictionary
     offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    ids, codes, begin = (np.asarray(arrow.column(rows, c)) for c in ("id", "code", "first"))
-    order, common = induced.suffixes(data, LENGTH)
-    start, row = _windows(offsets)
-    row_of = np.full(len(data), -1, np.int64)
-    row_of[start] = row
-    group = np.cumsum(common < LENGTH)
-    at = np.flatnonzero(row_of[order] >= 0)
-    order, group = order[at], group[at]
-    own = ids[row_of[order]]
-    first, _ = _runs(np.concatenate([[True], group[1:] != group[:-1]]))
-    low = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
-    gone = np.zeros(len(data), bool)
-    gone[order[own > low]] = True
-    start, row = start[gone[start]], row[gone[start]]
-    if not len(start):
-        a = z = np.zeros(0, np.int64)
-    else:
-        a, z = _runs(np.concatenate([[True], (start[1:] != start[:-1] + 1) | (row[1:] != row[:-1])]))
+    h, ids, codes, begin = (np.asarray(arrow.column(rows, c)) for c in ("h", "id", "code", "first"))
+    low = np.full(len(raw), np.iinfo(np.int64).max)
+    np.minimum.at(low, kind, ids)
+    shard = np.empty(len(raw), np.int64)
+    shard[kind] = h
+    _, member, many = np.unique(shard, return_inverse=True, return_counts=True)
+    mixed = many[member] > 1
+    least = np.repeat(low, np.diff(offsets))
+    if mixed.any():
+        _lower(data, offsets, mixed, least)
+    # Windows of all rows, by the place of the same window in its kind.
+    size = np.diff(offsets)[kind] - LENGTH + 1
+    row = np.repeat(np.arange(len(kind)), size)
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    gone = least[offsets[:-1][kind[row]] + inside] < ids[row]
+    row, inside = row[gone], inside[gone]
+    a, z = _runs(np.concatenate([[True], (inside[1:] != inside[:-1] + 1) | (row[1:] != row[:-1])])) if len(row) else (row, row)
     who = row[a]
-    b = begin[who] + start[a] - offsets[:-1][who]
-    e = begin[who] + start[z] + LENGTH - offsets[:-1][who]
+    b, e = begin[who] + inside[a], begin[who] + inside[z] + LENGTH
     return pa.RecordBatch.from_arrays(
         [pa.array(ids[who]), pa.array(codes[who]), pa.array(b.astype(np.int32)), pa.array(e.astype(np.int32))], ["id", "code", "first", "end"]
     )
 
 
+def _lower(data: np.ndarray, offsets: np.ndarray, mixed: np.ndarray, least: np.ndarray) -> None:
+    """Lower ``least``, the least document of each window by its start, to that of all equal windows of mixed stretches."""
+    size = np.diff(offsets)[mixed]
+    inner = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(inner[-1]) + np.repeat(offsets[:-1][mixed] - inner[:-1], size)
+    order, common = induced.suffixes(data[at], LENGTH)
+    start, _ = _windows(inner)
+    window = np.zeros(len(at), bool)
+    window[start] = True
+    group = np.cumsum(common < LENGTH)
+    keep = window[order]
+    order, group = order[keep], group[keep]
+    own = least[at[order]]
+    first, _ = _runs(np.concatenate([[True], group[1:] != group[:-1]]))
+    least[at[order]] = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
+
+
 def _covers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covers of a shard sorted by minimiser, chunk by chunk."""
     held: list[pa.RecordBatch] = []
