@@ -314,21 +314,28 @@ def _active(met: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _central(met: DataFrame) -> DataFrame:
-    """Each node v with the most central other nodes u of its tokens, their roots, and the tokens they share.
+    """Each node v with the most central nodes u of its tokens, itself if it is one, their roots, and the tokens they share.
 
     Those nodes are central that have the most tokens in common with others: of near copies, those with the fewest changes.
     """
     rank = Window.partitionBy("token").orderBy(F.desc("shared"), "node")
     first = met.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= CENTRAL)
-    first = first.select("token", F.col("node").alias("u"), F.col("root").alias("other"), F.col("shared").alias("weight"))
-    both = met.select("token", F.col("node").alias("v"), "root").join(first, "token").where("u <> v")
-    return both.groupBy("u", "v", "root", "other", "weight").agg(F.count("*").alias("met"))
+    first = first.select("token", F.col("node").alias("u"), F.col("root").alias("other"), F.col("shared").alias("weight"), "place")
+    both = met.select("token", F.col("node").alias("v"), "root").join(first, "token")
+    return both.groupBy("u", "v", "root", "other", "weight").agg(F.count("*").alias("met"), F.min("place").alias("place"))
 
 
 def _groups(near: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Group of similar nodes of each node that has any: named by the central node that shares the most tokens."""
-    enough = near.join(nodes.select(F.col("node").alias("v"), _need(F.col("n")).alias("need")), "v").where("met >= need")
-    return enough.groupBy(F.col("v").alias("node")).agg(F.max(F.struct("met", "weight", "u")).alias("m")).select("node", F.col("m.u").alias("group"))
+    """Group of each node, named by the first node of one of its tokens.
+
+    The most central one of those it shares enough tokens with, or else the one it shares most with.
+    """
+    sized = near.where("place = 1").join(nodes.select(F.col("node").alias("v"), _need(F.col("n")).alias("need")), "v")
+    enough = F.col("met") >= F.col("need")
+    # A node that few tokens name first joins another one rather than itself.
+    other = F.when(F.col("u") != F.col("v"), F.col("met")).otherwise(F.lit(0).cast("long"))
+    rank = F.struct(enough.alias("enough"), F.when(enough, F.col("weight")).otherwise(other).alias("by"), "u")
+    return sized.groupBy(F.col("v").alias("node")).agg(F.max(rank).alias("m")).select("node", F.col("m.u").alias("group"))
 
 
 def _opened(docs: DataFrame, met: DataFrame, nodes: DataFrame, labels: DataFrame | None, groups: DataFrame, n: int) -> DataFrame:
@@ -343,9 +350,11 @@ def _opened(docs: DataFrame, met: DataFrame, nodes: DataFrame, labels: DataFrame
     active = active.withColumns({"group": F.coalesce("group", "node"), "size": F.when(F.col("size") >= BLOCK, F.col("size")).otherwise(0)})
     active = materialize(active.join(nodes.select("node", _need(F.col("n")).alias("need")), "node"), "members")
 
-    query = met.select("token", "node").join(active.select("node", "group", "need"), "node")
-    matrix = query.select("token", F.col("group").alias("to")).distinct()
-    hits = query.join(matrix, "token").where(F.col("group") != F.col("to")).groupBy("node", "to", "need").agg(F.count("*").alias("met"))
+    query = met.select("token", "node").join(active.select("node", "group", "need", "size"), "node")
+    matrix = query.groupBy("token", F.col("group").alias("to")).agg(F.max("size").alias("largest"))
+    # A node with many links is asked by those with few, and itself asks only groups with such nodes.
+    asks = (F.col("group") != F.col("to")) & ((F.col("size") == 0) | (F.col("largest") > 0))
+    hits = query.join(matrix, "token").where(asks).groupBy("node", "to", "need").agg(F.count("*").alias("met"))
     qualified = hits.where("met >= need").select("node", "to")
     qualified = qualified.unionByName(active.select("node", F.col("group").alias("to")))
 
