@@ -19,14 +19,14 @@ BUCKET_ROWS = 1 << 20
 
 
 def in_buckets(df: DataFrame, order_by: list[str], by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
-    """``df`` with ``_bucket``, ascending along ``(*by, *order_by)``, written out.
+    """``df`` with ``_bucket``, ascending along ``(*by, *order_by)``, written out; without it if one bucket is enough.
 
     The table is derived once; counting and the sampling of the ranges read the written copy.
     """
     rows = materialize(df, "rows")
     buckets = buckets or max(1, -(-rows.count() // BUCKET_ROWS))
     if buckets == 1:
-        return rows.withColumn("_bucket", F.lit(0))
+        return rows
     placed = rows.repartitionByRange(buckets, *by, *order_by).withColumn("_bucket", F.spark_partition_id())
     return materialize(placed, "buckets")
 
@@ -47,10 +47,13 @@ def running_totals(
     names = list(measures)
     staged = df.select("*", *[m.alias(f"_m_{n}") for n, m in measures.items()])
     placed = in_buckets(staged, order_by, by, buckets)
-    parts = [*by, "_bucket"]
+    single = "_bucket" not in placed.columns
+    parts = [*by] if single else [*by, "_bucket"]
     order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
     upto = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.select("*", *[F.sum(f"_m_{n}").over(upto).alias(f"_in_{n}") for n in names])
+    if single:
+        return inside.select(*df.columns, *[F.col(f"_in_{n}").alias(n) for n in names])
 
     # One row for each bucket and group: few enough to add up in order.
     sums = placed.groupBy(*parts).agg(*[F.sum(f"_m_{n}").alias(f"_m_{n}") for n in names])
