@@ -29,7 +29,7 @@ SHORTEST = 20
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % SHORTEST
 # Log-likelihood ratio from which a string counts as random.
 THRESHOLD = 10.0
-# Bounds of the labelled samples: documents that give ordinary words, and random strings.
+# Bounds of the labelled samples: documents that give ordinary words (expected number), and random strings.
 SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 6000
 # Printable ASCII.
@@ -71,10 +71,11 @@ def _pairs(token: Column) -> Column:
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(string, random) for the models: words of a bounded sample of documents, and random strings of three alphabets.
 
-    Words are taken from the SAMPLE_DOCS documents first in the MD5 order of id and text, fixed patterns removed.
+    Words are taken from about SAMPLE_DOCS documents, those whose hash of id and text is least, fixed patterns removed.
     """
-    order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))))
-    sample = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), order.alias("o")).orderBy("o").limit(SAMPLE_DOCS)
+    share = SAMPLE_DOCS / max(docs.count(), 1)
+    place = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11) / F.lit(2.0**53)
+    sample = docs.where(F.col(text_col).isNotNull() & (place < share)).select(F.col(text_col).alias("text"))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = sample.select(F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("string"))
     seed = docs.sparkSession.range(SAMPLE_RANDOM).select(F.sha2(F.col("id").cast("string"), 256).alias("x"), "id")
