@@ -4,13 +4,15 @@ Everything runs as DataFrame functions. A template of at most 2^c words is looke
 which one starts every 2^(c-1) words, so some window holds any whole notice. A window and a template that it contains have
 a Jaccard similarity of at least 0.125 (worst case: one shingle in a window of the smallest class), and BANDS bands of one
 value each miss that with a probability below 0.0002. Retrieved pairs are verified by the exact share of the template's
-shingles in the window.
+shingles in the window. Notices of fewer words than a shingle are found by their whole sequence of words.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,8 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "all-rights-reserved": "Copyright. All rights reserved. No part may be reproduced without permission.",
 }
+# Notices of fewer than SHINGLE words, which documents carry as a line of their own.
+SHORT = {"all-rights-reserved-line": "All rights reserved."}
 
 
 @dataclass(frozen=True)
@@ -79,12 +83,12 @@ class Template:
 
 
 def templates(texts: dict[str, str] | None = None) -> list[Template]:
-    """Templates by name; each has at least SHINGLE words."""
+    """Templates by name; each has a word at least."""
     out = []
     for name, text in sorted((TEMPLATES if texts is None else texts).items()):
         found = tuple(w for w in re.findall(r"[^\W_]+", text.lower()))
-        if len(found) < SHINGLE:
-            raise ValueError(f"template {name} has fewer than {SHINGLE} words")
+        if not found:
+            raise ValueError(f"template {name} has no word")
         out.append(Template(name, found))
     return out
 
@@ -127,23 +131,39 @@ def _reference(spark: SparkSession, found: list[Template]) -> DataFrame:
     return table.select("license", "size", F.array_distinct(_hashes(F.col("words"))).alias("wanted"))
 
 
-def scan(
-    docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """id, license, containment (best window's share of the template's shingles) and first_word (of the first such window).
+def _pattern(sequences: list[tuple[str, ...]]) -> str:
+    """Pattern of any of some sequences of whole words."""
+    return r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(r"[^\p{L}\p{N}]+".join(s) for s in sequences)
 
-    One row for each id and template of which some window holds CONTAINED or more. Words are runs of letters and digits in
-    lower case. Null and empty texts, and texts with fewer than SHINGLE words, give no row; texts are read whole at any
-    length; rows with the same id are one document; other columns are ignored. The templates are a bounded list, broadcast.
-    """
-    found = templates(texts)
-    spark = docs.sparkSession
-    reference = _reference(spark, found)
-    lower = F.lower(F.col(text_col).cast("string"))
+
+def _words(lower: DataFrame, sequences: list[tuple[str, ...]]) -> DataFrame:
+    """Words of the texts that have any of some sequences of words."""
+    hit = lower.where(F.col("lower").rlike(_pattern(sequences)))
+    return hit.select("id", F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)).alias("words"))
+
+
+def _place(words: Column, wanted: tuple[str, ...]) -> Column:
+    """Place of the first occurrence of a sequence of words, from 1; 0 or null without one."""
+    n = len(wanted)
+    parts = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, F.lit(n)))
+    return F.when(F.size(words) >= n, F.array_position(parts, F.array(*map(F.lit, wanted))))
+
+
+def _short(lower: DataFrame, found: list[Template]) -> DataFrame:
+    """(id, license, first, share) of the templates of fewer than SHINGLE words, found whole."""
+    # A text without the templates' longest words needs no pattern.
+    longest = {max(t.words, key=len) for t in found}
+    some = lower.where(reduce(or_, [F.col("lower").contains(w) for w in sorted(longest)]))
+    places = [F.struct(F.lit(t.name).alias("license"), _place(F.col("words"), t.words).alias("place")) for t in found]
+    met = _words(some, [t.words for t in found]).select("id", F.explode(F.array(*places)).alias("met"))
+    return met.where("met.place > 0").select("id", "met.license", (F.col("met.place") - 1).cast("int").alias("first"), F.lit(1.0).alias("share"))
+
+
+def _long(lower: DataFrame, found: list[Template]) -> DataFrame:
+    """(id, license, first, share) of the windows that hold CONTAINED or more of a template's shingles."""
+    reference = _reference(lower.sparkSession, found)
     # A text without any cue has no shingle of any template.
-    cue = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])" % "|".join(r"[^\p{L}\p{N}]+".join(pair) for pair in cues(found))
-    words = docs.select(F.col(id_col).alias("id"), lower.alias("lower")).where(F.col("lower").rlike(cue))
-    words = words.select("id", F.regexp_extract_all("lower", F.lit(WORD), F.lit(0)).alias("words"))
+    words = _words(lower, cues(found))
     hashed = words.select("id", F.explode(F.array(_hashes(F.col("words")))).alias("all")).where(F.size("all") > 0)
     sizes = sorted({t.size for t in found})
     starts = [F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(1 << (c - 1))), _window(c)) for c in sizes]
@@ -153,7 +173,24 @@ def scan(
     known = reference.select("license", "size", "wanted", F.posexplode(_signature(F.col("wanted"))).alias("band", "value"))
     met = bands.join(F.broadcast(known), ["size", "band", "value"])
     share = F.size(F.array_intersect("hashes", "wanted")) / F.size("wanted")
-    verified = met.select("id", "license", "first", share.alias("share")).where(F.col("share") >= CONTAINED)
+    return met.select("id", "license", "first", share.alias("share")).where(F.col("share") >= CONTAINED)
+
+
+def scan(
+    docs: DataFrame, texts: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """id, license, containment (best window's share of the template's shingles) and first_word (of the first such window).
+
+    One row for each id and template of which some window holds CONTAINED or more. Words are runs of letters and digits in
+    lower case. Of a template with fewer than SHINGLE words the window is the occurrence itself, which has all its words in
+    order. Null and empty texts give no row; texts are read whole at any length; rows with the same id are one document;
+    other columns are ignored. The templates (TEMPLATES unless given) are a bounded list, broadcast.
+    """
+    found = templates(texts)
+    lower = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("lower"))
+    long, short = [t for t in found if len(t.words) >= SHINGLE], [t for t in found if len(t.words) < SHINGLE]
+    parts = [run(lower, some) for run, some in ((_long, long), (_short, short)) if some]
+    verified = reduce(DataFrame.unionByName, parts)
     out = verified.groupBy("id", "license").agg(F.max("share").alias("containment"), F.min("first").cast("long").alias("first_word"))
     return out.withColumnRenamed("id", id_col)
 

@@ -276,6 +276,16 @@ def test_licenses(spark, docs):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_short_licenses(spark):
+    texts = ["some words. All rights reserved.", "ALL  RIGHTS\nreserved", "call rights reserved", "all rights are reserved", "All Rights", None, "a b all rights reserved, all rights reserved"]
+    texts += ["Copyright. All rights reserved. No part may be reproduced without permission.", "x " * 5000 + "all rights_reserved"]
+    df = spark.createDataFrame([*enumerate(texts), (0, "once more: all rights reserved")], "doc_id long, text string")
+    got = rows(licenses.scan(df, licenses.TEMPLATES | licenses.SHORT))
+    line = "all-rights-reserved-line"
+    assert got == [(0, line, 1.0, 2), (1, line, 1.0, 0), (6, line, 1.0, 2), (7, "all-rights-reserved", 1.0, 0), (7, line, 1.0, 1), (8, line, 1.0, 5000)]
+    assert rows(licenses.scan(df, {"one": "Reserved", "four": "all rights are reserved"}), "doc_id", "license")[-2:] == [(7, "one"), (8, "one")]
+
+
 # Near-duplicates.
 
 

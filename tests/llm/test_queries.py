@@ -126,6 +126,20 @@ def test_op8_finds_the_article(spark):
         assert got[r.page_id] == want
 
 
+def test_op9_finds_the_notices_of_the_documents(spark, documents):
+    """Every line that ends a document and is one of the sample's notices."""
+    names = {
+        "All rights reserved.": "all-rights-reserved-line",
+        "Released under the MIT License.": "MIT",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    want = {(d.doc_id, name) for d in documents for line, name in names.items() if line in (d.text or "")}
+    assert {name for _, name in want} >= {"all-rights-reserved-line"}
+    assert {(r.doc_id, r.license) for r in QUERIES["op9_license_notices"](spark, SMALL).collect()} >= want
+
+
 def test_op10_equals_plain_version(spark, documents):
     assert rows(QUERIES["op10_jaccard_classes"](spark, SMALL)) == sorted(brute.jaccard_classes([(d.doc_id, d.text) for d in documents]))
 
