@@ -17,8 +17,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.llm.shapes import bound
-
 SHINGLE = 5
 CONTAINED = 0.75
 BANDS = 64
@@ -120,9 +118,11 @@ def _hashes(words: Column) -> Column:
 
 
 def _signature(hashes: Column) -> Column:
-    """For each band the least hash under its own order: the hashes with some bits flipped."""
-    flips = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.xxhash64(k))
-    return bound(flips, lambda f: F.transform(f, lambda x: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(x)))))
+    """For each band the least hash under its own order: the hashes mixed anew with the band's number.
+
+    Flipping bits alone would not do: which hash is least then hangs on the leading bits of its neighbours.
+    """
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, k))))
 
 
 def _reference(spark: SparkSession, found: list[Template]) -> DataFrame:

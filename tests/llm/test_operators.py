@@ -286,6 +286,18 @@ def test_short_licenses(spark):
     assert rows(licenses.scan(df, {"one": "Reserved", "four": "all rights are reserved"}), "doc_id", "license")[-2:] == [(7, "one"), (8, "one")]
 
 
+@pytest.mark.parametrize("before", [2, 20])
+def test_license_bands_miss_rarely(spark, before):
+    """The shortest template of one shingle, which one window holds at the head of a text and two in the middle."""
+    rng = random.Random(before)
+    notice = {"MIT": licenses.TEMPLATES["MIT"]}
+    words = [["".join(rng.choices("abcdefghij", k=7)) for _ in range(before + 12)] for _ in range(10_000)]
+    table = [(i, " ".join([*w[:before], notice["MIT"], *w[before:]])) for i, w in enumerate(words)]
+    missed = len(table) - licenses.scan(spark.createDataFrame(table, "doc_id long, text string"), notice).count()
+    # 0.0002 of them are two at most on average.
+    assert missed <= 8
+
+
 # Near-duplicates.
 
 
