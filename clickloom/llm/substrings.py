@@ -7,7 +7,8 @@ the minimiser changes; each chunk is one string whose suffixes are put in order
 sorting (``induced``), which gives the classes of equal windows.
 
 What a step of a few hundred texts already shows to repeat is settled before the shuffle, so a passage that many documents
-share leaves one stretch a step. A minimiser that many steps share is dealt out by window instead.
+share leaves one stretch a step. Of equal windows in one text only the first is sent; what is found of it holds for the others.
+A minimiser that many steps or many windows share is dealt out by window instead.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ PART = 20
 STEP_BYTES = 2 << 20
 # Bytes of a chunk that is sorted at once; one minimiser's stretches stay together.
 CHUNK_BYTES = 2 << 20
-# Steps from which a minimiser counts as frequent, and the most of them that are broadcast (a bound of the list).
+# Steps, and windows, from which a minimiser counts as frequent, and the most of them that are broadcast (a bound of the list).
 FREQUENT = 1024
+HEAVY = 1 << 20
 MOST_FREQUENT = 1 << 20
 # Bits of the broadcast filters (32 MB); they save work and never decide.
 FILTER_BITS = 28
@@ -120,7 +122,10 @@ def _runs(changed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _seen(docs: DataFrame, firsts) -> DataFrame:
-    """(h, id): each step's minimisers with the least and the greatest document of the step that has them."""
+    """(h, id, windows): each step's minimisers with the least and the greatest document of the step that has them.
+
+    The row of the least document counts the minimiser's windows in the step.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step, data, offsets in _steps(batches, firsts.value):
@@ -130,15 +135,19 @@ def _seen(docs: DataFrame, firsts) -> DataFrame:
                 continue
             h = least[start]
             at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])]))
+            many = np.diff(np.append(at, len(h)))
             h, ids = h[at], np.asarray(arrow.column(step, "id"))[text[at]]
             order = np.argsort(h)
             h, ids = h[order], ids[order]
             first, _ = _runs(np.concatenate([[True], h[1:] != h[:-1]]))
             h, low, high = h[first].astype(np.int64), np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
             more = high > low
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, h[more]])), pa.array(np.concatenate([low, high[more]]))], ["h", "id"])
+            many = np.concatenate([np.add.reduceat(many[order], first), np.zeros(more.sum(), np.int64)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h, h[more]])), pa.array(np.concatenate([low, high[more]])), pa.array(many)], ["h", "id", "windows"]
+            )
 
-    return docs.mapInArrow(emit, "h long, id long")
+    return docs.mapInArrow(emit, "h long, id long, windows int")
 
 
 STRETCHES = "h long, stretch binary, id long, code long, first int, end int"
@@ -170,6 +179,11 @@ def _stretches(docs: DataFrame, firsts, shared, frequent) -> DataFrame:
             low = np.empty(len(start), np.int64)
             low[order] = np.repeat(own[order][first], np.diff(np.append(first, len(start))))
             settled = own > low
+            # The sort is stable, so of equal windows in a text the first comes first.
+            again = np.zeros(len(start), bool)
+            again[order[1:]] = (window[order[1:]] == window[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+            send = settled | ~again
+            start, text, h, window, settled = start[send], text[send], h[send], window[send], settled[send]
             often = frequent.value
             spread = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h if len(often) else np.zeros(len(h), bool)
             shard = np.where(spread, window, h)
@@ -198,9 +212,10 @@ def _classes(rows: pa.RecordBatch) -> pa.RecordBatch:
     Equal stretches are sorted once, with the least of their documents; a minimiser whose stretches are all equal needs
     no sorting.
     """
-    kinds = arrow.column(rows, "stretch").dictionary_encode()
+    # Wide offsets: a group of more than 2 GB stays one array.
+    kinds = arrow.column(rows, "stretch").cast(pa.large_binary()).dictionary_encode()
     kind, raw = np.asarray(kinds.indices).astype(np.int64), kinds.dictionary
-    offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     h, ids, codes, begin = (np.asarray(arrow.column(rows, c)) for c in ("h", "id", "code", "first"))
@@ -244,13 +259,22 @@ def _lower(data: np.ndarray, offsets: np.ndarray, mixed: np.ndarray, least: np.n
     least[at[order]] = np.repeat(np.minimum.reduceat(own, first), np.diff(np.append(first, len(own))))
 
 
+def _whole(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows as one batch, whatever their bytes: narrow offsets would leave several batches beyond 2 GB."""
+    table = pa.Table.from_batches(rows)
+    at = table.schema.get_field_index("stretch")
+    table = table.set_column(at, "stretch", table.column(at).cast(pa.large_binary())).combine_chunks()
+    (batch,) = table.to_batches()
+    return batch
+
+
 def _covers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covers of a shard sorted by minimiser, chunk by chunk."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def chunk(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        return _classes(pa.Table.from_batches(rows).combine_chunks().to_batches()[0])
+        return _classes(_whole(rows))
 
     for batch in batches:
         sent = arrow.column(batch, "stretch").is_valid()
@@ -301,6 +325,29 @@ def _result(batch: pa.RecordBatch, covers: list[list[tuple[int, int]]]) -> pa.Re
     )
 
 
+def _everywhere(batch: pa.RecordBatch, covers: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
+    """Covers of each text with those of all windows that equal a covered one of the same text."""
+    data, offsets = arrow.raw(arrow.column(batch, "text"))
+    out = []
+    for k, cover in enumerate(covers):
+        text = data[offsets[k] : offsets[k + 1]]
+        n = len(text) - LENGTH + 1
+        if not cover or n < 1:
+            out.append(cover)
+            continue
+        # A cover consists of windows that are covered themselves; one across two covers need not be.
+        step = np.zeros(n + 1, np.int64)
+        for a, z in cover:
+            step[a] += 1
+            step[z - LENGTH + 1] -= 1
+        whole = _minimisers(text, whole=True)[1][:n]
+        gone = np.isin(whole, whole[np.cumsum(step[:n]) > 0])
+        at = np.flatnonzero(gone)
+        a, z = _runs(np.concatenate([[True], np.diff(at) > 1]))
+        out.append(list(zip(at[a].tolist(), (at[z] + LENGTH).tolist())))
+    return out
+
+
 def _merged(cover: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Touching covers are one span."""
     out: list[tuple[int, int]] = []
@@ -324,10 +371,11 @@ def covers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     # A text's first document stands for all its copies: it has all their windows and the least id.
     first = known.select("id", "code").groupBy("code").agg(F.min("id").alias("id"))
     firsts = context.broadcast(_filter(first, _row_key()))
-    seen = _seen(known, firsts).repartition("h").groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
-    met = materialize(seen.where("low < high").select("h", "n"), "shared")
+    seen = _seen(known, firsts).repartition("h").groupBy("h")
+    seen = seen.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"), F.sum("windows").alias("windows"))
+    met = materialize(seen.where("low < high").select("h", "n", "windows"), "shared")
     shared = context.broadcast(_filter(met, "h"))
-    often = met.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toArrow()
+    often = met.where((F.col("n") >= FREQUENT) | (F.col("windows") >= HEAVY)).orderBy(F.desc("windows"), "h").limit(MOST_FREQUENT).select("h").toArrow()
     frequent = context.broadcast(np.sort(often.column("h").to_numpy().astype(np.uint64)))
     sent = _stretches(known, firsts, shared, frequent).repartition("h").sortWithinPartitions("h")
     found = sent.mapInArrow(_covers, "id long, code long, first int, end int")
@@ -341,7 +389,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings are judged on the input. Ids are integers. Null is the empty text; texts shorter than LENGTH keep all; rows
     with the same id do not remove from each other, each text is judged apart; rows with a null id keep all and remove
     nothing; other columns are ignored; an empty table gives an empty one. Equal texts and the windows settled before the
-    shuffle are compared by 64-bit hashes, all others byte by byte.
+    shuffle are compared by 64-bit hashes, and so are equal windows inside one text; all others byte by byte.
     """
     texts, found, firsts = covers(docs, id_col, text_col)
     touched = docs.sparkSession.sparkContext.broadcast(_filter(found.select("id", "code").distinct(), _row_key()))
@@ -364,8 +412,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in arrow.steps(batches, "text", STEP_BYTES):
-            lists = arrow.column(step, "covers").to_pylist()
-            yield _result(step, [[(c["first"], c["end"]) for c in row or []] for row in lists])
+            lists = [[(c["first"], c["end"]) for c in row or []] for row in arrow.column(step, "covers").to_pylist()]
+            yield _result(step, _everywhere(step, lists))
 
     lists = found.groupBy("id", "code").agg(F.collect_list(F.struct("first", "end")).alias("covers"))
     hit = texts.mapInArrow(maybe, texts.schema)

@@ -87,6 +87,43 @@ def test_op5_odd_texts(spark, monkeypatch):
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_op5_sends_equal_windows_of_a_text_once(spark, monkeypatch):
+    """Long runs of one character and of short periods, of differing lengths: a few bytes of each are sent and sorted."""
+    rng = random.Random(3)
+    runs = [corpus.text(rng, 5) + rng.choice(["x", "ab", "0-="]) * rng.randint(20, 2000) + corpus.text(rng, 5) for _ in range(30)]
+    line = corpus.text(rng, 30)
+    runs += [line + " 1 " + line, line, line[:60] + line[40:] + line[:60], "x" * 50, "x" * 49]
+    plain = list(enumerate(runs))
+    df = spark.createDataFrame(plain, "doc_id long, text string").repartition(7)
+    assert rows(substrings.remove_repeats(df)) == brute.repeats(plain)
+    monkeypatch.setattr(substrings, "STEP_BYTES", 1)
+    monkeypatch.setattr(substrings, "HEAVY", 1)
+    assert rows(substrings.remove_repeats(df)) == brute.repeats(plain)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    every = np.full(1 << (substrings.FILTER_BITS - 3), 255, np.uint8)
+    known = df.selectExpr("doc_id AS id", "text", "xxhash64(text) AS code").withColumn("key", substrings._row_key())
+    found = substrings._stretches(known, Shared(every), Shared(every), Shared(np.zeros(0, np.uint64)))
+    longest = found.selectExpr("max(length(stretch))").first()[0]
+    assert longest < 300
+
+
+def test_op5_keeps_all_batches_of_a_group():
+    """Offsets of 8 bytes hold a group of any size in one batch."""
+    import pyarrow as pa
+
+    def batch(i, stretch):
+        arrays = [pa.array([7]), pa.array([stretch], pa.binary()), pa.array([i]), pa.array([i]), pa.array([0], pa.int32()), pa.array([len(stretch)], pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in substrings.STRETCHES.split(", ")])
+
+    whole = substrings._whole([batch(1, b"a" * 60), batch(2, b"a" * 55)])
+    assert whole.num_rows == 2 and pa.types.is_large_binary(whole.schema.field("stretch").type)
+    assert [r["id"] for r in substrings._classes(whole).to_pylist()] == [2]
+
+
 def test_induced_sorting(monkeypatch):
     rng = random.Random(1)
     for _ in range(300):
