@@ -200,7 +200,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep(docs: DataFrame, model: Model, share: float, text_col: str = "text") -> DataFrame:
     """The rows of which some language holds at least ``share``, all columns as they are.
 
-    Null texts, texts without a letter and mixtures without such a language go; repeated rows are judged alike.
+    Null texts, texts without a letter, mixtures without such a language and, under a model without languages, all go; a
+    share of 0 keeps every text that ``identify`` gives a language. Repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flag = "__lettered"
@@ -210,7 +211,7 @@ def keep(docs: DataFrame, model: Model, share: float, text_col: str = "text") ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in arrow.steps(batches, text_col):
             shares, _ = infer(arrow.column(step, text_col), shared.value)
-            best = shares.max(axis=1) if shared.value.langs else np.zeros(step.num_rows)
+            best = shares.max(axis=1) if shared.value.langs else np.full(step.num_rows, -1.0)
             yield step.filter(pa.array(np.asarray(arrow.column(step, flag)) & (best >= share))).select(names)
 
     return docs.withColumn(flag, lettered).mapInArrow(run, docs.schema)

@@ -11,6 +11,7 @@ import corpus
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from clickloom.llm import components, decontaminate, hamming, html_main, jaccard, language, licenses, mixing, secrets, tokens
 
 
@@ -71,6 +72,20 @@ def test_language_odd_texts(spark, docs, model):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_pipeline_keeps_mixtures(spark):
+    table = [(None, k, v) for s in range(20) for k, v in spoken(60, s).items()]
+    a, b, c = spoken(400, 1), spoken(350, 2), spoken(250, 3)
+    texts = [a["en"] + " " + b["de"] + " " + c["fr"], "a", "12 %", None, "", a["fr"]]
+    schema = "doc_id long, lang string, text string"
+    table += [(i, None, x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(table, schema)
+    got = corpus_pipeline.known_language(spark, df, "")
+    assert got.columns == df.columns and rows(got.where("doc_id IS NOT NULL"), "doc_id") == [(0,), (1,), (5,)]
+    found = language.identify(df, language.fit(df.where(~language.held_out()))).where("lang_pred != 'und'")
+    assert got.count() == found.count()
+    assert corpus_pipeline.known_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
+
+
 # Tokens.
 
 
