@@ -22,7 +22,7 @@ from clickloom.llm import arrow
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var img wbr".split()
+    "time tt u var img wbr math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot semantics".split()
 )
 # An opening tag ends the open elements listed for it, up to the nearest element that bounds them.
 P_ENDS = set(
@@ -38,7 +38,7 @@ BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"se
 # Page furniture by element, role and by the words of class and id.
 FURNITURE = set(
     "script style noscript template head title nav footer aside form button select textarea input iframe svg canvas object menu dialog "
-    "audio video datalist math".split()
+    "audio video datalist annotation".split()
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = set(
@@ -147,6 +147,9 @@ class Tree(HTMLParser):
 
 
 def _is_furniture(n: Node) -> bool:
+    # A form around the page's main part is a container; its controls are furniture themselves.
+    if n.tag == "form" and n.holds:
+        return False
     if n.tag in FURNITURE or n.role in ROLES:
         return True
     if n.tag in WHOLE or n.tag in ("body", "html") or n.holds:
@@ -223,7 +226,7 @@ def main_text(html: str) -> str:
         inside = [n for n in nodes if n.tag in WHOLE and n not in out and n.score >= SIBLING * best.score and n.scored]
         whole = max(inside, key=lambda n: (n.tag == "article", n.score), default=None)
     if whole is not None:
-        return _render([whole], out)
+        return _render([whole], out, True)
     if best.tag in PARAGRAPHS and best.parent is not None:
         best = best.parent
     around = [x for x in best.parent.inside if isinstance(x, Node)] if best.parent is not None else [best]
@@ -254,7 +257,7 @@ def _flat(n: Node) -> str:
     return "".join(parts)
 
 
-def _render(top: list[Node], out: set[Node]) -> str:
+def _render(top: list[Node], out: set[Node], whole: bool = False) -> str:
     parts: list[str] = []
     todo: list[Node | str] = list(reversed(top))
     while todo:
@@ -264,7 +267,8 @@ def _render(top: list[Node], out: set[Node]) -> str:
             continue
         if x in out:
             continue
-        if x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and x.chars and x.linked / x.chars >= LINKED and x not in top:
+        # Lists of links are menus, but not those of an article.
+        if not whole and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and x.chars and x.linked / x.chars >= LINKED and x not in top:
             continue
         if x.tag in INLINE:
             todo.extend(reversed(x.inside))

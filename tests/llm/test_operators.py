@@ -257,6 +257,14 @@ def test_main_text():
     assert html_main.main_text(article) == "T Body, text."
 
 
+def test_main_text_of_forms_math_and_sources():
+    body = "<h1>T</h1><p>Body, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> inside.</p>"
+    sources = "<section><h2>Sources</h2><ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul></section>"
+    page = f"<body><nav><a href=/>Home</a></nav><form><input><select><option>en</select><article>{body}{sources}</article><button>Go</button></form></body>"
+    assert html_main.main_text(page) == "T Body, with x=2 inside. Sources First source Second source"
+    assert html_main.main_text(f"<body><form><div>{body}</div><textarea>old</textarea></form></body>") == "T Body, with x=2 inside."
+
+
 @pytest.mark.parametrize("html", ["", "plain", "<", "<p", "<!--", "</p></p>", "<p><p><p>", "<div>" * 5000 + "x" + "</p>" * 5000, "<![if x]>a<![endif]>", "<script>never closed", "<p>a&#0;&#x110000;&bogus;"])
 def test_broken_pages(html):
     assert isinstance(html_main.main_text(html), str)
