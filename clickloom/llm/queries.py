@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clickloom.llm import decontaminate, hamming, html_main, jaccard, language, licenses, mixing, secrets, substrings, tokens
+from clickloom.llm import (
+    decontaminate, hamming, html_main, jaccard, language, licenses, mixing, negatives, secrets, substrings, tokens, warc, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -134,6 +136,59 @@ def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+@query("op11_whitening")
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding along the sixteen greatest principal components, at unit variance."""
+    return whitening.whiten_table(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_warc",
+    """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS code,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (CAST('0x' || substr(code, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS INTEGER), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM payloads""",
+)
+def web_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a web archive, from the merged index of the archives."""
+    merged = warc.archive_table(table(spark, sf_dir, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op13_hard_negatives",
+    """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id, score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id
+WHERE NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""",
+)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rows of other labels per anchor and positive, the closest ones that stay clear of the positive."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label="if(vec_id % 7 = 0, (label + 1) % 10, label)")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training mix of the documents that all stages keep."""

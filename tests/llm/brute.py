@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from fractions import Fraction
+
+import numpy as np
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -235,3 +238,45 @@ def mixed(docs, seed="mix"):
             left -= size[i]
             out.append((i, s, size[i], sizes[s], target[s], rounds * size[i] + more))
     return sorted(out)
+
+
+def whole_vectors(table, factor):
+    """(id, floor(factor * component)) of the rows whose vector is whole and as long as most."""
+    rows = [(i, v) for i, v in table if v and all(c is not None and math.isfinite(c) for c in v)]
+    return [(i, [math.floor(factor * c) for c in v]) for i, v in rows]
+
+
+def check_whitened(got, table, most=16):
+    """Rows of the whitening against the eigenvectors of the covariance; signs may differ by component."""
+    rows = whole_vectors(table, 64.0)
+    distinct = np.array(sorted({tuple(x) for _, x in rows}), np.int64) + 1_000_000
+    n, sums = len(distinct), [int(s) for s in distinct.sum(0)]
+    mean = np.array([float(Fraction(s, n)) for s in sums])
+    centred = np.array([[float(Fraction(int(c) * n - s, n)) for c, s in zip(x, sums)] for x in distinct])
+    covariance = centred.T @ centred / n
+    values, axes = np.linalg.eigh(covariance)
+    kept = [k for k in np.argsort(-values) if values[k] > 1e-9 * max(values.max(), 1e-300)][:most]
+    want = sorted((i, sum((n * (c + 1_000_000) - s) ** 2 for c, s in zip(x, sums)), x) for i, x in rows)
+    assert len(got) == len(want) * len(kept)
+    trace = np.trace(covariance)
+    for number, k in enumerate(kept, 1):
+        mine = sorted((r for r in got if r[1] == number), key=lambda r: (r[0], r[3]))
+        projected = np.array([(np.array(x) + 1_000_000 - mean) @ axes[:, k] / np.sqrt(values[k]) for _, _, x in want])
+        whitened = np.array([r[4] for r in mine])
+        assert [(r[0], r[2], r[3]) for r in mine] == [(i, n, d) for i, d, _ in want]
+        assert np.allclose(whitened * np.sign(whitened @ projected), projected, rtol=1e-6, atol=1e-6)
+        assert all(abs(r[5] - values[k] / trace) < 1e-6 * r[5] and r[6] < 1e-4 for r in mine)
+
+
+def hard_negatives(table):
+    """Rows (id, label, vector) against all others."""
+    labels = {k: lab for k, (_, lab, _) in enumerate(table)}
+    rows = [(i, labels[k], v) for k, (i, _, v) in enumerate(table) if i is not None and labels[k] is not None]
+    rows = [(i, lab, [math.floor(256.0 * c) for c in v]) for i, lab, v in rows if v and all(c is not None and math.isfinite(c) for c in v)]
+    out = []
+    for a, label, x in {(i, lab, tuple(v)) for i, lab, v in rows if i % 100 == 0}:
+        scored = sorted((-sum(p * q for p, q in zip(x, y)), i, lab) for i, lab, y in rows if i != a)
+        for s, i, _ in [t for t in scored if t[2] == label][:5]:
+            fit = [(t, j) for t, j, lab in scored if lab != label and 30 * -s <= 100 * -t <= 90 * -s][:10]
+            out += [(a, i, rank, j, -s, -t) for rank, (t, j) in enumerate(fit, 1)]
+    return sorted(out)

@@ -40,7 +40,7 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def test_op1_held_out(spark, documents):
@@ -181,6 +181,14 @@ def test_op10_equals_plain_version(spark, documents):
     assert rows(QUERIES["op10_jaccard_classes"](spark, SMALL)) == sorted(brute.jaccard_classes([(d.doc_id, d.text) for d in documents]))
 
 
+def test_op11_equals_plain_version(spark):
+    table = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
+    got = QUERIES["op11_whitening"](spark, SMALL).collect()
+    brute.check_whitened([tuple(r) for r in got], table)
+    assert {r.component for r in got} == set(range(1, 17)) and len(got) == 16 * len(table)
+    assert max(r.identity_error for r in got) < 1e-9
+
+
 def test_pipeline_equals_plain_version(spark, documents):
     model = brute.language_model([(d.text, d.lang) for d in documents if zlib.crc32(str(d.doc_id).encode()) % 3 != 1])
     docs = [d for d in documents if max(brute.languages(d.text, model).values(), default=0) >= 0.5]
