@@ -23,7 +23,7 @@ REMEMBERED = 1_000_000
 # Bytes of text per step: large enough for pieces to repeat.
 STEP_BYTES = 16 << 20
 # Letters in front of full stops or commas that end a piece: the cut between them is a pre-token boundary.
-TAIL = r"([a-z])([.,]+)([ \n]|$)"
+TAIL = r"([A-Za-z])([.,]+)([ \n]|$)"
 
 
 @cache
@@ -37,8 +37,8 @@ def _tokenizer(path: str):
 
 
 def _pieces(text: pa.Array) -> pa.ListArray:
-    """Each text's pieces: cut at blanks and line feeds, ASCII letters in lower case, closing stops apart."""
-    text = pc.replace_substring_regex(pc.ascii_lower(text), TAIL, r"\1 \2\3")
+    """Each text's pieces: cut at blanks and line feeds, closing stops apart. Case stays: special strings depend on it."""
+    text = pc.replace_substring_regex(text, TAIL, r"\1 \2\3")
     return pc.split_pattern_regex(text, r"[ \n]")
 
 
