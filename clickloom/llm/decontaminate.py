@@ -41,15 +41,15 @@ class Table:
     items: list[list[str]]
 
 
-def tables(items: Iterable[tuple[str, str]], window: int = WINDOW) -> list[Table]:
-    """Tables of all windows of (id, text) items, by length."""
+def tables(items: Iterable[tuple[str | None, str]], window: int = WINDOW) -> list[Table]:
+    """Tables of all windows of (id, text) items, by length. An item without id has windows but is not listed."""
     found: dict[int, dict[bytes, tuple[set[str], np.ndarray]]] = {}
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         w = words(data, np.array([0, len(data)]))
         m = min(window, len(w.start))
         for i in range(len(w.start) - m + 1 if m else 0):
-            found.setdefault(m, {}).setdefault(w.text(i, m), (set(), w.code[i : i + m]))[0].add(item)
+            found.setdefault(m, {}).setdefault(w.text(i, m), (set(), w.code[i : i + m]))[0].update([] if item is None else [item])
     return [_table(m, found[m]) for m in sorted(found)]
 
 
@@ -141,11 +141,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str, str]]]:
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[str | None, str]]]:
     """The benchmark's items in blocks of at most BLOCK_BYTES of text (or one item); the driver holds one block."""
     block, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
-    for item, text in rows.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for item, text in rows.where(F.col(text_col).isNotNull()).toLocalIterator():
         n = len(text.encode())
         if block and size + n > BLOCK_BYTES:
             yield block
@@ -165,8 +165,8 @@ def scan(
     Words are runs of digits, letters and characters beyond ASCII, A-Z in lower case. A test string is a window of an
     item's words, or the whole item if it has fewer. The benchmark is broadcast in blocks of bounded size; each further
     block adds its hits to the rows that stream past, so documents are read once and never shuffled. Null and empty
-    texts have no words and no hits; items that are null or without words are not searched; repeated rows are searched
-    each; other columns are ignored; an empty benchmark hits nothing.
+    texts have no words and no hits; items without words are not searched; an item with a null id hits words like any
+    other, but has no id to be listed or counted among the items; repeated rows are searched each; other columns are ignored; an empty benchmark hits nothing.
     """
     session = docs.sparkSession
     out = docs.select(
