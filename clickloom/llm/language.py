@@ -155,6 +155,14 @@ def infer(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return shares, fit_
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it; Spark's names do not tell cases apart."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with ``lang_pred``, ``score`` (share of that language), ``shares`` (language to share) and ``fit``.
 
@@ -171,7 +179,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
     kinds = (T.StringType(), T.DoubleType(), T.MapType(T.StringType(), T.DoubleType()), T.DoubleType())
     out_type = T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(names, kinds))])
-    flag = "__lettered"
+    flag = _unused("__lettered", docs.columns)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -204,7 +212,7 @@ def keep(docs: DataFrame, model: Model, share: float, text_col: str = "text") ->
     share of 0 keeps every text that ``identify`` gives a language. Repeated rows are judged alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    flag = "__lettered"
+    flag = _unused("__lettered", docs.columns)
     lettered = F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
     names = docs.columns
 
