@@ -23,7 +23,7 @@ def decontaminate(docs, items, window=10):
         w = bench_words(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            grams.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            grams.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     sizes = {len(g) for g in grams}
     out = []
     for doc, text in docs:

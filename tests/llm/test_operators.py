@@ -45,7 +45,7 @@ def model(spark):
 def test_language_mixture(spark, model):
     one = spoken(300, 99)
     texts = [one["en"], one["de"], one["en"] + " " + one["de"], one["fr"] + " " + spoken(100, 7)["en"], None, "", "12 %", "a", "é"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("score", F.lit("x"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("score", F.lit("x")).withColumn("__Lettered", F.lit("no"))
     got = {r.doc_id: r for r in language.identify(df, model).collect()}
     assert model.langs == ["de", "en", "fr"]
     assert (got[0].lang_pred, got[0].shares) == ("en", {"en": 1.0})
@@ -98,7 +98,7 @@ def test_token_counts(spark, docs):
     df, plain = docs
     rng = random.Random(5)
     odd = ["".join(rng.choice("abC.,'’ \n\té́ÅΣς1½😀<|endoftext|> \x1c\x85-_") for _ in range(rng.randint(0, 40))) for _ in range(800)]
-    odd += ["I'm.", "it's, 'tis", "a.́ b", "end.. ,x", "<|endoftext|>. <|startoftext|>,", "É.", "ſ. K,", "a.,. b"]
+    odd += ["I'm.", "it's, 'tis", "a.́ b", "end.. ,x", "<|endoftext|>. <|startoftext|>,", "<|ENDOFTEXT|>", "<|EndOfText|> a", "a <|STARTOFTEXT|>", "A.. <|endOFtext|>.", "É.", "ſ. K,", "a.,. b"]
     extra = spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(odd)], "doc_id long, text string")
     plain = plain + [(10_000 + i, x) for i, x in enumerate(odd)]
     got = rows(tokens.count_tokens(df.select("doc_id", "text").unionByName(extra), path))
@@ -113,9 +113,13 @@ def test_token_counts(spark, docs):
 def test_decontamination(spark, docs, monkeypatch):
     df, plain = docs
     long = [t for _, t in plain if t and len(t) > 200][:3]
-    items = [(1, " ".join(long[0].split()[3:25])), (2, long[1].upper()), (10, "one, two; three-four"), (3, None), (4, ""), (5, "!"), (6, "é"), (7, "the ing"), (1, "a")]
+    items = [(1, " ".join(long[0].split()[3:25])), (2, long[1].upper()), (10, "one, two; three-four"), (3, None), (4, ""), (5, "!"), (6, "é"), (7, "the ing"), (1, "a"), (None, " ".join(long[2].split()[5:40])), (None, "zebra unlisted")]
+    plain = [*plain, (99_999, "a zebra unlisted here")]
+    df = df.unionByName(spark.createDataFrame([plain[-1]], "doc_id long, text string"), allowMissingColumns=True)
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute.decontaminate(plain, items))
+    # An item without id hits its words but is not listed; here item 1 is, for its single word.
+    assert [r[1:4] + r[5:] for r in want if r[0] == 99_999] == [(4, 3, 1, True)]
     assert any(r[5] for r in want) and not all(r[5] for r in want)
     assert rows(decontaminate.report(decontaminate.scan(df, bench))) == want
     clean = {r[0] for r in want if not r[5]}
