@@ -20,10 +20,11 @@ def model_frame(
     n_counts: int = 6,
     fill: dict[str, float | str] = prep.FILL_NONE,
     null_keys: str = "keep",
+    unique_key: bool = False,
 ) -> DataFrame:
     """Impute, time parts, pair counts and label codes; train and test together.
 
-    Null keys are kept by default so that every test row gets a prediction.
+    Null keys are kept by default so that every test row gets a prediction. ``unique_key`` declares that no ID is repeated.
     """
     df = prep.prepare(imps, fill)
     names = counts.FEATURE_SETS[n_counts] if n_counts else []
@@ -31,7 +32,7 @@ def model_frame(
     # The same rows as after counting, without computing the counts for it.
     kept = df.na.drop(subset=counts.key_columns(names)) if names and null_keys == "drop" else df
     codes = encode.fit_codes(kept, text)
-    counted = counts.add_pair_counts(df, names, null_keys=null_keys) if names else df
+    counted = counts.add_pair_counts(df, names, null_keys=null_keys, unique_key=unique_key) if names else df
     return encode.apply_codes(counted, codes, text)
 
 

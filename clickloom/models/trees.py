@@ -6,6 +6,7 @@ random split thresholds, and its feature sampling is per node.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -21,9 +22,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
 from clickloom.models.frame import cached, click_probability
-from clickloom.operators import logs, metrics
-from clickloom.operators.lookup import lookup_join
-from clickloom.operators.split import add_fold
+from clickloom.operators import logs, metrics, target
 from clickloom.session import materialize, new_path
 
 SEED = 2017
@@ -128,33 +127,16 @@ def fit_builtin_stop(train: DataFrame, boost: Boost, valid_column: str = "is_val
         return boost.classifier(validationIndicatorCol=valid_column, validationTol=0.0).fit(rows)
 
 
-def categorical_rates(
-    train: DataFrame, others: list[DataFrame], categories: list[str], label: str = "label", row_key: str = "ID",
-    folds: int = 5, weight: float = 10.0,
-) -> tuple[DataFrame, list[DataFrame]]:
-    """Replace the named categories by the click rate of their value, whatever the number of values.
+def with_category_rates(
+    train: DataFrame, others: list[DataFrame], categories: Sequence[str], features: list[str], most: int = 2
+) -> tuple[DataFrame, list[DataFrame], list[str]]:
+    """The tables with the ordered click rates of the named categories and of their combinations beside the codes.
 
-    A train row gets the rate over the other folds, so its own label is not in it; the other tables get the rate over all
-    train rows. Rates are drawn towards the overall one by ``weight`` rows, which an unknown value gets alone.
+    Returns them with the names of all features.
     """
-    rows = materialize(add_fold(train, folds, row_key), "folds")
-    overall = rows.agg(F.coalesce(F.avg(label), F.lit(0.0))).first()[0]
-
-    def rate(hits: Column, n: Column) -> Column:
-        return (F.coalesce(hits, F.lit(0.0)) + weight * overall) / (F.coalesce(n, F.lit(0)) + weight)
-
-    for c in categories:
-        per_fold = rows.groupBy(c, "fold").agg(F.sum(label).alias("_h"), F.count("*").alias("_n"))
-        table = materialize(per_fold, "rates")
-        whole = materialize(table.groupBy(c).agg(F.sum("_h").alias("_all_h"), F.sum("_n").alias("_all_n")), "rates")
-        rows = lookup_join(lookup_join(rows, whole, [c], "left", True), table, [c, "fold"], "left", True)
-        own_h, own_n = F.coalesce("_h", F.lit(0.0)), F.coalesce("_n", F.lit(0))
-        rows = rows.withColumn(c, rate(F.col("_all_h") - own_h, F.col("_all_n") - own_n)).drop("_h", "_n", "_all_h", "_all_n")
-        others = [
-            lookup_join(o, whole, [c], "left", True).withColumn(c, rate(F.col("_all_h"), F.col("_all_n"))).drop("_all_h", "_all_n")
-            for o in others
-        ]
-    return rows.drop("fold"), others
+    combos = target.combinations_of(categories, most)
+    widened, rest = target.ordered_rates(train, others, combos)
+    return materialize(widened, "rates"), rest, [*features, *map(target.rate_name, combos)]
 
 
 def split_counts(

@@ -6,6 +6,10 @@ however frequent, stays in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,19 +116,72 @@ def scalar(frame: DataFrame) -> float:
     return frame.first()[0]
 
 
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+# Columns of a block: a task holds the sums of one pair of blocks at a time.
+BLOCK = 64
+# Rows of a batch that are multiplied at once.
+GRAM_ROWS = 8192
+
+
+def correlation_pairs(df: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
     """Pearson correlation of every column pair once, ``(feature_a, feature_b, corr)``.
 
-    All pairs are one aggregate. Rows where both columns are present count; a column without spread correlates with
-    nothing (null).
+    Rows where both columns are present count; a column without spread correlates with nothing (null). Columns are centred
+    by their means first, so that moments keep their digits. Tasks multiply their rows by blocks of columns, with a mask of
+    what is present, and the products of a pair of blocks meet in one row.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    x = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    named = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        # Central moments keep their digits at large offsets; ``corr`` itself fails without spread.
-        spread = F.sqrt(F.var_pop(F.when(both, F.col(a))) * F.var_pop(F.when(both, F.col(b))))
-        corr = F.try_divide(F.covar_pop(a, b), spread)
-        named.append(F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), corr.alias("corr")))
-    return x.agg(F.array(*named).alias("all")).select(F.explode_outer("all").alias("p")).select("p.*")
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    means = [m or 0.0 for m in x.agg(*[F.avg(F.nanvl(c, F.lit(None))) for c in x.columns]).first() or []]
+    parts = x.mapInArrow(lambda batches: _block_products(batches, means, block), "a int, b int, sums binary")
+    # Pairs without any row have no correlation, but a place in the result.
+    starts = range(-(-len(columns) // block))
+    nothing = df.sparkSession.createDataFrame([(i, j, b"") for i in starts for j in starts[i:]], "a int, b int, sums binary")
+    parts = parts.unionByName(nothing)
+    schema = "a int, b int, feature_a string, feature_b string, corr double"
+    names = list(columns)
+    met = parts.groupBy("a", "b").applyInArrow(lambda key, table: _block_correlations(key, table, names, block), schema)
+    return met.select("feature_a", "feature_b", "corr")
+
+
+def _block_products(batches: Iterable[pa.RecordBatch], means: list[float], block: int) -> Iterator[pa.RecordBatch]:
+    """Per pair of column blocks: rows, sums, squares and products over the rows where both columns are present."""
+    starts = range(0, len(means), block)
+    sums: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, GRAM_ROWS):
+            rows = batch.slice(at, GRAM_ROWS)
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in rows.columns], 1) - means
+            there = ~np.isnan(x)
+            x, there = np.where(there, x, 0.0), there.astype(np.float64)
+            for i, a in enumerate(starts):
+                xa, ma = x[:, a : a + block], there[:, a : a + block]
+                for j, b in enumerate(starts[i:], i):
+                    xb, mb = x[:, b : b + block], there[:, b : b + block]
+                    new = np.stack([ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb])
+                    sums[i, j] = sums[i, j] + new if (i, j) in sums else new
+    for (i, j), total in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["a", "b", "sums"]
+        )
+
+
+def _block_correlations(key: tuple, table: pa.Table, columns: list[str], block: int) -> pa.Table:
+    i, j = (k.as_py() for k in key)
+    left, right = columns[i * block : (i + 1) * block], columns[j * block : (j + 1) * block]
+    # Sorted, so that sums do not depend on the order of arrival.
+    parts = sorted(table.column("sums").to_pylist())
+    zero = np.zeros((6, len(left), len(right)))
+    n, sx, sy, sxx, syy, sxy = sum((np.frombuffer(p).reshape(zero.shape) for p in parts if p), zero)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy, cov = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
+        # What rounding leaves of a column without spread is none.
+        flat = (vx <= 1e-13 * sxx) | (vy <= 1e-13 * syy) | (n == 0)
+        corr = np.where(flat, np.nan, cov / np.sqrt(np.where(flat, 1.0, vx * vy)))
+    picked = [(a, b) for a in range(len(left)) for b in range(len(right)) if i < j or a < b]
+    values = np.array([corr[a, b] for a, b in picked], np.float64)
+    return pa.table(
+        {
+            "a": pa.array([i] * len(picked), pa.int32()), "b": pa.array([j] * len(picked), pa.int32()),
+            "feature_a": pa.array([left[a] for a, _ in picked], pa.string()), "feature_b": pa.array([right[b] for _, b in picked], pa.string()),
+            "corr": pa.array(values, mask=np.isnan(values)),
+        }
+    )

@@ -54,7 +54,7 @@ def natural_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _count_features(n: int):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = counts.FEATURE_SETS[n]
-        return counts.add_pair_counts(prepared(spark, sf_dir), names).select("ID", "split", *names)
+        return counts.add_pair_counts(prepared(spark, sf_dir), names, unique_key=True).select("ID", "split", *names)
 
     return run
 
@@ -72,7 +72,7 @@ for _n in counts.FEATURE_SETS:
 def count_features_keep_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["site_offer_count", "site_device_count", "device_browser_count"]
     imps = samples.impressions(spark, sf_dir)
-    return counts.add_pair_counts(imps, names, null_keys="keep").select("ID", "split", *names)
+    return counts.add_pair_counts(imps, names, null_keys="keep", unique_key=True).select("ID", "split", *names)
 
 
 @query(
@@ -226,7 +226,7 @@ def _corr_sql() -> str:
 
 @query("corr_matrix", _corr_sql())
 def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = counts.add_pair_counts(prepared(spark, sf_dir), _COUNTED)
+    df = counts.add_pair_counts(prepared(spark, sf_dir), _COUNTED, unique_key=True)
     return rounded(metrics.correlation_pairs(df, _CORRELATED + _COUNTED), "corr")
 
 

@@ -33,6 +33,7 @@ class Inputs:
     sample: float = 1.0
     valid: float = 0.1
     scaled: bool = False
+    unique_key: bool = False
     fill: dict[str, float | str] = field(default_factory=lambda: prep.FILL_NONE)
 
 
@@ -53,7 +54,7 @@ class Prepared:
 def prepare(spark: SparkSession, inputs: Inputs) -> Prepared:
     """Read, derive features, sample the train rows and split off validation rows."""
     imps = readers.read_train_test(spark, inputs.train, inputs.test)
-    table = materialize(frame.model_frame(imps, inputs.n_counts, inputs.fill), "features", ("split",))
+    table = materialize(frame.model_frame(imps, inputs.n_counts, inputs.fill, unique_key=inputs.unique_key), "features", ("split",))
     features = prep.feature_columns(table)
     train = table.where("split = 'train'")
     if inputs.sample < 1.0:
@@ -116,14 +117,15 @@ def boosted_early_stop(
 def categorical(
     spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.Boost(), categories: tuple[str, ...] = schema.CATEGORIES
 ) -> Run:
-    """Boosted trees on the click rates of the named categories, cut at the best validation round."""
+    """Boosted trees on the codes and the click rates of the named categories and their pairs, cut at the best validation round."""
     data = prepare(spark, inputs)
-    fit, (valid, test) = trees.categorical_rates(data.fit.drop("features"), [data.valid.drop("features"), data.test.drop("features")], list(categories))
-    fit, valid, test = (frame.assemble(part, data.features) for part in (fit, valid, test))
+    parts = [data.valid.drop("features"), data.test.drop("features")]
+    fit, parts, features = trees.with_category_rates(data.fit.drop("features"), parts, categories, data.features)
+    fit, valid, test = (frame.assemble(part, features) for part in (fit, *parts))
     model = trees.fit_classifier(fit, boost)
     rounds = logs.best_iteration(trees.iteration_log(model, valid, "valid")).first()["best_iter"] + 1
     return _finish(
-        "categorical", inputs, Prepared(fit, valid, test, data.features),
+        "categorical", inputs, Prepared(fit, valid, test, features),
         lambda df: trees.with_staged_probability(model, df, rounds, "click_score"),
     )
 

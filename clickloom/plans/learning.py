@@ -22,7 +22,7 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded features of all impressions, written once per session and data folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _frames:
-        _frames[key] = materialize(frame.model_frame(samples.impressions(spark, sf_dir)), "features", ("split",))
+        _frames[key] = materialize(frame.model_frame(samples.impressions(spark, sf_dir), unique_key=True), "features", ("split",))
     return _frames[key]
 
 
@@ -87,11 +87,11 @@ def gbt_iteration_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gbt_categorical")
 def gbt_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The named categories by their out-of-fold click rates, at any number of values, stopped at the best round."""
+    """The named categories and their pairs by click rates of earlier rows, beside their codes, stopped at the best round."""
     df = feature_table(spark, sf_dir)
     features = prep.feature_columns(df)
     fit_rows, valid = split.train_valid_split(frame.train_part(df), 0.5)
-    fit_rows, (valid, test) = trees.categorical_rates(fit_rows, [valid, frame.test_part(df)], list(schema.CATEGORIES))
+    fit_rows, (valid, test), features = trees.with_category_rates(fit_rows, [valid, frame.test_part(df)], schema.CATEGORIES, features)
     fit_rows, valid, test = (frame.assemble(part, features) for part in (fit_rows, valid, test))
     model = trees.fit_classifier(fit_rows.select("ID", "label", "features"), trees.Boost(rounds=10, depth=10))
     best = logs.best_iteration(trees.iteration_log(model, valid, "valid")).first()["best_iter"] + 1

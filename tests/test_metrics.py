@@ -74,6 +74,25 @@ def test_correlations_with_gaps_and_constants(spark):
     assert len(got) == 6
 
 
+def test_many_columns_correlate_in_blocks(spark):
+    """500 columns, blocks that do not divide them, gaps, and the same digits under any partitioning."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 500)).cumsum(1) + 1e6
+    x[rng.random(x.shape) < 0.05] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"f{i}" for i in range(500)])
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"f{i} double" for i in range(500)))
+    got = metrics.correlation_pairs(df.repartition(3), list(pdf.columns)).collect()
+    want = pdf.corr().to_numpy()
+    assert len(got) == 500 * 499 // 2
+    assert max(abs(r["corr"] - want[int(r.feature_a[1:]), int(r.feature_b[1:])]) for r in got) < 1e-9
+    few = list(pdf.columns[:9])
+    small = {tuple(r) for r in metrics.correlation_pairs(df.select(*few).repartition(5), few, 4).collect()}
+    assert {(a, b) for a, b, _ in small} == {(a, b) for i, a in enumerate(few) for b in few[i + 1 :]}
+
+
 def test_correlation_survives_large_offsets(spark):
     df = spark.range(200).select(
         (1e9 + F.col("id") % 7 / 1000).alias("far"), (F.col("id") % 5).alias("near"), F.lit(1e9).alias("flat")

