@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that one step holds as numpy arrays; a longer text is one step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
