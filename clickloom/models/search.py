@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline
@@ -13,8 +14,9 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickloom.models import boosting
 from clickloom.models.frame import cached, click_probability
-from clickloom.models.trees import Boost, iteration_log
+from clickloom.models.trees import Boost
 from clickloom.operators import metrics
 from clickloom.operators.split import add_fold
 from clickloom.session import materialize
@@ -88,14 +90,24 @@ def kfold_auc(train: DataFrame, build: Callable[[], Estimator], folds: int = 5)
         return materialize(metrics.roc_auc(scored, "score", "label", ("fold",)), "folds")
 
 
-def cv_rounds(train: DataFrame, boost: Boost, folds: int = 3) -> DataFrame:
-    """Mean and deviation of the validation AUC after each round, over hash folds."""
-    parts = []
-    with cached(add_fold(train, folds)) as rows:
-        for k in range(folds):
-            model = boost.classifier().fit(rows.where(F.col("fold") != k))
-            parts.append(iteration_log(model, rows.where(F.col("fold") == k), f"fold{k}"))
-        log = materialize(reduce(DataFrame.unionByName, parts), "rounds")
-    return log.groupBy("iter").agg(
-        F.avg("AUC").alias("AUC"), F.stddev_pop("AUC").alias("std"), F.count("*").alias("folds")
-    )
+def cv_rounds(train: DataFrame, settings: boosting.Boosting, folds: int = 3) -> DataFrame:
+    """Mean and deviation of the validation AUC after each round, over hash folds.
+
+    The folds advance together; patience counts the rounds since the best mean, and none is fitted past it.
+    """
+    patience = settings.patience or settings.rounds
+    # The runs log every round and leave stopping to the mean.
+    alone = replace(settings, patience=settings.rounds)
+    rows = materialize(add_fold(train, folds), "folds")
+    held = [rows.where(F.col("fold") == k) for k in range(folds)]
+    runs = [boosting.Session(rows.where(F.col("fold") != k), held[k], alone) for k in range(folds)]
+    done, best = 0, 0
+    while done < settings.rounds and done < best + patience:
+        length = min(settings.chunk, best + patience - done, settings.rounds - done)
+        logs = [dict(r.go_on(length).log) for r in runs]
+        done += length
+        means = [sum(log[i] for log in logs) / folds for i in range(done)]
+        best = means.index(max(means)) + 1
+    table = [(i, log[i]) for log in logs for i in range(done)] if done else []
+    log = train.sparkSession.createDataFrame(table, "iter int, AUC double")
+    return log.groupBy("iter").agg(F.avg("AUC").alias("AUC"), F.stddev_pop("AUC").alias("std"), F.count("*").alias("folds"))

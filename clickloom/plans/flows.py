@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.models import frame, others, search, stacking, trees
-from clickloom.models.online import hashed_slots
-from clickloom.operators import encode, ensemble, ftrl, logs, metrics, naive_bayes, prep, split
+from clickloom.models import boosting, frame, others, random_trees, search, stacking, trees
+from clickloom.models.online import FtrlModel, hashed_slots
+from clickloom.operators import encode, ensemble, factorise, ftrl, logs, metrics, naive_bayes, prep, split
 from clickloom.session import materialize
 from clickloom.sources import readers, schema, writers
 
@@ -34,6 +35,7 @@ class Inputs:
     valid: float = 0.1
     scaled: bool = False
     unique_key: bool = False
+    save: str | None = None
     fill: dict[str, float | str] = field(default_factory=lambda: prep.FILL_NONE)
 
 
@@ -78,6 +80,12 @@ def _submit(scored: DataFrame, score: str, inputs: Inputs, run: str, auc: float
     return writers.write_csv(writers.submission_frame(scored, score), path, mode="overwrite")
 
 
+def _save(model: MLWritable, inputs: Inputs, name: str) -> None:
+    """Write the fitted model below ``inputs.save``, if that is given, in place of an earlier one of the name."""
+    if inputs.save is not None:
+        model.write().overwrite().save(f"{inputs.save}/{name}")
+
+
 def _finish(name: str, inputs: Inputs, data: Prepared, score: Callable[[DataFrame], DataFrame]) -> Run:
     """Measure ``click_score`` on the validation rows, then write it for the test rows."""
     auc = _auc(score(data.valid))
@@ -88,18 +96,20 @@ def boosted(spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.Boos
     """Bagged boosted trees on the count features."""
     data = prepare(spark, inputs)
     model = trees.fit_classifier(data.fit, boost)
+    _save(model, inputs, "boosted")
     return _finish("boosted", inputs, data, lambda df: model.transform(df).withColumn("click_score", frame.click_probability()))
 
 
 def boosted_early_stop(
-    spark: SparkSession, inputs: Inputs, boost: trees.Boost = trees.Boost(), patience: int = 20
+    spark: SparkSession, inputs: Inputs, settings: boosting.Boosting = boosting.Boosting(patience=20)
 ) -> tuple[Run, DataFrame]:
     """Boosted trees stopped on the validation AUC, with all reports and the split counts."""
     data = prepare(spark, inputs)
-    model, rounds, log = trees.fit_with_patience(data.fit, data.valid, boost, patience)
+    model = boosting.fit(data.fit, settings, data.valid)
+    _save(boosting.BoostedStage(model), inputs, "early-stop")
 
     def score(df: DataFrame) -> DataFrame:
-        return trees.with_staged_probability(model, df, rounds, "click_score")
+        return boosting.score(model, df, "click_score")
 
     valid = materialize(score(data.valid).select("label", "click_score"), "valid")
     at_half = metrics.threshold_metrics(valid, "click_score", "label").first()
@@ -108,10 +118,10 @@ def boosted_early_stop(
         "ap": metrics.scalar(metrics.average_precision(valid, "click_score", "label")),
         "precision": at_half["precision"],
         "recall": at_half["recall"],
-        "rounds": rounds,
+        "rounds": model.best_rounds,
     }
     path = _submit(score(data.test), "click_score", inputs, "early-stop", measured["auc"])
-    return Run(path, measured), trees.split_counts(model, spark, data.features)
+    return Run(path, measured), spark.createDataFrame(model.splits(data.features), "feature string, splits long, gain double")
 
 
 def categorical(
@@ -135,6 +145,7 @@ def estimator_run(spark: SparkSession, inputs: Inputs, name: str, build: Callabl
     data = prepare(spark, inputs)
     with frame.cached(data.fit) as rows:
         model = build(len(data.features)).fit(rows)
+    _save(model, inputs, name)
 
     def score(df: DataFrame) -> DataFrame:
         out = model.transform(df)
@@ -177,8 +188,26 @@ def tuned(
     return Run(run.path, {**run.metrics, "cv_auc": best[1], "cv_std": best[2]})
 
 
-def factorisation_machine(spark: SparkSession, inputs: Inputs) -> Run:
-    return estimator_run(spark, inputs, "fm", lambda _: others.factorisation_machine())
+def factorisation_machine(
+    spark: SparkSession, inputs: Inputs, m: factorise.Machine = factorise.Machine(rule="adam", rate=0.05), epochs: int = 5,
+    batches: int = 2, size: int = 1 << 20,
+) -> Run:
+    """A machine on hashed categories and time parts, the epoch with the best validation loss kept."""
+    imps = prep.prepare(readers.read_train_test(spark, inputs.train, inputs.test), inputs.fill)
+    rows = factorise.slots(imps, [*schema.CATEGORIES, "tweekday", "thour"], size)
+    rows = materialize(rows.select("ID", "split", F.col("click").cast("double").alias("y"), "x"), "slots", ("split",))
+    train = rows.where("split = 'train'")
+    if inputs.sample < 1.0:
+        train = split.sample(train, inputs.sample)
+    fit, valid = split.train_valid_split(train, inputs.valid)
+    model = factorise.fit(fit, m, epochs, batches, valid)
+    if inputs.save is not None:
+        writers.write_weights(model.weights.select("idx", "w", "v"), f"{inputs.save}/fm")
+    judged = factorise.score(valid, model.weights, m).join(valid.select("ID", F.col("y").alias("label")), "ID")
+    auc = _auc(judged, "click")
+    test = factorise.score(rows.where("split = 'test'"), model.weights, m)
+    best = model.log[model.best_epoch] if model.log else (0, None, None)
+    return Run(_submit(test, "click", inputs, "fm", auc), {"auc": auc, "loss": best[1], "held_loss": best[2]})
 
 
 def best_candidate(spark: SparkSession, inputs: Inputs) -> Run:
@@ -202,7 +231,7 @@ def bayes(spark: SparkSession, inputs: Inputs) -> Run:
 
 def _stack_levels(forest: int, extra: int) -> tuple[list[Estimator], Estimator]:
     lasso = LinearRegression(elasticNetParam=1.0, regParam=1e-3)
-    return [trees.random_forest(forest), trees.extra_trees(extra)], lasso
+    return [trees.random_forest(forest), random_trees.RandomTrees(random_trees.Random(extra))], lasso
 
 
 def blended(
@@ -267,6 +296,7 @@ def online(
     if holdout_every or holdout_after:
         train = prep.mark_holdout(train, ["datetime", "ID"], holdout_every, holdout_after)
     model = ftrl.fit(train, p, epochs, batches)
+    _save(FtrlModel(model.best_state, columns, p, "ID", interactions), inputs, "ftrl")
     seen = ftrl.score(train.select("ID", "y", "x"), model.best_state, p).withColumn("label", F.col("y"))
     auc = _auc(seen, "p")
     test = ftrl.score(hashed.where("split = 'test'").select("ID", "x"), model.best_state, p)

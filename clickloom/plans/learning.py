@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
@@ -9,12 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
-from clickloom.models import adaboost, frame, others, search, stacking, trees
-from clickloom.operators import counts, ensemble, logs, metrics, prep, sparse, split
+from clickloom.models import adaboost, boosting, frame, others, random_trees, search, stacking, trees
+from clickloom.models.boosting import Boosting
+from clickloom.models.grow import Growth
+from clickloom.operators import counts, ensemble, factorise, logs, metrics, prep, sparse, split
 from clickloom.plans.registry import PREP, query, rounded
 from clickloom.session import materialize, new_path
 from clickloom.sources import readers, samples, schema, writers
 
+# Settings of the runs. The early-stopped run has 100 rounds of depth 6 and patience 20; the leaf-limited one 256
+# leaves, depth 10, 500 rounds of 0.03, patience 40; Huber's has trees of depth 3 with leaves of 18 rows and shares of 0.7 and 0.55.
+EARLY = Boosting(rounds=100, step=0.1, base_score=0.5, patience=20, growth=Growth(depth=6))
+LIGHT = Boosting(
+    rounds=500, step=0.03, patience=40, bins=255,
+    growth=Growth(depth=10, leaves=256, l2=0.0, min_rows=20, min_hessian=1e-3, row_share=0.5, feature_share=0.6),
+)
+HUBER = Boosting(
+    rounds=20, step=0.1, loss="huber", growth=Growth(depth=3, l2=0.0, min_rows=18, min_hessian=0.0, row_share=0.7, feature_share=0.55)
+)
+# Fewer and larger steps than the original's 2,000 rounds of 0.005 at depth 30.
+BAGGED = Boosting(rounds=20, step=0.1, growth=Growth(depth=8, row_share=0.95, feature_share=0.4))
+STACK_FOLDS = 5
+
 _frames: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -46,27 +64,25 @@ def regression_scores(model, test: DataFrame) -> DataFrame:
 
 @query("gbt_score")
 def gbt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees with row and feature bagging."""
+    """Boosted trees from the base rate on, each on its own share of rows and features."""
     train, test, _ = assembled(spark, sf_dir)
-    model = trees.fit_classifier(train, trees.Boost(rounds=10, **trees.BAGGED))
-    return trees.score_classifier(model, test)
+    return boosting.score(boosting.fit(train, BAGGED), test).select("ID", "click")
 
 
 @query("gbt_light_score")
 def gbt_light_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees with the stronger bagging and a small step."""
+    """Trees grown best first to a number of leaves, with the stronger bagging, stopped on the validation half."""
     train, test, _ = assembled(spark, sf_dir)
-    model = trees.fit_classifier(train, trees.Boost(rounds=10, step=0.03, depth=6, **trees.LIGHT_BAGGED))
-    return trees.score_classifier(model, test)
+    fit_rows, valid = split.train_valid_split(train, 0.5)
+    return boosting.score(boosting.fit(fit_rows, LIGHT, valid), test).select("ID", "click")
 
 
 @query("gbt_early_stop")
 def gbt_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test scores at the round where the validation AUC was best when patience ran out."""
+    """Test scores at the round where the validation AUC was best when patience ran out; no round is fitted after that."""
     train, test, _ = assembled(spark, sf_dir)
     fit_rows, valid = split.train_valid_split(train, 0.1)
-    model, rounds, _ = trees.fit_with_patience(fit_rows, valid, trees.Boost(rounds=100), patience=20)
-    return trees.score_rounds(model, test, rounds)
+    return boosting.score(boosting.fit(fit_rows, EARLY, valid), test).select("ID", "click")
 
 
 @query("gbt_builtin_stop")
@@ -101,16 +117,16 @@ def gbt_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gbt_regress")
 def gbt_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test, _ = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = trees.Boost(rounds=10, **trees.BAGGED).regressor().fit(rows)
-    return regression_scores(model, test)
+    return boosting.score(boosting.fit(train, replace(BAGGED, loss="squared")), test).select("ID", "click")
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and gain share of each feature in the trees of an early-stopped run."""
     train, _, features = assembled(spark, sf_dir)
-    model = trees.fit_classifier(train, trees.Boost(rounds=10))
-    return trees.split_counts(model, spark, features)
+    fit_rows, valid = split.train_valid_split(train, 0.1)
+    used = boosting.fit(fit_rows, EARLY, valid).splits(features)
+    return spark.createDataFrame(used, "feature string, splits long, gain double")
 
 
 @query("select_by_importance")
@@ -123,8 +139,9 @@ def select_by_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cv_rounds")
 def cv_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean AUC of each round over the folds, as far as patience lets them run."""
     train, _, _ = assembled(spark, sf_dir)
-    return search.cv_rounds(train, trees.Boost(rounds=8), folds=3)
+    return search.cv_rounds(train, replace(BAGGED, rounds=700, patience=10), folds=3)
 
 
 @query("rf_score")
@@ -137,10 +154,9 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extra_trees_approx")
 def extra_trees_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred trees with random thresholds."""
     train, test, _ = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = trees.extra_trees().fit(rows)
-    return regression_scores(model, test)
+    return regression_scores(random_trees.RandomTrees().fit(train), test)
 
 
 @query("tree_score")
@@ -168,13 +184,12 @@ def lasso_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("huber_regress")
 def huber_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Huber's loss on a linear model, and absolute loss on boosted trees."""
+    """Huber's loss on a linear model and on boosted trees."""
     train, test, _ = assembled(spark, sf_dir)
     with frame.cached(train) as rows:
         linear = others.huber_regression().fit(rows)
-        boosted = trees.absolute_boost(rounds=5).fit(rows)
     one = linear.setPredictionCol("huber").transform(test)
-    return boosted.setPredictionCol("absolute").transform(one).select("ID", "huber", "absolute")
+    return boosting.score(boosting.fit(train, HUBER), one, "boosted").select("ID", "huber", "boosted")
 
 
 @query("mlp_score")
@@ -193,12 +208,23 @@ def mlp_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.fold_summary(aucs, "auc")
 
 
+SLOTS = 1 << 20
+MACHINE_EPOCHS, MACHINE_BATCHES = 5, 2
+
+
+def _machine_scores(spark: SparkSession, sf_dir: str, m: factorise.Machine) -> DataFrame:
+    columns = [*schema.CATEGORIES, "tweekday", "thour"]
+    table = factorise.slots(prep.prepare(samples.impressions(spark, sf_dir)), columns, SLOTS)
+    table = materialize(table.select("ID", "split", F.col("click").cast("double").alias("y"), "x"), "slots", ("split",))
+    fit_rows, valid = split.train_valid_split(table.where("split = 'train'"), 0.1)
+    model = factorise.fit(fit_rows, m, MACHINE_EPOCHS, MACHINE_BATCHES, valid)
+    return factorise.score(table.where("split = 'test'"), model.weights, m)
+
+
 @query("fm_fit")
 def fm_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, _ = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = others.factorisation_machine(rounds=30).fit(rows)
-    return trees.score_classifier(model, test)
+    """A machine on a million hashed slots, the epoch with the best validation loss kept."""
+    return _machine_scores(spark, sf_dir, factorise.Machine(rule="adam", rate=0.05, l2_factors=1e-4))
 
 
 @query("fm_sparse")
@@ -221,10 +247,8 @@ def fm_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fm_regress")
 def fm_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test, _ = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = others.factorisation_regression(rounds=30).fit(rows)
-    return regression_scores(model, test)
+    """The same fitted to the label as a number, by squared error and Nesterov's momentum."""
+    return _machine_scores(spark, sf_dir, factorise.Machine(loss="squared", rate=0.05, l2_factors=1e-4))
 
 
 def _nb_sql(columns: str) -> str:
@@ -307,20 +331,20 @@ def stacking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stack_fit")
 def stack_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forest, coarse-split trees, LASSO and robust boosting, each out of fold."""
+    """Forest, trees with random thresholds, LASSO and Huber's boosting, each out of fold."""
     train, test, _ = assembled(spark, sf_dir)
-    levels = [trees.random_forest(10), trees.extra_trees(5), others.LinearRegression(elasticNetParam=1.0, regParam=1e-3)]
-    _, (scored,) = stacking.fit_stack(train, [test], levels, trees.absolute_boost(5), folds=2)
+    levels = [trees.random_forest(), random_trees.RandomTrees(), others.LinearRegression(elasticNetParam=1.0, regParam=1e-3)]
+    _, (scored,) = stacking.fit_stack(train, [test], levels, boosting.BoostingStage(HUBER), folds=STACK_FOLDS)
     return scored.select("ID", F.col("prediction").alias("click"))
 
 
 @query("stack_in_sample")
 def stack_in_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forest then LASSO, the second fitted on in-sample predictions of the first."""
+    """Forest, random trees, then LASSO, each fitted on in-sample predictions of those before."""
     train, test, _ = assembled(spark, sf_dir)
     last = others.LinearRegression(elasticNetParam=1.0, regParam=1e-3)
     with frame.cached(train) as rows:
-        model = stacking.in_sample_pipeline([trees.random_forest(10)], last).fit(rows)
+        model = stacking.in_sample_pipeline([trees.random_forest(), random_trees.RandomTrees()], last).fit(rows)
     return regression_scores(model, test)
 
 
@@ -328,8 +352,8 @@ def stack_in_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stack_and_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked and boosted scores of the test rows, blended by ID."""
     train, test, _ = assembled(spark, sf_dir)
-    _, (stacked,) = stacking.fit_stack(train, [test], [trees.random_forest(10)], trees.extra_trees(5), folds=2)
-    boosted = trees.score_classifier(trees.fit_classifier(train, trees.Boost(rounds=10, **trees.BAGGED)), test)
+    _, (stacked,) = stacking.fit_stack(train, [test], [trees.random_forest()], random_trees.RandomTrees(), folds=STACK_FOLDS)
+    boosted = boosting.score(boosting.fit(train, BAGGED), test).select("ID", "click")
     parts = [
         (stacked.select("ID", F.col("prediction").alias("click")), ensemble.STACK_WEIGHT),
         (boosted, ensemble.BOOST_WEIGHT),

@@ -7,6 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from clickloom.models import trees
+from clickloom.models.boosting import Boosting
+from clickloom.models.grow import Growth
 from clickloom.operators import ftrl, prep
 from clickloom.plans import flows
 from clickloom.session import remove_work
@@ -20,6 +22,11 @@ def boost(a: argparse.Namespace) -> trees.Boost:
     return trees.Boost(a.rounds, a.depth, a.step, a.row_share, a.feature_share)
 
 
+def boosting_settings(a: argparse.Namespace) -> Boosting:
+    share = 1.0 if a.feature_share == "all" else float(a.feature_share)
+    return Boosting(a.rounds, a.step, growth=Growth(a.depth, a.leaves, row_share=a.row_share, feature_share=share), patience=a.patience)
+
+
 def online(spark: SparkSession, inputs: flows.Inputs, a: argparse.Namespace) -> flows.Run:
     p = ftrl.Ftrl(a.alpha, a.beta, a.l1, a.l2, a.size)
     return flows.online(
@@ -29,7 +36,7 @@ def online(spark: SparkSession, inputs: flows.Inputs, a: argparse.Namespace) ->
 
 RUNS = {
     "boosted": lambda s, i, a: flows.boosted(s, i, boost(a)),
-    "early_stop": lambda s, i, a: flows.boosted_early_stop(s, i, boost(a), a.patience)[0],
+    "early_stop": lambda s, i, a: flows.boosted_early_stop(s, i, boosting_settings(a))[0],
     "categorical": lambda s, i, a: flows.categorical(s, i, boost(a)),
     "tuned": lambda s, i, a: flows.tuned(s, i, boost(a), a.depths, a.steps, a.folds),
     "perceptron": lambda s, i, a: flows.perceptron(s, i),
@@ -53,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--sample", type=float, default=1.0)
     args.add_argument("--valid", type=float, default=0.1)
     args.add_argument("--scaled", action="store_true")
+    args.add_argument("--unique-ids", action="store_true", help="no ID is repeated, so counts by ID need no shuffle")
+    args.add_argument("--save", help="folder for the fitted model")
     args.add_argument("--fill", choices=sorted(FILLS), default="none")
     trees_ = args.add_argument_group("boosted trees")
     trees_.add_argument("--rounds", type=int, default=20)
@@ -61,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     trees_.add_argument("--row-share", type=float, default=1.0)
     trees_.add_argument("--feature-share", default="all")
     trees_.add_argument("--patience", type=int, default=20)
+    trees_.add_argument("--leaves", type=int, help="grow trees of early_stop best first to so many leaves")
     trees_.add_argument("--depths", type=int, nargs="+", default=[4, 6])
     trees_.add_argument("--steps", type=float, nargs="+", default=[0.05, 0.1])
     trees_.add_argument("--folds", type=int, default=5)
@@ -85,7 +95,7 @@ def parser() -> argparse.ArgumentParser:
 def main() -> None:
     a = parser().parse_args()
     spark = SparkSession.builder.appName(f"clickloom {a.run}").getOrCreate()
-    inputs = flows.Inputs(a.train, a.test, a.out, a.counts, a.sample, a.valid, a.scaled, FILLS[a.fill])
+    inputs = flows.Inputs(a.train, a.test, a.out, a.counts, a.sample, a.valid, a.scaled, a.unique_ids, a.save, FILLS[a.fill])
     print(RUNS[a.run](spark, inputs, a))
     remove_work(spark)
 

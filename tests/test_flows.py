@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from clickloom.models import trees
+from clickloom.models import boosting, trees
+from clickloom.models.grow import Growth
+from clickloom.models.online import FtrlModel
+from clickloom.operators import prep
 from clickloom.plans import flows
 from clickloom.session import new_path
 from clickloom.sources import readers, writers
@@ -46,12 +51,28 @@ def test_run(spark, inputs, learnable, run, floor):
 
 
 def test_early_stop_run(spark, inputs, learnable):
-    run, used = flows.boosted_early_stop(spark, inputs, BOOST, patience=2)
+    settings = boosting.Boosting(rounds=6, patience=2, growth=Growth(depth=5))
+    run, used = flows.boosted_early_stop(spark, replace(inputs, save=new_path(spark, "models")), settings)
     check(spark, run, learnable, 0.7)
     assert set(run.metrics) == {"auc", "ap", "precision", "recall", "rounds"}
     assert used.first().splits > 0
 
 
+def test_runs_save_their_models(spark, inputs, learnable):
+    """A saved model, read again, gives the scores that the run wrote."""
+    kept = replace(inputs, save=new_path(spark, "models"))
+    run = flows.online(spark, kept, ["category", "devid"], epochs=1, batches=2, interactions=True)
+    model = FtrlModel.load(f"{kept.save}/ftrl")
+    test = prep.prepare(learnable.where("split = 'test'"))
+    both = readers.read_predictions(spark, run.path).join(model.transform(test).select("ID", "p"), "ID")
+    gap = both.agg(F.max(F.abs(F.col("click") - F.col("p"))), F.count("*")).first()
+    assert gap[0] < 1e-9 and gap[1] == test.count()
+    again = flows.online(spark, kept, ["category", "devid"], epochs=1, batches=2, interactions=True)
+    assert again.path == run.path
+    flows.boosted_early_stop(spark, kept, boosting.Boosting(rounds=2, patience=2, growth=Growth(depth=2)))
+    assert len(boosting.BoostedStage.load(f"{kept.save}/early-stop").model.trees) == 2
+
+
 def test_blended_run(spark, inputs, learnable):
     runs = flows.blended(spark, inputs, BOOST, forest=4, extra=2, folds=2)
     for run in runs.values():

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from clickloom.models import adaboost, frame, others, search, stacking, trees
+from clickloom.models import adaboost, boosting, frame, grow, others, random_trees, search, stacking, trees
 from clickloom.operators import logs, metrics, prep, split
 from clickloom.session import materialize
 
@@ -100,9 +100,14 @@ def test_importance_sweep(data):
 
 def test_rounds_by_cross_validation(data):
     fit, _, _ = data
-    log = search.cv_rounds(fit, trees.Boost(rounds=3), folds=2).orderBy("iter").collect()
+    log = search.cv_rounds(fit, boosting.Boosting(rounds=3, growth=grow.Growth(depth=5)), folds=2).orderBy("iter").collect()
     assert [(r["iter"], r.folds) for r in log] == [(0, 2), (1, 2), (2, 2)]
     assert log[-1].AUC > 0.7
+    # With patience the rounds end where the mean has not risen for so long.
+    noise = fit.withColumn("label", F.pmod(F.xxhash64("ID"), F.lit(2)).cast("double"))
+    log = search.cv_rounds(noise, boosting.Boosting(rounds=50, patience=2, growth=grow.Growth(depth=2)), folds=2).orderBy("iter").collect()
+    means = [r.AUC for r in log]
+    assert len(means) == means.index(max(means)) + 1 + 2 < 50
 
 
 def test_stacking_widens_features(data):
@@ -130,7 +135,7 @@ def test_out_of_fold_rows_never_see_their_own_model(data):
 def test_stack_learns(data):
     fit, valid, _ = data
     last = others.LinearRegression(elasticNetParam=1.0, regParam=1e-3)
-    _, (scored,) = stacking.fit_stack(fit, [valid], [trees.random_forest(5), trees.extra_trees(5)], last, folds=2)
+    _, (scored,) = stacking.fit_stack(fit, [valid], [trees.random_forest(5), random_trees.RandomTrees(random_trees.Random(5))], last, folds=2)
     assert auc(scored, F.col("prediction")) > 0.75
     assert scored.count() == valid.count()
 
