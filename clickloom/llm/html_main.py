@@ -37,7 +37,7 @@ ENDS = {
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 # Page furniture by element, role and by the words of class and id.
 FURNITURE = set(
-    "script style noscript template head title nav footer aside form button select textarea input iframe svg canvas object menu dialog "
+    "script style noscript template head title nav footer aside button select textarea input iframe svg canvas object menu dialog "
     "audio video datalist annotation".split()
 )
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -47,12 +47,20 @@ NAMES = set(
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share sharing "
     "social related recommended recommendations pagination pager widget widgets toolbar skip disclaimer".split()
 )
+# Names that also occur in ordinary paragraphs of an article, and those of reader comments that also name a part of a paper.
+WEAK = set("notice notices alert share sharing related recommended promo promotion disclaimer foot rail skip widget banner social overlay".split())
+TALK = set("discussion discussions reactions responses".split())
 HEADER_NAMES = {"header", "head"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE = {"p", "blockquote", "pre"}
 GOOD = set("article content main body entry post story text page wrapper container layout".split())
 PARAGRAPHS = set("p pre blockquote td li dd h2 h3 figcaption".split())
 WHOLE = {"article", "main"}
 # A container with this share of link text is a menu; a sibling with this share of the best score is kept.
 LINKED = 0.75
+# A form that has this share of the page's prose is a container; a named paragraph of so many characters belongs to its article.
+ENCLOSING = 0.5
+SENTENCE = 50
 SIBLING = 0.2
 
 
@@ -61,6 +69,7 @@ class Node:
     tag: str
     parent: Node | None
     words: list[str] = field(default_factory=list)
+    names: list[list[str]] = field(default_factory=list)  # words of each class and of the id
     inside: list[Node | str] = field(default_factory=list)
     role: str = ""
     chars: int = 0
@@ -69,6 +78,8 @@ class Node:
     score: float = 0.0
     scored: bool = False
     holds: bool = False  # an article, main or first heading is inside
+    prose: int = 0  # characters of paragraphs inside
+    replies: bool = False  # a control to answer with is inside
 
 
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -117,7 +128,8 @@ class Tree(HTMLParser):
         node = Node(tag, self.at)
         for key, value in attrs:
             if key in ("class", "id") and value:
-                node.words += _SPLIT.split(_CAMEL.sub(" ", value).lower())
+                node.names += [_SPLIT.split(_CAMEL.sub(" ", name).lower()) for name in value.split()]
+                node.words += [w for name in node.names for w in name]
             elif key == "role" and value:
                 node.role = value.strip().lower()
             elif key in ("hidden",) or key == "aria-hidden" and value == "true":
@@ -146,23 +158,30 @@ class Tree(HTMLParser):
         self.at.inside.append(data)
 
 
-def _is_furniture(n: Node) -> bool:
+def _within_article(n: Node) -> bool:
+    up = n.parent
+    while up is not None and up.tag not in WHOLE:
+        up = up.parent
+    return up is not None
+
+
+def _is_furniture(n: Node, prose: int) -> bool:
     # A form around the page's main part is a container; its controls are furniture themselves.
-    if n.tag == "form" and n.holds:
-        return False
+    if n.tag == "form" and not n.holds and (not n.prose or n.prose < ENCLOSING * prose):
+        return True
     if n.tag in FURNITURE or n.role in ROLES:
         return True
     if n.tag in WHOLE or n.tag in ("body", "html") or n.holds:
         return False
     if n.tag == "header" or HEADER_NAMES & {*n.words}:
-        up = n.parent
-        while up is not None:
-            if up.tag in WHOLE:
-                return False
-            up = up.parent
-        return True
-    names = {*n.words}
-    return bool(names & NAMES) and not (names & GOOD and not names & {"comment", "comments", "ad", "ads", "sidebar", "cookie"})
+        return not _within_article(n)
+    if TALK & {*n.words}:
+        return n.replies or not _within_article(n)
+    # A name counts where it makes up half of a class, as in page-sidebar, and not in share-of-market.
+    names = {w for name in n.names if 2 * sum(w in NAMES for w in name) >= len(name) for w in name}
+    if not names & NAMES or (names & GOOD and not names & {"comment", "comments", "ad", "ads", "sidebar", "cookie"}):
+        return False
+    return not (names & NAMES <= WEAK and n.tag in PROSE and n.prose >= SENTENCE and _within_article(n))
 
 
 def main_text(html: str) -> str:
@@ -177,9 +196,16 @@ def main_text(html: str) -> str:
             while up is not None and not up.holds:
                 up.holds = True
                 up = up.parent
+    for n in reversed(nodes):
+        if n.tag in PROSE:
+            n.prose += len(_flat(n).strip())
+        n.replies |= n.tag in ("form", "textarea")
+        if n.parent is not None and n.tag not in FURNITURE:
+            n.parent.prose += n.prose
+            n.parent.replies |= n.replies
     out: set[Node] = set()
     for n in nodes[1:]:
-        if n.parent in out or _is_furniture(n):
+        if n.parent in out or _is_furniture(n, tree.root.prose):
             out.add(n)
     # Children come after their parents, so sums run backwards.
     for n in reversed(nodes):
@@ -257,6 +283,28 @@ def _flat(n: Node) -> str:
     return "".join(parts)
 
 
+def _headed(n: Node, out: set[Node]) -> bool:
+    """Whether a heading comes right before the node, or is in it."""
+    if n.parent is not None:
+        before = None
+        for x in n.parent.inside:
+            if x is n:
+                break
+            if isinstance(x, Node) and x not in out:
+                before = x
+        if before is not None and before.tag in HEADINGS - {"h1"}:
+            return True
+        if n.parent.tag in ("li", "dd", "ul", "ol", "dl", "td", "tr", "tbody", "table") and n.parent.parent is not None:
+            return _headed(n.parent, out)
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        if x.tag in HEADINGS:
+            return True
+        todo += [c for c in x.inside if isinstance(c, Node) and c not in out]
+    return False
+
+
 def _render(top: list[Node], out: set[Node], whole: bool = False) -> str:
     parts: list[str] = []
     todo: list[Node | str] = list(reversed(top))
@@ -267,9 +315,10 @@ def _render(top: list[Node], out: set[Node], whole: bool = False) -> str:
             continue
         if x in out:
             continue
-        # Lists of links are menus, but not those of an article.
-        if not whole and x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and x.chars and x.linked / x.chars >= LINKED and x not in top:
-            continue
+        # Lists of links are menus, but not those that have a heading in an article.
+        if x.tag in ("ul", "ol", "div", "section", "table", "dl") and x.links > 1 and x.chars and x.linked / x.chars >= LINKED and x not in top:
+            if not (whole and _headed(x, out)):
+                continue
         if x.tag in INLINE:
             todo.extend(reversed(x.inside))
         else:

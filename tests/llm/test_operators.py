@@ -269,6 +269,34 @@ def test_main_text_of_forms_math_and_sources():
     assert html_main.main_text(f"<body><form><div>{body}</div><textarea>old</textarea></form></body>") == "T Body, with x=2 inside."
 
 
+LONG = "A long paragraph, with commas, of the page, that says something about the world, and goes on for a while."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        # A form around a page without article, main or first heading; a small form is none.
+        (f"<form action=x><input name=q><div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p></div><button>Go</button></form>", f"Head {LONG} {LONG}"),
+        (f"<div><h2>Head</h2><p>{LONG}</p><p>{LONG}</p><form><p>Your name, please</p><input></form></div>", f"Head {LONG} {LONG}"),
+        (f"<article><p>{LONG}</p><form class=x><p>Subscribe, now</p></form></article>", LONG),
+        # A class that only has a name among its words, and a paragraph of an article with an ambiguous name.
+        (f"<div class=post><p>{LONG}</p><div class='share-of-market'><p>{LONG}</p></div></div>", f"{LONG} {LONG}"),
+        (f"<article><p>Intro, here.</p><p class='notice'>{LONG}</p><div class=share><p>Share it, now</p></div></article>", f"Intro, here. {LONG}"),
+        (f"<div class=post><p>{LONG}</p><p>{LONG}</p></div><div class='site-notice'><p>{LONG}</p></div>", f"{LONG} {LONG}"),
+        # Lists of links in an article: tags go, those under a heading stay.
+        (f"<article><h1>T</h1><p>{LONG}</p><ul class=tags><li><a>t1</a><li><a>t2</a></ul></article>", f"T {LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><div><a>t1</a> <a>t2</a></div></article>", f"T {LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><h2>Links</h2><ul><li><a>t1</a><li><a>t2</a></ul></article>", f"T {LONG} Links t1 t2"),
+        # Reader comments, and a part of a paper with the same name.
+        (f"<article><h1>T</h1><p>{LONG}</p></article><section class=discussion><p>Nice, very nice.</p></section>", f"T {LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section class=discussion><p>Nice, I say.</p><form><textarea></textarea></form></section></article>", f"T {LONG}"),
+        (f"<article><h1>T</h1><p>{LONG}</p><section class=discussion><h2>Discussion</h2><p>{LONG}</p></section></article>", f"T {LONG} Discussion {LONG}"),
+    ],
+)
+def test_main_text_of_ambiguous_pages(page, want):
+    assert html_main.main_text(f"<html><body><nav><a href=/>Home</a></nav>{page}<footer>f</footer></body></html>") == want
+
+
 @pytest.mark.parametrize("html", ["", "plain", "<", "<p", "<!--", "</p></p>", "<p><p><p>", "<div>" * 5000 + "x" + "</p>" * 5000, "<![if x]>a<![endif]>", "<script>never closed", "<p>a&#0;&#x110000;&bogus;"])
 def test_broken_pages(html):
     assert isinstance(html_main.main_text(html), str)
