@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
+from hashlib import blake2b
+from itertools import product
 
-from pyspark.ml import Estimator, Pipeline
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import Binarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -18,7 +20,7 @@ from clickloom.models import boosting
 from clickloom.models.frame import cached, click_probability
 from clickloom.models.trees import Boost
 from clickloom.operators import metrics
-from clickloom.operators.split import add_fold
+from clickloom.operators.split import add_fold, sample
 from clickloom.session import materialize
 
 
@@ -78,6 +80,62 @@ def rank_candidates(train: DataFrame, valid: DataFrame, models: dict[str, Estima
     return sorted(scores, key=lambda s: -s[1])
 
 
+def space(seed: int | str = 2017, n: int = 12) -> dict[str, Estimator]:
+    """``n`` candidates out of the whole grid of pipelines, chosen by a hash of their settings."""
+    every: dict[str, Estimator] = {"bernoulli": bernoulli_pipeline()}
+    for reg, elastic in product([0.0, 1e-3, 1e-2, 1e-1], [0.0, 0.5, 1.0]):
+        every[f"logistic reg={reg} l1={elastic}"] = LogisticRegression(maxIter=20, regParam=reg, elasticNetParam=elastic)
+    for depth, rounds, step in product([2, 4, 6], [5, 10, 20], [0.1, 0.3]):
+        every[f"boosted depth={depth} rounds={rounds} step={step}"] = Boost(rounds, depth, step).classifier()
+    for trees, depth in product([10, 30, 100], [3, 6]):
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=1)
+        every[f"forest trees={trees} depth={depth}"] = forest
+    order = sorted(every, key=lambda name: blake2b(f"{seed}:{name}".encode()).digest())
+    return {name: every[name] for name in order[:n]}
+
+
+@dataclass(frozen=True)
+class Halving:
+    """``log``: (rung, model, rows, auc) of every fit; the winner is fitted on all rows."""
+
+    winner: str
+    model: Model
+    log: list[tuple[int, str, int, float]]
+
+    @property
+    def rows_fitted(self) -> int:
+        return sum(rows for _, _, rows, _ in self.log)
+
+
+def halving(
+    train: DataFrame, valid: DataFrame, models: dict[str, Estimator], keep: int = 3, seed: int | str = "rung"
+) -> Halving:
+    """All candidates on a small sample, the best ``1 / keep`` of them on ``keep`` times as many rows, and so on to all rows.
+
+    Samples are nested and depend on row keys alone, so the winner does too. Ties go to the first name.
+    """
+    evaluator, log, left, model = ExactAuc(), [], sorted(models), None
+    rungs = 1
+    while keep**rungs < len(left):
+        rungs += 1
+    with cached(train) as rows:
+        for rung in range(rungs + 1):
+            share = float(keep) ** (rung - rungs)
+            part = rows if rung == rungs else sample(rows, share, seed=seed)
+            scored = []
+            with cached(part) as held:
+                n = held.count()
+                for name in left:
+                    model = models[name].fit(held)
+                    auc = evaluator.evaluate(model.transform(valid))
+                    log.append((rung, name, n, auc))
+                    scored.append((-auc, name, model))
+            scored.sort(key=lambda s: s[:2])
+            left = [name for _, name, _ in scored[: max(1, len(scored) // keep)]]
+            model = scored[0][2]
+    return Halving(left[0], model, log)
+
+
 def kfold_auc(train: DataFrame, build: Callable[[], Estimator], folds: int = 5) -> DataFrame:
     """AUC on each hash fold of a model fitted on the others, ``(fold, auc)``."""
     parts = []

@@ -210,14 +210,15 @@ def factorisation_machine(
     return Run(_submit(test, "click", inputs, "fm", auc), {"auc": auc, "loss": best[1], "held_loss": best[2]})
 
 
-def best_candidate(spark: SparkSession, inputs: Inputs) -> Run:
-    """The best of the fixed candidates by validation AUC."""
+def best_candidate(spark: SparkSession, inputs: Inputs, candidates: int = 12) -> Run:
+    """The best of a generated space of pipelines, found by halving on growing samples."""
     data = prepare(spark, inputs)
-    models = search.candidates()
-    name = search.rank_candidates(data.fit, data.valid, models)[0][0]
-    with frame.cached(data.fit) as rows:
-        model = models[name].fit(rows)
-    return _finish(name, inputs, data, lambda df: model.transform(df).withColumn("click_score", frame.click_probability()))
+    found = search.halving(data.fit, data.valid, search.space(n=candidates))
+    _save(found.model, inputs, "best")
+    name = found.winner.replace(" ", "-").replace("=", "")
+    return _finish(
+        name, inputs, data, lambda df: found.model.transform(df).withColumn("click_score", frame.click_probability())
+    )
 
 
 def bayes(spark: SparkSession, inputs: Inputs) -> Run:

@@ -374,5 +374,5 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, _ = assembled(spark, sf_dir)
     fit_rows, valid = split.train_valid_split(train, 0.25, seed=42)
-    ranked = search.rank_candidates(fit_rows, valid, search.candidates())
-    return spark.createDataFrame([(i + 1, n, s) for i, (n, s) in enumerate(ranked)], "rank int, model string, auc double")
+    found = search.halving(fit_rows, valid, search.space(seed=42))
+    return spark.createDataFrame(found.log, "rung int, model string, rows long, auc double")

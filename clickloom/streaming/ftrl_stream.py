@@ -1,7 +1,8 @@
 """FTRL over a file stream: each micro-batch is one learning round.
 
 The state after batch k is the table ``state/k``, made from ``state/k-1`` alone, so a
-batch that is run again after a failure writes the same state.
+batch that is run again after a failure writes the same state. Once batch k is written, only
+it and the state it was made from are kept; the losses go to a log of their own, ``log/batch=k``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clickloom.operators import ftrl
+from clickloom.session import delete, folders
 
 
 def _state_path(folder: str, version: int) -> str:
@@ -19,18 +21,25 @@ def _state_path(folder: str, version: int) -> str:
 
 
 def read_state(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    """State after batch ``version``; empty before the first."""
+    """State after batch ``version``, one of the last two; empty before the first."""
     if version < 0:
         return ftrl.empty_state(spark)
     return spark.read.parquet(_state_path(folder, version)).select("idx", "z", "n")
 
 
 def train_batch(batch: DataFrame, version: int, folder: str, p: ftrl.Ftrl) -> None:
-    """Score, learn and write the next state of one micro-batch."""
+    """Score, learn, write the next state and the losses of one micro-batch, and drop states no later run can need."""
     spark = batch.sparkSession
     state = read_state(spark, folder, version - 1)
     done = ftrl.update(state, ftrl.score(batch, state, p), p)
     done.write.mode("overwrite").parquet(_state_path(folder, version))
+    written = spark.read.parquet(_state_path(folder, version))
+    losses = written.agg(F.sum("rows").alias("rows"), F.sum("loss").alias("loss"))
+    losses.write.mode("overwrite").parquet(f"{folder}/log/batch={version}")
+    # The batch before is committed, or this one would not run; a run after a failure starts from its state.
+    for name in folders(spark, f"{folder}/state"):
+        if name.isdigit() and int(name) < version - 1:
+            delete(spark, _state_path(folder, int(name)))
 
 
 def start(rows: DataFrame, folder: str, p: ftrl.Ftrl = ftrl.Ftrl()) -> StreamingQuery:
@@ -57,8 +66,6 @@ def stream_rows(
 
 
 def progress(spark: SparkSession, folder: str, versions: int) -> DataFrame:
-    """Mean loss of each micro-batch before it was learnt."""
-    states = spark.read.parquet(*[_state_path(folder, v) for v in range(versions)])
-    batch = F.regexp_extract(F.input_file_name(), "/state/([0-9]+)/", 1).cast("int")
-    sums = states.withColumn("batch", batch).groupBy("batch").agg(F.sum("rows").alias("rows"), F.sum("loss").alias("loss"))
+    """Mean loss of each of the first micro-batches before it was learnt."""
+    sums = spark.read.parquet(f"{folder}/log").where(F.col("batch") < versions)
     return sums.select("batch", "rows", (F.col("loss") / F.nullif(F.col("rows"), F.lit(0))).alias("loss"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clickloom.operators import encode, ftrl, naive_bayes, prep, sparse
 from clickloom.operators.lookup import JoinLimits
 from clickloom.plans.linear import FACTORS, field_tables
-from clickloom.session import new_path
+from clickloom.session import folders, new_path
 from clickloom.sources import readers, samples, writers
 from clickloom.streaming import ftrl_stream
 
@@ -182,6 +182,37 @@ def test_stream_equals_batches(spark, learnable):
     assert [r.batch for r in ftrl_stream.progress(spark, folder, 2).orderBy("batch").collect()] == [0, 1]
 
 
+def test_stream_keeps_two_states_and_survives_a_failed_batch(spark, learnable, monkeypatch):
+    """Ten batches, of which one fails after its state is written: the same states as without, and a whole log."""
+    rows = learnable_rows(learnable).drop("datetime")
+    source, folder = new_path(spark, "source"), new_path(spark, "stream")
+    state, learn = ftrl.empty_state(spark), ftrl_stream.train_batch
+    failed = []
+
+    def train(batch, version, where, p):
+        learn(batch, version, where, p)
+        if version == 4 and not failed:
+            failed.append(version)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(ftrl_stream, "train_batch", train)
+    for k in range(10):
+        part = rows.where(F.pmod(F.xxhash64("ID"), F.lit(10)) == k)
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = ftrl_stream.stream_rows(spark, source, rows.schema)
+        try:
+            ftrl_stream.start(stream, folder).awaitTermination()
+        except Exception:
+            ftrl_stream.start(stream, folder).awaitTermination()
+        state, _ = ftrl.advance(state, part, ftrl.Ftrl())
+    assert failed and folders(spark, f"{folder}/state") == ["8", "9"]
+    log = ftrl_stream.progress(spark, folder, 10).orderBy("batch").collect()
+    assert [r.batch for r in log] == list(range(10)) and sum(r.rows for r in log) == rows.count()
+    streamed = ftrl_stream.read_state(spark, folder, 9).withColumnRenamed("z", "zs")
+    gap = state.join(streamed, "idx", "full").agg(F.max(F.abs(F.col("z") - F.col("zs"))), F.count("*")).first()
+    assert gap[0] < 1e-9 and gap[1] == state.count()
+
+
 def test_estimator_is_the_fit(learnable):
     from clickloom.models.online import FtrlEstimator
 

@@ -163,6 +163,20 @@ def test_candidates_are_ranked(data):
     assert len(ranked) == 3
 
 
+def test_halving_fits_fewer_rows_and_picks_alike(data):
+    fit, valid, _ = data
+    models = {k: v for k, v in search.space(n=99).items() if k.startswith(("bernoulli", "logistic reg=0.0 ", "boosted depth=4 rounds=5", "boosted depth=2 rounds=5"))}
+    assert len(models) == 8 and list(search.space(n=5)) == list(search.space(n=99))[:5]
+    found = search.halving(fit, valid, models)
+    assert found.winner.startswith("boosted")
+    rungs = [[name for r, name, _, _ in found.log if r == k] for k in range(3)]
+    assert [len(r) for r in rungs] == [8, 2, 1] and set(rungs[2]) <= set(rungs[1])
+    # Less than all candidates on all rows, and the last fit has all rows.
+    assert found.rows_fitted < 0.4 * len(models) * fit.count() and found.log[-1][2] == fit.count()
+    again = search.halving(fit.repartition(3), valid.repartition(5), models)
+    assert again.winner == found.winner and [r[:3] for r in again.log] == [r[:3] for r in found.log]
+
+
 def test_factorisation_machine_survives_saving(spark, data):
     from pyspark.ml import PipelineModel
 
