@@ -3,14 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 # Bytes of text that one step holds as numpy arrays; a longer text is one step of its own.
 STEP_BYTES = 1 << 20
 
 
+# Rows that Spark hands to Python at once inside ``small_batches``.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Jobs that run inside send texts to Python in small batches, each of which a task holds twice outside its heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the n + 1 offsets between them; null has no bytes."""
     column = column.cast(pa.large_string())

@@ -42,8 +42,8 @@ OFTEN = 3
 STRETCH = 4_000_000
 # Frequent tokens that order the matrix, at most; a bound of the broadcast, not of the result.
 MOST_FREQUENT = 1_000_000
-# Bits of the broadcast filter that saves shuffling texts no pair needs (2^27 bits are 16 MB).
-FILTER_BITS = 27
+# Bits of the broadcast filter that saves shuffling texts no pair needs (2^26 bits are 8 MB).
+FILTER_BITS = 26
 MINUS = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,23 +250,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     ignored; an empty table gives an empty one.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    summaries = materialize(_summaries(docs, n), "summaries")
-    rows = summaries.where("token IS NULL")
-    nodes = materialize(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("least").alias("least")),
-        "nodes",
-    )
-    links = materialize(_linked(docs, _stars(nodes), n), "links")
-    labels = components(links)
-    matrix = materialize(_matrix_tokens(docs, n, _order(summaries)), "matrix")
-    met = _active(_labelled(matrix, labels), nodes)
-    near = materialize(_central(met), "central")
-    pairs = near.where("root <> other").select("u", "v")
-    links = materialize(links.unionByName(_linked(docs, _likely(pairs, nodes), n)), "links")
-    labels = components(links)
-    met = _active(_labelled(matrix, labels), nodes)
-    links = links.unionByName(_opened(docs, met, nodes, labels, _groups(near, nodes), n))
-    labels = components(links)
+    with arrow.small_batches(docs.sparkSession):
+        summaries = materialize(_summaries(docs, n), "summaries")
+        rows = summaries.where("token IS NULL")
+        nodes = materialize(
+            rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("least").alias("least")),
+            "nodes",
+        )
+        links = materialize(_linked(docs, _stars(nodes), n), "links")
+        labels = components(links)
+        matrix = materialize(_matrix_tokens(docs, n, _order(summaries)), "matrix")
+        met = _active(_labelled(matrix, labels), nodes)
+        near = materialize(_central(met), "central")
+        pairs = near.where("root <> other").select("u", "v")
+        links = materialize(links.unionByName(_linked(docs, _likely(pairs, nodes), n)), "links")
+        labels = components(links)
+        met = _active(_labelled(matrix, labels), nodes)
+        links = links.unionByName(_opened(docs, met, nodes, labels, _groups(near, nodes), n))
+        labels = components(links)
 
     named = _labelled(nodes.select("node", "id"), labels)
     ids = named.groupBy("root").agg(F.min("id").alias("component_id"))
