@@ -30,7 +30,7 @@ HUBER = Boosting(
     rounds=20, step=0.1, loss="huber", growth=Growth(depth=3, l2=0.0, min_rows=18, min_hessian=0.0, row_share=0.7, feature_share=0.55)
 )
 # Fewer and larger steps than the original's 2,000 rounds of 0.005 at depth 30.
-BAGGED = Boosting(rounds=20, step=0.1, growth=Growth(depth=8, row_share=0.95, feature_share=0.4))
+BAGGED = Boosting(rounds=20, step=0.1, growth=Growth(depth=6, row_share=0.95, feature_share=0.4))
 STACK_FOLDS = 5
 
 _frames: dict[tuple[str, str], DataFrame] = {}
