@@ -129,7 +129,8 @@ def correlation_pairs(df: DataFrame, columns: list[str], block: int = BLOCK) ->
     by their means first, so that moments keep their digits. Tasks multiply their rows by blocks of columns, with a mask of
     what is present, and the products of a pair of blocks meet in one row.
     """
-    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # Read twice, for the means and for the products.
+    x = materialize(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]), "columns")
     means = [m or 0.0 for m in x.agg(*[F.avg(F.nanvl(c, F.lit(None))) for c in x.columns]).first() or []]
     parts = x.mapInArrow(lambda batches: _block_products(batches, means, block), "a int, b int, sums binary")
     # Pairs without any row have no correlation, but a place in the result.
