@@ -16,7 +16,7 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickloom.models import boosting, frame, others, random_trees, search, stacking, trees
+from clickloom.models import boosting, frame, network, random_trees, search, stacking, trees
 from clickloom.models.online import FtrlModel, hashed_slots
 from clickloom.operators import encode, ensemble, factorise, ftrl, logs, metrics, naive_bayes, prep, split
 from clickloom.session import materialize
@@ -155,19 +155,20 @@ def estimator_run(spark: SparkSession, inputs: Inputs, name: str, build: Callabl
     return _finish(name, inputs, data, score)
 
 
-def perceptron(spark: SparkSession, inputs: Inputs) -> Run:
-    return estimator_run(spark, inputs, "perceptron", others.perceptron)
+def perceptron(spark: SparkSession, inputs: Inputs, epochs: int = 50, **settings) -> Run:
+    """ReLU layers with dropout, stopped on held rows; ``settings`` replace those of the network."""
+    return estimator_run(spark, inputs, "perceptron", lambda width: network.deep(width, epochs, **settings))
 
 
-def perceptron_folds(spark: SparkSession, inputs: Inputs, folds: int = 5, rounds: int = 50) -> Run:
+def perceptron_folds(spark: SparkSession, inputs: Inputs, folds: int = 5, epochs: int = 50, **settings) -> Run:
     """Perceptron judged by its mean AUC over folds, then fitted on all train rows."""
     data = prepare(spark, inputs)
     train = data.fit.unionByName(data.valid)
     width = len(data.features)
-    aucs = search.kfold_auc(train, lambda: others.perceptron(width, rounds), folds)
+    aucs = search.kfold_auc(train, lambda: network.deep(width, epochs, **settings), folds)
     summary = metrics.fold_summary(aucs, "auc").first()
-    with frame.cached(train) as rows:
-        model = others.perceptron(width, rounds).fit(rows)
+    model = network.deep(width, epochs, **settings).fit(train)
+    _save(model, inputs, "perceptron-folds")
     scored = model.transform(data.test).withColumn("click_score", frame.click_probability())
     path = _submit(scored, "click_score", inputs, "perceptron-folds", summary["mean_auc"])
     return Run(path, {"auc": summary["mean_auc"], "std_auc": summary["std_auc"]})

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.functions import scalar as fn
-from clickloom.models import adaboost, boosting, frame, others, random_trees, search, stacking, trees
+from clickloom.models import adaboost, boosting, frame, network, others, random_trees, search, stacking, trees
 from clickloom.models.boosting import Boosting
 from clickloom.models.grow import Growth
 from clickloom.operators import counts, ensemble, factorise, logs, metrics, prep, sparse, split
@@ -194,17 +194,16 @@ def huber_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mlp_score")
 def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five ReLU layers with dropout and limited weights, up to 50 epochs, stopped on held rows."""
     train, test, features = assembled(spark, sf_dir)
-    with frame.cached(train) as rows:
-        model = others.perceptron(len(features), rounds=20).fit(rows)
-    return trees.score_classifier(model, test)
+    return trees.score_classifier(network.deep(len(features)).fit(train), test)
 
 
 @query("mlp_kfold")
 def mlp_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of the perceptron on each of five folds, with mean and deviation."""
+    """AUC of the network on each of five folds, with mean and deviation."""
     train, _, features = assembled(spark, sf_dir)
-    aucs = search.kfold_auc(train, lambda: others.perceptron(len(features), rounds=5), 5)
+    aucs = search.kfold_auc(train, lambda: network.deep(len(features)), 5)
     return metrics.fold_summary(aucs, "auc")
 
 
