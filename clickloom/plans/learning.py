@@ -347,6 +347,20 @@ def stack_in_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression_scores(model, test)
 
 
+@query("stack_roundtrip")
+def stack_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test scores of a stack of forest, random trees, network and boosted trees, and of the stack saved and read again."""
+    train, test, features = assembled(spark, sf_dir)
+    # The same kinds of stages as in the larger stacks; what is saved does not depend on how many trees there are.
+    levels = [trees.random_forest(10), random_trees.RandomTrees(random_trees.Random(10)), network.deep(len(features), 5)]
+    with frame.cached(train) as rows:
+        model = stacking.in_sample_pipeline(levels, boosting.BoostingStage(replace(EARLY, rounds=5, patience=None))).fit(rows)
+    path = new_path(spark, "stack")
+    model.write().save(path)
+    loaded = trees.score_classifier(PipelineModel.load(path), test).withColumnRenamed("click", "click_loaded")
+    return trees.score_classifier(model, test).join(loaded, "ID")
+
+
 @query("stack_and_blend")
 def stack_and_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacked and boosted scores of the test rows, blended by ID."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickloom.models.online import FtrlEstimator, FtrlModel
 from clickloom.operators import encode, ftrl, naive_bayes, sparse, split
 from clickloom.plans.features import HASHED, SLOTS, SLOT_LIST, hashable, prepared, unit_sql
 from clickloom.plans.registry import PREP, SPARSE, hash32_sql, query, rounded
@@ -196,6 +197,19 @@ def ftrl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored, "click")
 
 
+@query("ftrl_roundtrip", f"SELECT ID, click, click AS click_loaded FROM ({_fit_sql()})")
+def ftrl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test scores of the FTRL estimator's model, and of the model saved and read again."""
+    rows = hashable(spark, sf_dir)
+    estimator = FtrlEstimator(HASHED, epochs=FIT_EPOCHS, batches=FIT_BATCHES)
+    path = new_path(spark, "ftrl")
+    model = estimator.fit(rows.where("split = 'train'"))
+    model.write().save(path)
+    both = model.transform(rows.where("split = 'test'").drop("click")).withColumnRenamed("p", "click")
+    both = FtrlModel.load(path).transform(both).select("ID", "click", F.col("p").alias("click_loaded"))
+    return rounded(both, "click", "click_loaded")
+
+
 PROGRESS_BATCHES = 5
 
 

@@ -20,6 +20,12 @@ def test_runs(spark, name):
                 assert -0.5 <= r[c] <= 1.5
 
 
+def test_a_loaded_stack_scores_like_the_saved_one(spark):
+    rows = oracle.QUERIES["stack_roundtrip"](spark, SMALL)
+    gap = rows.agg(F.max(F.abs(F.col("click") - F.col("click_loaded"))), F.count("*"), F.countDistinct("click")).first()
+    assert gap[0] < 1e-12 and gap[1] > 100 and gap[2] > 10
+
+
 def test_exported_factors_score_like_the_model(spark):
     gap = oracle.QUERIES["fm_sparse"](spark, SMALL).agg(F.max(F.abs(F.col("click") - F.col("click_table"))), F.count("*")).first()
     assert gap[0] < 1e-6 and gap[1] > 100

@@ -233,7 +233,8 @@ def test_stack_is_saved(spark, data):
     from clickloom.session import new_path
 
     fit, valid, _ = data
-    model = stacking.in_sample_pipeline([trees.random_forest(3)], trees.single_tree()).fit(fit)
+    extra = random_trees.RandomTrees(random_trees.Random(3))
+    model = stacking.in_sample_pipeline([trees.random_forest(3), extra], trees.single_tree()).fit(fit)
     path = new_path(spark, "stack")
     model.write().save(path)
     a = model.transform(valid).select("ID", F.col("prediction").alias("a"))
