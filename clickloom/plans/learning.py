@@ -172,8 +172,9 @@ def tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("adaboost_score")
 def adaboost_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 300 boosted trees; boosting ends before where a tree is no better than chance."""
     train, test, _ = assembled(spark, sf_dir)
-    return regression_scores(adaboost.fit_adaboost(train, rounds=4), test)
+    return regression_scores(adaboost.fit_adaboost(train, rounds=300), test)
 
 
 @query("lasso_cv")
@@ -379,7 +380,7 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _, _ = assembled(spark, sf_dir)
     boost = trees.Boost(rounds=4).classifier()
     grid = ParamGridBuilder().addGrid(boost.maxDepth, [2, 4]).addGrid(boost.stepSize, [0.1, 0.3]).build()
-    report = search.grid_report(search.grid_search(train, boost, grid, folds=2))
+    report = search.grid_report(search.grid_search(train, boost, grid, folds=5))
     return spark.createDataFrame(report, "setting string, mean_auc double, std_auc double")
 
 
