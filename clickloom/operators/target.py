@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import hash32
-from clickloom.operators.lookup import lookup_join
+from clickloom.operators.lookup import JoinLimits, lookup_join
 from clickloom.session import materialize
 
 BUCKET_ROWS = 200_000
 WEIGHT = 10.0
+# The table of all values and pairs of values grows with the rows. In the driver, where a table that is broadcast is built, it
+# takes several times its size, and there is one for every other table: only a small one is broadcast.
+LIMITS = JoinLimits(broadcast_bytes=8 << 20)
 
 Combination = tuple[str, ...]
 
@@ -85,7 +88,7 @@ def ordered_rates(
     whole = materialize(totals.groupBy("combo", "value").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")), "totals")
     out = []
     for other in others:
-        found = lookup_join(_entries(other, combos, [F.col(row_key)]), whole, ["combo", "value"], "left")
+        found = lookup_join(_entries(other, combos, [F.col(row_key)]), whole, ["combo", "value"], "left", limits=LIMITS)
         rates = found.select(row_key, "combo", _rate(F.col("hits"), F.col("n"), overall, weight).alias("rate"))
         out.append(_widened(other, rates, combos, row_key))
     return widened, out

@@ -69,3 +69,17 @@ def test_empty_tables(spark):
     train, other = frames(spark)
     none, (rest,) = target.ordered_rates(train.limit(0), [other], [("u",)])
     assert none.count() == 0 and {r.rate_u for r in rest.collect()} == {0.0}
+
+
+def test_values_of_other_tables_meet_by_a_join_beyond_the_limit(spark, monkeypatch):
+    rows = [(str(i), float(i % 3 == 0), f"a{i % 4}", f"b{i % 29}") for i in range(120)]
+    train = spark.createDataFrame(rows, "ID string, label double, a string, b string")
+    combos = target.combinations_of(["a", "b"])
+
+    def rates():
+        return sorted(map(tuple, target.ordered_rates(train, [train.drop("label")], combos)[1][0].collect()))
+
+    assert target.LIMITS.broadcast_bytes <= 8 << 20
+    broadcast = rates()
+    monkeypatch.setattr(target, "LIMITS", target.JoinLimits(broadcast_bytes=0))
+    assert rates() == broadcast
