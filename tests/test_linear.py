@@ -240,3 +240,21 @@ def test_ftrl_scores_without_moving_rows(spark):
     joined = ftrl._score_by_join(rows, weights)
     got, want = (sorted((r.ID, len(r.x), round(r.p, 9)) for r in d.collect()) for d in (scored, joined))
     assert got == want and ("b", 0, 0.5) in got and len(got) == 4
+
+
+def test_ftrl_weights_are_no_column_of_the_rows(spark):
+    state = spark.range(9000).select(F.col("id").alias("idx"), F.sin("id").alias("z"), F.lit(1.0).alias("n"))
+    short = spark.createDataFrame([("a", [0, 4096, 3]), ("b", []), ("c", [500, 500, 8192])], "ID string, x array<bigint>")
+    wide = short.unionByName(spark.createDataFrame([("d", [100] * 40)], short.schema))
+    # A table in the plan, a broadcast one, and one joined to long rows.
+    for rows, size in ((short, 1 << 14), (short, 1 << 20), (wide, 1 << 20)):
+        p = ftrl.Ftrl(alpha=0.5, beta=1.0, size=size)
+        scored = ftrl.score(rows, state, p)
+        plan = scored._jdf.queryExecution().optimizedPlan().toString()
+        # An array of weights in a row would cost as much as the whole table, row by row.
+        assert "scalar-subquery" not in "".join(line for line in plan.splitlines() if "AS _" in line)
+        weights = state.select("idx", ftrl.lazy_weight(F.col("z"), F.col("n"), p).alias("w"))
+        got, want = ({r.ID: round(r.p, 9) for r in d.collect()} for d in (scored, ftrl._score_by_join(rows, weights)))
+        assert got == want and got["b"] == 0.5 and len(got) == rows.count()
+    joins = ftrl.score(short, state, ftrl.Ftrl())._jdf.queryExecution().executedPlan().toString()
+    assert joins.count("BroadcastHashJoin") == 3 and "hashpartitioning" not in joins
