@@ -4,7 +4,8 @@ Everything runs as DataFrame functions. A template of at most 2^c words is looke
 which one starts every 2^(c-1) words, so some window holds any whole notice. A window and a template that it contains have
 a Jaccard similarity of at least 0.125 (worst case: one shingle in a window of the smallest class), and BANDS bands of one
 value each miss that with a probability below 0.0002. Retrieved pairs are verified by the exact share of the template's
-shingles in the window. Notices of fewer words than a shingle are found by their whole sequence of words.
+shingles in the window; windows without any shingle of any template are left out before. Notices of fewer words than a
+shingle are found by their whole sequence of words.
 """
 
 from __future__ import annotations
@@ -159,16 +160,25 @@ def _short(lower: DataFrame, found: list[Template]) -> DataFrame:
     return met.where("met.place > 0").select("id", "met.license", (F.col("met.place") - 1).cast("int").alias("first"), F.lit(1.0).alias("share"))
 
 
+def _windows(words: DataFrame, reference: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, size, first, hashes) of the windows that have a shingle of a template; the others have no share of any."""
+    hashed = words.select("id", F.explode(F.array(_hashes(F.col("words")))).alias("all")).where(F.size("all") > 0)
+    wanted = [r["h"] for r in reference.select(F.explode("wanted").alias("h")).distinct().collect()]
+    places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(wanted))
+    hashed = hashed.select("id", "all", F.explode(F.array(places)).alias("places")).where(F.size("places") > 0)
+    starts = [F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(1 << (c - 1))), _window(c)) for c in sizes]
+    windows = hashed.select("id", "all", "places", F.explode(F.flatten(F.array(*starts))).alias("w"))
+    inside = F.exists("places", lambda i: (i >= F.col("w.first")) & (i < F.col("w.first") + F.col("w.length")))
+    hashes = F.slice("all", F.col("w.first") + 1, F.col("w.length"))
+    return windows.where(inside).select("id", "w.size", "w.first", hashes.alias("hashes"))
+
+
 def _long(lower: DataFrame, found: list[Template]) -> DataFrame:
     """(id, license, first, share) of the windows that hold CONTAINED or more of a template's shingles."""
     reference = _reference(lower.sparkSession, found)
     # A text without any cue has no shingle of any template.
     words = _words(lower, cues(found))
-    hashed = words.select("id", F.explode(F.array(_hashes(F.col("words")))).alias("all")).where(F.size("all") > 0)
-    sizes = sorted({t.size for t in found})
-    starts = [F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(1 << (c - 1))), _window(c)) for c in sizes]
-    windows = hashed.select("id", "all", F.explode(F.flatten(F.array(*starts))).alias("w"))
-    windows = windows.select("id", "w.size", "w.first", F.slice("all", F.col("w.first") + 1, F.col("w.length")).alias("hashes"))
+    windows = _windows(words, reference, sorted({t.size for t in found}))
     bands = windows.select("id", "size", "first", "hashes", F.posexplode(_signature(F.col("hashes"))).alias("band", "value"))
     known = reference.select("license", "size", "wanted", F.posexplode(_signature(F.col("wanted"))).alias("band", "value"))
     met = bands.join(F.broadcast(known), ["size", "band", "value"])

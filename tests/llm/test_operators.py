@@ -331,6 +331,18 @@ def test_licenses(spark, docs):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_windows_without_template_shingles_are_left_out(spark):
+    found = [t for t in licenses.templates() if len(t.words) >= licenses.SHINGLE]
+    plain = [f"w{i}" for i in range(3000)]
+    notice = list(next(t for t in found if t.name == "MIT").words)
+    table = [(1, plain + notice + plain), (2, plain)]
+    reference, sizes = licenses._reference(spark, found), sorted({t.size for t in found})
+    kept = licenses._windows(spark.createDataFrame(table, "id long, words array<string>"), reference, sizes).collect()
+    # At most three windows of a size hold a place.
+    assert kept and len(kept) <= 4 * len(sizes) and {r.id for r in kept} == {1}
+    assert {(r["size"], r["first"]) for r in kept} >= {(licenses.SMALLEST, 3000)}
+
+
 def test_short_licenses(spark):
     texts = ["some words. All rights reserved.", "ALL  RIGHTS\nreserved", "call rights reserved", "all rights are reserved", "All Rights", None, "a b all rights reserved, all rights reserved"]
     texts += ["Copyright. All rights reserved. No part may be reproduced without permission.", "x " * 5000 + "all rights_reserved"]
