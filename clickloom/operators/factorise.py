@@ -192,6 +192,7 @@ def slots(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """``(ID, x)`` with a hashed slot of value 1 per column, after the bias in slot 0."""
     tokens = [F.lit(0).cast("bigint"), *[fn.token_index(c, F.coalesce(F.col(c).cast("string"), F.lit("")), size - 1) + 1 for c in columns]]
     # Two columns may share a slot; it then has the sum.
-    each = F.array(*tokens)
+    # A column, so that it is hashed once a row and not for every entry it is compared with.
+    each = F.col("_each")
     counted = F.transform(F.array_distinct(each), lambda i: F.struct(i.alias("idx"), F.size(F.filter(each, lambda j: j == i)).cast("double").alias("value")))
-    return df.withColumn("x", counted)
+    return df.withColumn("_each", F.array(*tokens)).withColumn("x", counted).drop("_each")
