@@ -10,9 +10,13 @@ from clickloom.session import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that get a language, mixtures as well; those without a letter go, and all if no language is learned."""
+    """Documents that get a language, mixtures as well; those without a letter go, and all if no language is learned.
+
+    A document without ``lang`` gets the one that holds most of it.
+    """
     model = language.fit(docs.where(~language.held_out()))
-    return language.keep(docs, model, 0.0)
+    found = language.identify(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

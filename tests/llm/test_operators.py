@@ -86,6 +86,14 @@ def test_pipeline_keeps_mixtures(spark):
     assert corpus_pipeline.known_language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").count() == 0
 
 
+def test_pipeline_passes_languages_on(spark):
+    table = [(None, k, v) for s in range(20) for k, v in spoken(60, s).items()]
+    texts = spoken(400, 1)
+    table += [(i, None, texts[k]) for i, k in enumerate(sorted(texts))] + [(100, "fr", spoken(60, 30)["de"])]
+    got = corpus_pipeline.known_language(spark, spark.createDataFrame(table, "doc_id long, lang string, text string"), "")
+    assert rows(got.where("doc_id IS NOT NULL"), "doc_id", "lang") == [*enumerate(sorted(texts)), (100, "fr")]
+
+
 # Tokens.
 
 
