@@ -2,7 +2,9 @@
 
 A 64-bit code is cut into segments; an index has a row for each code and segment. A query probes all segment values within
 a radius that grows round by round. After radius r in all m segments, every code within distance m (r + 1) - 1 has been met,
-since it differs by at most r in some segment. A query ends once its k-th distance lies within that bound.
+since it differs by at most r in some segment. A query ends once its k-th distance lies within that bound. Until then the
+k-th distance so far says how many segments the next radius takes: with a of them at radius r and the others at r - 1, every
+code within distance m r + a - 1 has been met.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ def sign_code(vector: str) -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(shift, width) of the segments: about as many bits each as the number of codes has."""
-    m = min(8, max(2, round(BITS / max(1.0, log2(max(codes, 2))))))
+    """(shift, width) of the segments: three bits fewer than the number of codes has, so that about eight share a value.
+
+    Wider ones need many more probes, of which most meet nothing; narrower ones meet more codes that are not near.
+    """
+    m = min(8, max(2, round(BITS / max(1.0, log2(max(codes, 2)) - 3))))
     cuts = [BITS * j // m for j in range(m + 1)]
     return [(a, z - a) for a, z in zip(cuts, cuts[1:])]
 
@@ -67,7 +72,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "id",
     parts = segments(codes.count())
     index = codes.select("code", "ids", F.explode(F.array(*_numbered(parts))).alias("p")).select("code", "ids", "p.seg", "p.value")
     index = materialize(index, "index")
-    asked = queries.select(F.col("code").alias("query")).distinct()
+    # bound: no code beyond this distance is wanted.
+    asked = queries.select(F.col("code").alias("query"), F.lit(BITS).alias("bound")).distinct()
     todo, best = materialize(asked, "todo"), None
     for radius in range(max(w for _, w in parts) + 1):
         found = _probe(todo, index, parts, radius)
@@ -78,8 +84,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "id",
         if covered >= BITS:
             break
         # Finished: k + 1 rows within the distance that is covered. What is found of the others stays.
-        done = best.where(F.col("distance") <= covered).groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") > k)
-        todo = materialize(todo.join(done, "query", "left_anti"), "todo")
+        seen = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("last"))
+        bound = F.when(F.col("n") > k, F.col("last")).otherwise(BITS).alias("bound")
+        todo = materialize(todo.select("query").join(seen, "query", "left").select("query", bound).where(F.col("bound") > covered), "todo")
         if todo.isEmpty():
             break
     own = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query"))
@@ -94,21 +101,24 @@ def _numbered(parts: list[tuple[int, int]], code: str = "code") -> list[Column]:
 
 
 def _probe(todo: DataFrame, index: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
-    """(query, id, distance) of codes that differ by exactly ``radius`` in some segment and by less in none.
+    """(query, id, distance) of codes within the bound that differ by exactly ``radius`` in some segment and by less in none.
 
-    A code that several segments meet is given by the first of them.
+    A code that several segments meet is given by the first of them. Segments the bound does not need are not probed; codes
+    that only they meet lie beyond it.
     """
     probes = None
     for j, (shift, width) in enumerate(parts):
         if radius > width:
             continue
-        one = todo.select("query", F.lit(j).alias("seg"), F.explode(_values(shift, width, radius)).alias("value"))
+        near = todo.where(F.col("bound") >= len(parts) * radius + j)
+        one = near.select("query", "bound", F.lit(j).alias("seg"), F.explode(_values(shift, width, radius)).alias("value"))
         probes = one if probes is None else probes.unionByName(one)
     met = probes.join(index, ["seg", "value"])
     apart = F.col("query").bitwiseXOR(F.col("code"))
     gaps = F.array(*[F.bit_count(_part(apart, s, w)) for s, w in parts])
     first = (F.array_min(gaps) == radius) & (F.array_position(gaps, radius) == F.col("seg") + 1)
-    return met.where(first).select("query", F.explode("ids").alias("id"), F.bit_count(apart).alias("distance"))
+    distance = F.bit_count(apart)
+    return met.where(first & (distance <= F.col("bound"))).select("query", F.explode("ids").alias("id"), distance.alias("distance"))
 
 
 def _values(shift: int, width: int, radius: int) -> Column:

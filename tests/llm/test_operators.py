@@ -164,6 +164,33 @@ def test_nearest_codes(spark):
     assert hamming.search(few.limit(0), few, 10).count() == 0
 
 
+def test_nearest_codes_probe_what_the_bound_needs(spark):
+    parts = hamming.segments(50_000)
+    assert len(parts) == 5
+    query, radius = 0, 2
+    # Two bits off in a segment each, three in the others.
+    far = [sum(((1 << (2 if j == i else 3)) - 1) << shift for j, (shift, _) in enumerate(parts)) for i in range(len(parts))]
+    index = [(c, [i], j, (c >> shift) & ((1 << width) - 1)) for i, c in enumerate(far) for j, (shift, width) in enumerate(parts)]
+    index = spark.createDataFrame(index, "code long, ids array<long>, seg int, value long")
+
+    def found(bound):
+        todo = spark.createDataFrame([(query, bound)], "query long, bound int")
+        return rows(hamming._probe(todo, index, parts, radius).select("id", "distance"))
+
+    assert found(64) == [(i, 14) for i in range(5)]
+    assert found(14) == [(i, 14) for i in range(5)]
+    # Within 13 there is nothing, and the last segment is not asked.
+    assert found(13) == []
+
+
+def test_nearest_codes_random(spark):
+    rng = random.Random(11)
+    table = [(i, rng.getrandbits(64) - (1 << 63)) for i in range(3000)]
+    df = spark.createDataFrame(table, "id long, code long")
+    queries = table[::300]
+    assert rows(hamming.search(df, df.where("id % 300 = 0"), 10)) == brute.nearest(table, queries, 10)
+
+
 def test_sign_code(spark):
     vectors = [([1.0, -1.0, 0.5],), ([],), (None,), ([1.0, None],), ([float("nan")],), ([-1.0] * 63 + [2.0] + [5.0],)]
     got = [r[0] for r in spark.createDataFrame(vectors, "v array<double>").select(hamming.sign_code("v")).collect()]
