@@ -240,3 +240,13 @@ def test_stack_is_saved(spark, data):
     a = model.transform(valid).select("ID", F.col("prediction").alias("a"))
     b = PipelineModel.load(path).transform(valid).select("ID", F.col("prediction").alias("b"))
     assert a.join(b, "ID").where("a <> b").count() == 0 and a.count() > 0
+
+
+def test_training_tables_are_kept_in_parts_of_bounded_rows(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("ID")).coalesce(1)
+    parts = frame.dealt(df, 50).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 20 and max(r["count"] for r in parts) < 100 and sum(r["count"] for r in parts) == 1000
+    # Enough parts, or no key to deal by: as it is.
+    assert frame.dealt(df, 1000) is df
+    bare = df.select(F.col("ID").alias("x"))
+    assert frame.dealt(bare, 50) is bare
