@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
+from pyspark.ml import Estimator
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
@@ -250,3 +255,43 @@ def test_training_tables_are_kept_in_parts_of_bounded_rows(spark):
     assert frame.dealt(df, 1000) is df
     bare = df.select(F.col("ID").alias("x"))
     assert frame.dealt(bare, 50) is bare
+
+
+def test_importance_sweep_fits_a_set_of_features_once(data, monkeypatch):
+    fit, valid, features = data
+    fits, real, boost = [], GBTClassifier.fit, trees.Boost(rounds=2)
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: fits.append(1) or real(self, rows))
+    found = trees.importance_sweep(fit, valid, features, boost)
+    assert len(fits) == len(found)
+    # As plain refits have it.
+    gains = trees.fit_classifier(fit, boost).featureImportances
+    for cut, n, value in (found[0], found[1]):
+        keep = [i for i in range(len(features)) if gains[i] >= cut]
+        slicer = VectorSlicer(inputCol="features", outputCol="kept", indices=keep)
+        model = boost.classifier(featuresCol="kept").fit(slicer.transform(fit))
+        plain = model.transform(slicer.transform(valid))
+        assert n == len(keep) and value == pytest.approx(auc(plain, F.rint(frame.click_probability())))
+
+
+class Meeting(Estimator):
+    """Waits until two are being fitted, then fits naive Bayes."""
+
+    def __init__(self, started):
+        super().__init__()
+        self.started = started
+
+    def _fit(self, dataset):
+        self.started.append(1)
+        end = time.monotonic() + 60
+        while len(self.started) < 2:
+            assert time.monotonic() < end, "fitted one after another"
+            time.sleep(0.05)
+        return search.bernoulli_pipeline().fit(dataset)
+
+
+def test_halving_fits_candidates_side_by_side(data):
+    fit, valid, _ = data
+    started = []
+    found = search.halving(fit, valid, {"a": Meeting(started), "b": Meeting(started)})
+    # Equal scores: the first name wins.
+    assert found.winner == "a" and [r[:2] for r in found.log] == [(0, "a"), (0, "b"), (1, "a")]
