@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 from hashlib import blake2b
 from itertools import product
 
@@ -107,6 +107,11 @@ class Halving:
         return sum(rows for _, _, rows, _ in self.log)
 
 
+def _tried(models: dict[str, Estimator], rows: DataFrame, valid: DataFrame, name: str) -> tuple[str, Model, float]:
+    model = models[name].fit(rows)
+    return name, model, ExactAuc().evaluate(model.transform(valid))
+
+
 def halving(
     train: DataFrame, valid: DataFrame, models: dict[str, Estimator], keep: int = 3, seed: int | str = "rung"
 ) -> Halving:
@@ -114,22 +119,21 @@ def halving(
 
     Samples are nested and depend on row keys alone, so the winner does too. Ties go to the first name.
     """
-    evaluator, log, left, model = ExactAuc(), [], sorted(models), None
+    log, left, model = [], sorted(models), None
     rungs = 1
     while keep**rungs < len(left):
         rungs += 1
-    with cached(train) as rows:
+    # Both tables are kept once for all fits.
+    with cached(train) as rows, cached(valid) as judged:
         for rung in range(rungs + 1):
             share = float(keep) ** (rung - rungs)
             part = rows if rung == rungs else sample(rows, share, seed=seed)
             scored = []
             with cached(part) as held:
                 n = held.count()
-                for name in left:
-                    model = models[name].fit(held)
-                    auc = evaluator.evaluate(model.transform(valid))
+                for name, fitted, auc in side_by_side(train.sparkSession, partial(_tried, models, held, judged), left):
                     log.append((rung, name, n, auc))
-                    scored.append((-auc, name, model))
+                    scored.append((-auc, name, fitted))
             scored.sort(key=lambda s: s[:2])
             left = [name for _, name, _ in scored[: max(1, len(scored) // keep)]]
             model = scored[0][2]
