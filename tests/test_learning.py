@@ -7,6 +7,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from clickloom.models import boosting
+
 WITHOUT_SQL = sorted(set(oracle.QUERIES) - set(oracle.ORACLE))
 
 
@@ -29,3 +31,18 @@ def test_a_loaded_stack_scores_like_the_saved_one(spark):
 def test_exported_factors_score_like_the_model(spark):
     gap = oracle.QUERIES["fm_sparse"](spark, SMALL).agg(F.max(F.abs(F.col("click") - F.col("click_table"))), F.count("*")).first()
     assert gap[0] < 1e-6 and gap[1] > 100
+
+
+def test_boosting_queries_have_the_settings_of_the_originals(spark, monkeypatch):
+    """Rounds, step, depth, bagging; the base score is the mean label."""
+    seen = []
+
+    def settings(train, given, *_):
+        seen.append((given.rounds, given.step, given.loss, given.growth.depth, given.growth.row_share, given.growth.feature_share))
+        assert given.base_score is None
+        return boosting.Boosted(given, boosting.Bins([]), 0.0, [], [])
+
+    monkeypatch.setattr(boosting, "fit", settings)
+    for name in ("gbt_score",):
+        oracle.QUERIES[name](spark, SMALL)
+    assert seen == [(2000, 0.005, "logistic", 30, 0.95, 0.4)]
