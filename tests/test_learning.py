@@ -43,6 +43,6 @@ def test_boosting_queries_have_the_settings_of_the_originals(spark, monkeypatch)
         return boosting.Boosted(given, boosting.Bins([]), 0.0, [], [])
 
     monkeypatch.setattr(boosting, "fit", settings)
-    for name in ("gbt_score",):
+    for name in ("gbt_score", "gbt_regress"):
         oracle.QUERIES[name](spark, SMALL)
-    assert seen == [(2000, 0.005, "logistic", 30, 0.95, 0.4)]
+    assert seen == [(2000, 0.005, "logistic", 30, 0.95, 0.4), (1300, 0.1, "squared", 20, 0.95, 0.4)]
