@@ -7,7 +7,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from clickloom.models import boosting
+from clickloom.models import boosting, search
 
 WITHOUT_SQL = sorted(set(oracle.QUERIES) - set(oracle.ORACLE))
 
@@ -46,3 +46,6 @@ def test_boosting_queries_have_the_settings_of_the_originals(spark, monkeypatch)
     for name in ("gbt_score", "gbt_regress"):
         oracle.QUERIES[name](spark, SMALL)
     assert seen == [(2000, 0.005, "logistic", 30, 0.95, 0.4), (1300, 0.1, "squared", 20, 0.95, 0.4)]
+    monkeypatch.setattr(search, "cv_rounds", lambda train, given, folds: seen.append((given.rounds, given.patience, given.growth.depth, given.step, folds)))
+    oracle.QUERIES["cv_rounds"](spark, SMALL)
+    assert seen[2] == (700, 50, 30, 0.005, 3)
