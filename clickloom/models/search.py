@@ -80,8 +80,8 @@ def rank_candidates(train: DataFrame, valid: DataFrame, models: dict[str, Estima
     return sorted(scores, key=lambda s: -s[1])
 
 
-def space(seed: int | str = 2017, n: int = 12) -> dict[str, Estimator]:
-    """``n`` candidates out of the whole grid of pipelines, chosen by a hash of their settings."""
+def space(seed: int | str = 2017, n: int | None = None) -> dict[str, Estimator]:
+    """The whole grid of pipelines in the order of a hash of their settings, or the first ``n`` of them."""
     every: dict[str, Estimator] = {"bernoulli": bernoulli_pipeline()}
     for reg, elastic in product([0.0, 1e-3, 1e-2, 1e-1], [0.0, 0.5, 1.0]):
         every[f"logistic reg={reg} l1={elastic}"] = LogisticRegression(maxIter=20, regParam=reg, elasticNetParam=elastic)
@@ -104,7 +104,8 @@ class Halving:
 
     @property
     def rows_fitted(self) -> int:
-        return sum(rows for _, _, rows, _ in self.log)
+        """Rows of all fits; a candidate is fitted once on the same rows."""
+        return sum(rows for _, rows in {(name, rows) for _, name, rows, _ in self.log})
 
 
 def _tried(models: dict[str, Estimator], rows: DataFrame, valid: DataFrame, name: str) -> tuple[str, Model, float]:
@@ -113,13 +114,15 @@ def _tried(models: dict[str, Estimator], rows: DataFrame, valid: DataFrame, name
 
 
 def halving(
-    train: DataFrame, valid: DataFrame, models: dict[str, Estimator], keep: int = 3, seed: int | str = "rung"
+    train: DataFrame, valid: DataFrame, models: dict[str, Estimator], keep: int = 3, seed: int | str = "rung", samples: bool = True
 ) -> Halving:
     """All candidates on a small sample, the best ``1 / keep`` of them on ``keep`` times as many rows, and so on to all rows.
 
-    Samples are nested and depend on row keys alone, so the winner does too. Ties go to the first name.
+    Samples are nested and depend on row keys alone, so the winner does too. Ties go to the first name. Without ``samples`` every
+    rung has all rows: each candidate is fitted on them once, and no sample decides what is left.
     """
     log, left, model = [], sorted(models), None
+    tried: dict[str, tuple[str, Model, float]] = {}
     rungs = 1
     while keep**rungs < len(left):
         rungs += 1
@@ -127,13 +130,16 @@ def halving(
     with cached(train) as rows, cached(valid) as judged:
         for rung in range(rungs + 1):
             share = float(keep) ** (rung - rungs)
-            part = rows if rung == rungs else sample(rows, share, seed=seed)
+            part = sample(rows, share, seed=seed) if samples and rung < rungs else rows
             scored = []
-            with cached(part) as held:
-                n = held.count()
-                for name, fitted, auc in side_by_side(train.sparkSession, partial(_tried, models, held, judged), left):
-                    log.append((rung, name, n, auc))
-                    scored.append((-auc, name, fitted))
+            if samples or not tried:
+                with cached(part) as held:
+                    n = held.count()
+                    fits = side_by_side(train.sparkSession, partial(_tried, models, held, judged), left)
+                    tried = {fit[0]: fit for fit in fits}
+            for name, fitted, auc in map(tried.get, left):
+                log.append((rung, name, n, auc))
+                scored.append((-auc, name, fitted))
             scored.sort(key=lambda s: s[:2])
             left = [name for _, name, _ in scored[: max(1, len(scored) // keep)]]
             model = scored[0][2]

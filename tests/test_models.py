@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 import pytest
+from conftest import SMALL
 from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorSlicer
@@ -295,3 +296,21 @@ def test_halving_fits_candidates_side_by_side(data):
     found = search.halving(fit, valid, {"a": Meeting(started), "b": Meeting(started)})
     # Equal scores: the first name wins.
     assert found.winner == "a" and [r[:2] for r in found.log] == [(0, "a"), (0, "b"), (1, "a")]
+
+
+def test_search_without_samples_fits_every_candidate_on_all_rows_once(data):
+    fit, valid, _ = data
+    started = []
+    models = {name: Meeting(started) for name in "abcd"}
+    found = search.halving(fit, valid, models, samples=False)
+    assert len(started) == 4 and found.rows_fitted == 4 * fit.count()
+    assert [r[:3] for r in found.log] == [(r, name, fit.count()) for r, left in enumerate(("abcd", "a", "a")) for name in left]
+
+
+def test_model_search_tries_the_whole_grid(spark, monkeypatch):
+    import oracle
+
+    seen = []
+    monkeypatch.setattr(search, "halving", lambda fit, valid, models, samples: seen.append((len(models), samples)) or search.Halving("", None, [(0, "", 1, 0.5)]))
+    oracle.QUERIES["model_search"](spark, SMALL)
+    assert seen == [(37, False)] and len(search.space(n=99)) == 37
