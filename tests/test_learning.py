@@ -7,7 +7,8 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from clickloom.models import boosting, search
+from clickloom.models import boosting, frame, others, search, stacking
+from clickloom.operators.split import add_fold
 
 WITHOUT_SQL = sorted(set(oracle.QUERIES) - set(oracle.ORACLE))
 
@@ -49,3 +50,26 @@ def test_boosting_queries_have_the_settings_of_the_originals(spark, monkeypatch)
     monkeypatch.setattr(search, "cv_rounds", lambda train, given, folds: seen.append((given.rounds, given.patience, given.growth.depth, given.step, folds)))
     oracle.QUERIES["cv_rounds"](spark, SMALL)
     assert seen[2] == (700, 50, 30, 0.005, 3)
+
+
+def test_stack_has_the_settings_of_the_original(spark, monkeypatch):
+    """Trees of each level, a penalty chosen on folds, and rounds and step of the last level."""
+    seen = []
+
+    def levels(train, tests, levels, last, folds):
+        forest, random, lasso = levels
+        seen.append((forest.getNumTrees(), random.settings.trees, len(lasso.penalties), lasso.folds, last.settings.rounds, last.settings.step))
+        return None, [tests[0].withColumn("prediction", F.lit(0.0))]
+
+    monkeypatch.setattr(stacking, "fit_stack", levels)
+    oracle.QUERIES["stack_fit"](spark, SMALL)
+    assert seen == [(250, 100, 4, 3, 100, 0.001)]
+
+
+def test_a_penalty_is_chosen_inside_the_folds_of_a_stack(spark):
+    """Folds of the stack's own seed would leave one of three empty."""
+    rows = spark.range(300).select(F.col("id").cast("string").alias("ID"), (F.col("id") % 7).cast("double").alias("x"))
+    train = add_fold(frame.assemble(rows.withColumn("label", 2 * F.col("x")), ["x"]), 3)
+    _, (scored,) = stacking.fit_stack(train, [train], [others.LassoCV([1e-3, 5.0])], others.LinearRegression(), 3)
+    gap = scored.agg(F.max(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+    assert gap < 0.1
