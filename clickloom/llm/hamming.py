@@ -10,7 +10,7 @@ code within distance m r + a - 1 has been met.
 from __future__ import annotations
 
 from itertools import combinations
-from math import log2
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,9 @@ from clickloom.session import materialize
 
 BITS = 64
 K = 10
+# Probes beyond this number are never broadcast: Spark takes them for no larger than the table of queries they are made from,
+# and a broadcast table is built in the driver.
+MOST_BROADCAST = 200_000
 
 
 def sign_code(vector: str) -> Column:
@@ -106,14 +109,16 @@ def _probe(todo: DataFrame, index: DataFrame, parts: list[tuple[int, int]], radi
     A code that several segments meet is given by the first of them. Segments the bound does not need are not probed; codes
     that only they meet lie beyond it.
     """
-    probes = None
+    probes, made = None, 0
+    asked = todo.count()
     for j, (shift, width) in enumerate(parts):
         if radius > width:
             continue
+        made += asked * comb(width, radius)
         near = todo.where(F.col("bound") >= len(parts) * radius + j)
         one = near.select("query", "bound", F.lit(j).alias("seg"), F.explode(_values(shift, width, radius)).alias("value"))
         probes = one if probes is None else probes.unionByName(one)
-    met = probes.join(index, ["seg", "value"])
+    met = (probes if made <= MOST_BROADCAST else probes.hint("merge")).join(index, ["seg", "value"])
     apart = F.col("query").bitwiseXOR(F.col("code"))
     gaps = F.array(*[F.bit_count(_part(apart, s, w)) for s, w in parts])
     first = (F.array_min(gaps) == radius) & (F.array_position(gaps, radius) == F.col("seg") + 1)

@@ -433,3 +433,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert len({got[x] for x in names[:60]}) == 1 and len({got[x] for x in names[70:73]}) == 1 and len(set(got.values())) == 2
     assert components.components(spark.createDataFrame([], "u long, v long")) is None
+
+
+def test_many_probes_are_never_broadcast(spark):
+    """A small table of queries makes millions of probes; a broadcast would bring them all to the driver."""
+    from clickloom.session import materialize
+
+    codes = spark.range(5000).select(F.xxhash64("id").alias("code"), F.array("id").alias("ids"))
+    parts = hamming.segments(5000)
+    index = materialize(codes.select("*", F.explode(F.array(*hamming._numbered(parts))).alias("p")).select("code", "ids", "p.seg", "p.value"), "index")
+    todo = materialize(codes.select(F.col("code").alias("query"), F.lit(64).alias("bound")), "todo")
+    plan = hamming._probe(todo, index, parts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
