@@ -48,7 +48,8 @@ def _rate(hits: Column, n: Column, overall: float, weight: float) -> Column:
 
 def _widened(df: DataFrame, rates: DataFrame, combos: list[Combination], row_key: str) -> DataFrame:
     columns = [F.max(F.when(F.col("combo") == i, F.col("rate"))).alias(rate_name(c)) for i, c in enumerate(combos)]
-    return df.join(rates.groupBy(row_key).agg(*columns), row_key)
+    # A row for each row of the table. Spark takes it for as small as the table's files, and would build it in the driver.
+    return df.join(rates.groupBy(row_key).agg(*columns).hint("merge"), row_key)
 
 
 def ordered_rates(
@@ -77,7 +78,8 @@ def ordered_rates(
     if buckets > 1:
         earlier = Window.partitionBy("combo", "value").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         before = totals.select("combo", "value", "bucket", F.sum("hits").over(earlier).alias("hits"), F.sum("n").over(earlier).alias("n"))
-        here = here.join(before, ["combo", "value", "bucket"])
+        # As large as there are pairs of values, however small its file.
+        here = here.join(before.hint("merge"), ["combo", "value", "bucket"])
         hits = F.coalesce("own_hits", F.lit(0.0)) + F.coalesce("hits", F.lit(0.0))
         count = F.col("own_n") + F.coalesce("n", F.lit(0))
     else:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions.scalar import hash32
-from clickloom.operators import target
+from clickloom.operators import lookup, target
 
 
 def frames(spark):
@@ -83,3 +83,22 @@ def test_values_of_other_tables_meet_by_a_join_beyond_the_limit(spark, monkeypat
     broadcast = rates()
     monkeypatch.setattr(target, "LIMITS", target.JoinLimits(broadcast_bytes=0))
     assert rates() == broadcast
+
+
+def test_no_table_that_grows_with_the_rows_is_broadcast(spark, imps):
+    """Their files are small, and a broadcast table is built in the driver."""
+    rows = imps.select("ID", F.col("click").cast("double").alias("label"), "category", "devid")
+    train, (other,) = target.ordered_rates(rows, [rows], target.combinations_of(["category", "devid"]), bucket_rows=100)
+    plans = [t._jdf.queryExecution().executedPlan().toString() for t in (train, other)]
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    # The table of values was found to be small; the rates of the rows are not looked up so.
+    assert "SortMergeJoin" in plans[1] and plans[1].count("BroadcastHashJoin") <= 1
+
+
+def test_a_table_beyond_the_limit_is_not_broadcast(spark):
+    table = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    df = spark.range(200).select((F.col("id") % 60).alias("k"))
+    found = lookup.lookup_join(df, table, ["k"], "left", limits=lookup.JoinLimits(broadcast_bytes=0))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert found.where("v = 2 * k").count() == 170 and found.where("v IS NULL").count() == 30
