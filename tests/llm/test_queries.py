@@ -217,3 +217,23 @@ def test_stages_keep_columns(spark):
 def test_entry_point_without_the_corpus_operators():
     code = "import sys; sys.modules['clickloom.llm'] = None; import __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
+def test_filter_of_least_hashes_lets_few_others_pass(spark):
+    """Least hashes begin with zeros alike; a filter by their first bits passes most other keys long before it is full."""
+    from pyspark.sql import functions as F
+
+    parts = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.shiftrightunsigned(F.xxhash64("id", k), 1))
+    least = spark.range(40_000).select("id", F.array_min(parts).alias("h"))
+    keys, others = least.where("id < 20000").select("h"), least.where("id >= 20000").select("h")
+    old = substrings.FILTER_BITS
+    try:
+        substrings.FILTER_BITS = 18
+        bits = substrings._filter(keys, "h", 20_000)
+    finally:
+        substrings.FILTER_BITS = old
+    assert len(bits) == 1 << 15
+    had, other = (np.array([r[0] for r in t.collect()], np.int64) for t in (keys, others))
+    assert substrings._has(bits, had).all() and substrings._has(bits, other).mean() < 0.05
+    # Many keys get more bits, up to a bound.
+    assert len(substrings._filter(spark.range(10).select(F.col("id").alias("h")), "h", 1 << 40)) == 1 << (substrings.MOST_FILTER_BITS - 3)
